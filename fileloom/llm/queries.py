@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import quality_rules
+from fileloom.llm import packing, quality_rules, record_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_files.encode_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_record_files": op2_record_files,
+    "op6_packing": op6_packing,
     "op8_quality": op8_quality,
 }
 
