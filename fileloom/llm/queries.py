@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import packing, quality_rules, record_files
+from fileloom.llm import mixing, packing, quality_rules, record_files, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), shards=8)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(documents(spark, sf_dir))
 
@@ -34,7 +42,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_record_files": op2_record_files,
     "op6_packing": op6_packing,
+    "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {}
