@@ -8,11 +8,10 @@ words of the source), each move fixing at least one document at 0 or 1, so both
 Documents are dealt to blocks within their source, and each block's flight runs in one task; the at most two
 documents it leaves undecided go, with their probabilities as they then are, to the next level, where a block
 gathers what many blocks left, until a source has one block. A source with a third of all rows is so many blocks. Only
-at the end are the last one or two documents of each source landed, by whichever outcome leaves its words closest
-to the target.
+at the end are a dozen documents of each source landed, by whichever outcome leaves its words closest to the target.
 
 Random moves come from a generator seeded with the source and the block, and rows are ordered by size, doc_id and
-a hash of the text: reruns agree. Long documents come first in a flight, so those left to land are short.
+a hash of the text: reruns agree.
 
 Defined results: a null text has size 0 and is taken 0 words; null sources are one source, ordered last; repeated
 rows are documents of their own; an empty table gives an empty result.
@@ -34,6 +33,8 @@ from fileloom.llm.wordblocks import Block
 
 #: Documents of a flight, at about.
 BLOCK = 4096
+#: Documents set aside for the landing, which tries all their outcomes.
+LANDING = 10
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
@@ -99,16 +100,23 @@ def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
 def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Decides the last documents: the outcome whose words, then number, are closest to those expected."""
     left = np.flatnonzero((prob > 0) & (prob < 1))
-    out, best = prob.copy(), None
-    for bits in range(1 << len(left)):
-        pick = np.array([(bits >> k) & 1 for k in range(len(left))], dtype=float)
-        gap = (abs(((pick - prob[left]) * size[left]).sum()), abs((pick - prob[left]).sum()))
-        if best is None or gap < best[0]:
-            best = (gap, pick)
-    out[left] = best[1]
+    picks = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    words, number = np.abs((picks - prob[left]) @ size[left]), np.abs((picks - prob[left]).sum(1))
+    out = prob.copy()
+    out[left] = picks[np.lexsort((number, words.round(6)))[0]]
     return out
 
 
+def last_flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A flight that sets ``LANDING`` documents of various sizes aside, then lands them with those it leaves."""
+    open_ = np.flatnonzero((prob > 0) & (prob < 1))
+    aside = np.unique(open_[np.linspace(0, len(open_) - 1, min(LANDING, len(open_))).astype(int)]) if len(open_) else open_
+    rest = np.setdiff1d(np.arange(len(prob)), aside)
+    out = prob.copy()
+    out[rest] = flight(prob[rest], size[rest], rng)
+    return land(out, size)
+
+
 def _seed(source: str | None, level: int, block: int) -> list[int]:
     return [crc32((source or "").encode()), source is None, level, block]
 
@@ -136,8 +144,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             pdf = pdf.sort_values(["size", "doc_id", "digest"], ascending=[False, True, True], na_position="first", kind="stable")
             source, prob, size = pdf["source"].iloc[0], pdf["prob"].to_numpy(), pdf["size"].to_numpy()
             source = None if pd.isna(source) else source
-            prob = flight(prob, size, np.random.default_rng(_seed(source, level, int(pdf["block"].iloc[0]))))
-            pdf["prob"] = land(prob, size) if pdf["blocks"].iloc[0] == 1 else prob
+            move = last_flight if pdf["blocks"].iloc[0] == 1 else flight
+            pdf["prob"] = move(prob, size, np.random.default_rng(_seed(source, level, int(pdf["block"].iloc[0]))))
             return pdf
 
         moved = materialize(state.groupBy("source", "block").applyInPandas(run, schema), f"flight{level}")
