@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import mixing, packing, quality_rules, record_files, sharding
+from fileloom.llm import lz_fingerprint, mixing, packing, quality_rules, record_files, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.encode_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -41,6 +45,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_record_files": op2_record_files,
+    "op4_lz_fingerprint": op4_lz_fingerprint,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
