@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import lz_fingerprint, mixing, packing, quality_rules, record_files, sharding
+from fileloom.llm import lz_fingerprint, mixing, packing, quality_rules, record_files, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.encode_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
 
@@ -44,6 +48,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_record_files": op2_record_files,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op6_packing": op6_packing,
