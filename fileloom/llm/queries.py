@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import lz_fingerprint, mixing, packing, quality_rules, record_files, sharding, toxicity
+from fileloom.llm import language_crf, lz_fingerprint, mixing, packing, quality_rules, record_files, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(documents(spark, sf_dir))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.label_languages(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_record_files": op2_record_files,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
