@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import language_crf, lz_fingerprint, mixing, packing, quality_rules, record_files, sharding, toxicity
+from fileloom.llm import language_crf, lz_fingerprint, mixing, ngram_join, packing, quality_rules, record_files, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_record_files": op2_record_files,
     "op4_lz_fingerprint": op4_lz_fingerprint,
+    "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
