@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import language_crf, lz_fingerprint, mixing, ngram_join, packing, quality_rules, record_files, sharding, toxicity
+from fileloom.llm import language_crf, lz_fingerprint, mixing, ngram_join, packing, quality_rules, record_files, sharding, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.encode_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprints(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_record_files": op2_record_files,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
