@@ -19,41 +19,57 @@ _L = "A-Za-zÀ-ÖØ-öø-ɏªº"  # letters of the plain range
 _N = "0-9²³¹¼-¾"  # its digits and numbers
 PLAIN = re.compile("[\n\x20-\x7e¡-įı-ɏ]*")
 #: Where a piece's ids could depend on what stands beside it.
-ODD = re.compile("  | \n|\n |\n\n\n|\n\n\\Z|'[A-ZÀ-ɏ]")
+ODD = re.compile("  | \n|\n |\n\n\n|\n\n\\Z| '|'[A-ZÀ-ɏ]")
 PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_L}{_N}\\s]+|[ \n]")
 WORD = re.compile(f" [{_L}]+")
 
 
 class CachedEncoder:
-    """Encodes texts to little-endian ids of ``dtype``, as bytes."""
+    """Encodes texts to little-endian ids of ``dtype``, as bytes.
 
-    def __init__(self, tokenizer_path: str, limit: int = 600_000):
+    Two generations of at most ``limit`` pieces are kept: when the young one is full it becomes the old one, and what
+    is met again in the old one moves to the young, so frequent words stay.
+    """
+
+    def __init__(self, tokenizer_path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.old = limit, {}, {}
+        # Tokens that begin, or end, a word when words stand one after the other with a space before each.
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.begins = np.array([x.startswith("\u0120") for x in tokens])
+        self.ends = np.array([x.endswith("</w>") for x in tokens])
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out, lo, held = [], 0, 0
+        for hi, text in enumerate(texts, 1):  # the library's own objects are large: few at a time
+            held += len(text) + 16
+            if held > 1 << 17 or hi == len(texts):
+                out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+                lo, held = hi, 0
+        return out
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each of many words, encoded as one text."""
+        raw = self.whole(["".join(words)])[0]
+        ids, width = np.frombuffer(raw, dtype=self.dtype), self.dtype.itemsize
+        for cuts in (np.flatnonzero(self.begins[ids]), np.append(0, np.flatnonzero(self.ends[ids])[:-1] + 1)):
+            if len(cuts) == len(words):
+                bounds = [*(cuts * width).tolist(), len(raw)]
+                return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        return self.whole(words)
 
     def _learn(self, wanted: set[str]) -> None:
         words = [x for x in wanted if WORD.fullmatch(x)]
         for lo in range(0, len(words), 4096):
             part = words[lo : lo + 4096]
-            encoded = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, at = np.array(encoded.ids, dtype=self.dtype), np.array(encoded.word_ids, dtype=np.int64)
-            cuts = np.searchsorted(at, np.arange(len(part) + 1))
-            if len(at) and at[-1] == len(part) - 1 and (np.diff(cuts) > 0).all():
-                raw, bounds = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-                self.known.update([(x, raw[a:b]) for x, a, b in zip(part, bounds, bounds[1:])])
-            else:  # the words didn't stay apart
-                self.known.update(zip(part, self.whole(part), strict=True))
+            self.known.update(zip(part, self._apart(part), strict=True))
         rest = list(wanted.difference(words))
         self.known.update(zip(rest, self.whole(rest), strict=True))
 
@@ -65,9 +81,12 @@ class CachedEncoder:
         new = wanted.difference(self.known)
         if new:
             if len(self.known) + len(new) > self.limit:
-                self.known.clear()
+                self.known, self.old = {}, self.known
                 new = wanted
-            self._learn(new)
+            old = self.old
+            again = [x for x in new if x in old]
+            self.known.update([(x, old[x]) for x in again])
+            self._learn(new.difference(again))
         get = self.known.__getitem__
         return [next(rest) if x is None else b"".join(map(get, x)) for x in pieces]
 

@@ -39,16 +39,15 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, words of the text, and a hash of it."""
+    """doc_id, source, hash of the text, words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches):
-            block = Block.of(text_column(batch))
-            _, _, first = block.words()
-            whole = block.hashes(block.offsets[:-1], block.offsets[1:]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(whole)], ["doc_id", "source", "size", "digest"])
+            _, _, first = Block.of(text_column(batch)).words()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(first))], ["doc_id", "source", "digest", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, size long, digest long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("digest"), "text")
+    return rows.mapInArrow(run, "doc_id long, source string, digest long, size long")
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -160,3 +159,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         out = out.unionByName(more)
     copies = F.col("whole") + F.col("prob").cast("long")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "digest")
+
+
+def take_mix(docs: DataFrame) -> DataFrame:
+    """``docs`` as mixed: each row as often as it is taken, with all its columns.
+
+    Rows that share id, text and source are taken as often as their mean, rounded.
+    """
+    decided = mix(docs).groupBy("doc_id", "digest", "source").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
+    decided = decided.withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "source": "_source"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    taken = docs.join(decided, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[docs[x] for x in docs.columns])
