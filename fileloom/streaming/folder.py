@@ -9,10 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from fileloom.functions import formats, paths
 from fileloom.operators import content, sinks
 
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def arriving(spark: SparkSession, folder: str, from_filter: str = "auto", per_trigger: int = 1000) -> DataFrame:
     """A stream of input_path, content, from_format of files with an allowed extension."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
+    rows = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
     path = F.regexp_replace("path", "^file:/*", "/")
     ext = paths.extension(path)
     return rows.filter(formats.extension_allowed(ext, F.lit(from_filter))).select(path.alias("input_path"), "content", formats.parse_format(ext).alias("from_format"))
