@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 
@@ -21,74 +23,77 @@ PLAIN = re.compile("[\n\x20-\x7e¡-įı-ɏ]*")
 #: Where a piece's ids could depend on what stands beside it.
 ODD = re.compile("  | \n|\n |\n\n\n|\n\n\\Z| '|'[A-ZÀ-ɏ]")
 PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_L}{_N}\\s]+|[ \n]")
-WORD = re.compile(f" [{_L}]+")
+FORMATS = {code: [f"<{n}{code}" for n in range(64)] for code in "HI"}
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level models write the bytes that aren't printable ASCII: the others in order, from U+0100."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Known(dict):
+    """Ids of pieces met; a new one is looked for among those kept before, then learned."""
+
+    def __init__(self, learn: Callable[[str], bytes], old: dict[str, bytes]):
+        self.learn, self.old = learn, old
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        self[piece] = found = self.learn(piece) if found is None else found
+        return found
 
 
 class CachedEncoder:
     """Encodes texts to little-endian ids of ``dtype``, as bytes.
 
-    Two generations of at most ``limit`` pieces are kept: when the young one is full it becomes the old one, and what
+    Two generations of at most about ``limit`` pieces are kept: when the young one is full it becomes the old one, and what
     is met again in the old one moves to the young, so frequent words stay.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 400_000):
+    def __init__(self, tokenizer_path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
-        self.limit, self.known, self.old = limit, {}, {}
-        # Tokens that begin, or end, a word when words stand one after the other with a space before each.
-        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.begins = np.array([x.startswith("\u0120") for x in tokens])
-        self.ends = np.array([x.endswith("</w>") for x in tokens])
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        out, lo, held = [], 0, 0
-        for hi, text in enumerate(texts, 1):  # the library's own objects are large: few at a time
-            held += len(text) + 16
-            if held > 1 << 17 or hi == len(texts):
-                out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
-                lo, held = hi, 0
-        return out
+        self.limit, self.letters, self.model = limit, byte_letters(), self.tokenizer.model
+        # A lone word can go to the library's model directly, in the form that its pre-tokenizer would give it.
+        self.form = next((f for f in (self._spaced, self._lowered) if all(self._by_model(f, w) == self._by_library(w) for w in (" hello", " The", " Größe", " été", " thntti", " Ángel", " ŷñ"))), None)
+        self.known = Known(self._learn, {})
+
+    def _by_library(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _spaced(self, word: str) -> str:
+        return "\u0120" + word[1:] if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
 
-    def _apart(self, words: list[str]) -> list[bytes]:
-        """Ids of each of many words, encoded as one text."""
-        raw = self.whole(["".join(words)])[0]
-        ids, width = np.frombuffer(raw, dtype=self.dtype), self.dtype.itemsize
-        for cuts in (np.flatnonzero(self.begins[ids]), np.append(0, np.flatnonzero(self.ends[ids])[:-1] + 1)):
-            if len(cuts) == len(words):
-                bounds = [*(cuts * width).tolist(), len(raw)]
-                return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-        return self.whole(words)
-
-    def _learn(self, wanted: set[str]) -> None:
-        words = [x for x in wanted if WORD.fullmatch(x)]
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            self.known.update(zip(part, self._apart(part), strict=True))
-        rest = list(wanted.difference(words))
-        self.known.update(zip(rest, self.whole(rest), strict=True))
+    def _lowered(self, word: str) -> str:
+        word = word[1:].lower()
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _by_model(self, form: Callable[[str], str], word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(form(word))]
+        return pack(FORMATS[self.code][len(ids)], *ids) if len(ids) < 64 else np.array(ids, dtype=self.dtype).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        return self._by_model(self.form, piece) if piece[0] == " " and piece[1:].isalpha() and self.form is not None else self._by_library(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(PLAIN.fullmatch(x)) and not ODD.search(x) and not self.special.search(x) for x in texts]
-        rest = iter(self.whole([x for x, p in zip(texts, plain, strict=True) if not p]))
-        pieces = [PIECES.findall(x) if p else None for x, p in zip(texts, plain, strict=True)]
-        wanted = set().union(*[x for x in pieces if x])
-        new = wanted.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.limit:
-                self.known, self.old = {}, self.known
-                new = wanted
-            old = self.old
-            again = [x for x in new if x in old]
-            self.known.update([(x, old[x]) for x in again])
-            self._learn(new.difference(again))
-        get = self.known.__getitem__
-        return [next(rest) if x is None else b"".join(map(get, x)) for x in pieces]
+        out = []
+        for x in texts:
+            if PLAIN.fullmatch(x) and not ODD.search(x) and not self.special.search(x):
+                out.append(b"".join(map(self.known.__getitem__, PIECES.findall(x))))
+            else:
+                out.append(self._by_library(x))
+            if len(self.known) > self.limit:
+                self.known = Known(self._learn, dict(self.known))
+        return out
 
 
 _encoders: dict[str, CachedEncoder] = {}
