@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document's words, hashed, are projected to ``DIMS`` dimensions (the mean of a pseudo-random value per word and
+Each document's bag of tokens is projected to ``DIMS`` dimensions (the mean of a hashed value per token and
 dimension); the point's place on a Hilbert curve is the sort key. Documents are range-partitioned and sorted by that
 key, so that neighbours on the curve share sequences, and are packed one after the other: a document is cut where a
 sequence is full. Only a partition's last sequence can be short; it is cut into lengths that are powers of two, which
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +27,27 @@ from pyspark.sql import functions as F
 
 from fileloom.llm.common import batch_slices, materialize, partitions, text_column
 from fileloom.llm.encoding import encoder
-from fileloom.llm.wordblocks import Block
+from fileloom.llm.wordblocks import mix
 
 SEQUENCE = 2048
 DIMS, BITS = 3, 10
-#: Means of projected words lie within about this distance of 0; what lies beyond is clipped.
+#: Means of projected tokens lie within about this distance of 0; what lies beyond is clipped.
 REACH = 0.5
 
 
-def project(column: pa.Array) -> np.ndarray:
-    """Grid coordinates (row, dimension) of each text; texts without words lie at the centre."""
-    block = Block.of(column)
-    starts, ends, first = block.words()
-    hashes = block.hashes(starts, ends, lower=True)
-    out = np.empty((len(block), DIMS), dtype=np.int64)
-    n = np.maximum(np.diff(first), 1)
-    for d in range(DIMS):
-        value = ((hashes >> np.uint64(20 * d)) & np.uint64(0xFFFFF)).astype(np.int64) - (1 << 19)
-        total = np.zeros(len(value) + 1, dtype=np.int64)
-        np.cumsum(value, out=total[1:])
-        mean = (total[first[1:]] - total[first[:-1]]) / n / (1 << 19)
-        out[:, d] = np.clip((mean / REACH + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
-    return out
+@lru_cache(maxsize=2)
+def directions(size: int) -> np.ndarray:
+    """Pseudo-random value of each token id in each dimension, from -1 to 1."""
+    hashes = mix(np.arange(size, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([((hashes >> np.uint64(20 * d)) & np.uint64(0xFFFFF)).astype(np.float64) / (1 << 19) - 1 for d in range(DIMS)]).astype(np.float32)
+
+
+def project(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Grid coordinates (document, dimension) of documents given by their ids, one after the other; none is empty."""
+    begin = np.cumsum(lengths) - lengths
+    table = directions(1 << (8 * ids.dtype.itemsize) if ids.dtype.itemsize == 2 else int(ids.max()) + 1)
+    mean = np.stack([np.add.reduceat(own[ids], begin, dtype=np.float64) / lengths for own in table], axis=1)
+    return np.clip((mean / REACH + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -84,9 +84,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         encode = encoder(tokenizer_path)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         for batch in batch_slices(batches):
-            column = text_column(batch)
-            ids = [x + end for x in encode.encode([x or "" for x in column.to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert_key(project(column))), pa.array(ids, pa.binary()), pa.array([encode.dtype.itemsize] * len(ids), pa.int32())], ["doc_id", "curve", "ids", "width"])
+            ids = [x + end for x in encode.encode([x or "" for x in text_column(batch).to_pylist()])]
+            lengths = np.array([len(x) for x in ids]) // encode.dtype.itemsize
+            curve = hilbert_key(project(np.frombuffer(b"".join(ids), dtype=encode.dtype), lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve), pa.array(ids, pa.binary()), pa.array([encode.dtype.itemsize] * len(ids), pa.int32())], ["doc_id", "curve", "ids", "width"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, curve long, ids binary, width int")
 
