@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fileloom.llm import language_crf, lz_fingerprint, mixing, ngram_join, packing, quality_rules, record_files, sharding, suffix_dedup, toxicity
+from fileloom.llm import language_crf, lz_fingerprint, mixing, ngram_join, oracles, packing, quality_rules, record_files, sharding, suffix_dedup, toxicity
+
+
+QUALITY_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.score_quality(documents(spark, sf_dir))
+    return quality_rules.score_quality(documents(spark, sf_dir)).select(*QUALITY_COLUMNS)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_ngram_join": oracles.LINKS, "op8_quality": oracles.QUALITY}
