@@ -5,7 +5,7 @@ times for certain, and once more with the fractional rest as its inclusion proba
 that choice: the vector of probabilities moves through the null space of the balancing constraints (documents and
 words of the source), each move fixing at least one document at 0 or 1, so both totals stay what they were.
 
-Documents are dealt to blocks within their source, and each block's flight runs in one task; the at most two
+Documents are dealt to blocks within their source, and each block's flight runs in one task; the at most eight
 documents it leaves undecided go, with their probabilities as they then are, to the next level, where a block
 gathers what many blocks left, until a source has one block. A source with a third of all rows is so many blocks. Only
 at the end are a dozen documents of each source landed, by whichever outcome leaves its words closest to the target.
@@ -33,8 +33,8 @@ from fileloom.llm.wordblocks import Block
 
 #: Documents of a flight, at about.
 BLOCK = 4096
-#: Documents set aside for the landing, which tries all their outcomes.
-LANDING = 10
+#: Documents set aside for the landing, which tries all their outcomes; and those that other flights leave to the next level.
+LANDING, KEPT_OPEN = 10, 6
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
@@ -106,14 +106,14 @@ def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def last_flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A flight that sets ``LANDING`` documents of various sizes aside, then lands them with those it leaves."""
-    open_ = np.flatnonzero((prob > 0) & (prob < 1))
-    aside = np.unique(open_[np.linspace(0, len(open_) - 1, min(LANDING, len(open_))).astype(int)]) if len(open_) else open_
+def set_aside(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, n: int) -> np.ndarray:
+    """A flight of all but ``n`` documents, which are of various sizes (rows are sorted by size)."""
+    undecided = np.flatnonzero((prob > 0) & (prob < 1))
+    aside = np.unique(undecided[np.linspace(0, len(undecided) - 1, min(n, len(undecided))).astype(int)]) if len(undecided) else undecided
     rest = np.setdiff1d(np.arange(len(prob)), aside)
     out = prob.copy()
     out[rest] = flight(prob[rest], size[rest], rng)
-    return land(out, size)
+    return out
 
 
 def _seed(source: str | None, level: int, block: int) -> list[int]:
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     whole = F.floor("rate").cast("long")
     state = joined.select("doc_id", "digest", "source", "size", "source_size", "target", "blocks", "block", whole.alias("whole"), (F.col("rate") - whole).alias("prob"))
     schema = state.schema
-    fan, level, decided = block // 2, 0, []
+    fan, level, decided = max(2, block // 8), 0, []
     most_blocks = max([p[5] for p in plan], default=1)
     while True:
         last = most_blocks == 1
@@ -143,8 +143,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             pdf = pdf.sort_values(["size", "doc_id", "digest"], ascending=[False, True, True], na_position="first", kind="stable")
             source, prob, size = pdf["source"].iloc[0], pdf["prob"].to_numpy(), pdf["size"].to_numpy()
             source = None if pd.isna(source) else source
-            move = last_flight if pdf["blocks"].iloc[0] == 1 else flight
-            pdf["prob"] = move(prob, size, np.random.default_rng(_seed(source, level, int(pdf["block"].iloc[0]))))
+            rng, final = np.random.default_rng(_seed(source, level, int(pdf["block"].iloc[0]))), pdf["blocks"].iloc[0] == 1
+            prob = set_aside(prob, size, rng, LANDING if final else KEPT_OPEN)
+            pdf["prob"] = land(prob, size) if final else prob
             return pdf
 
         moved = materialize(state.groupBy("source", "block").applyInPandas(run, schema), f"flight{level}")

@@ -14,7 +14,7 @@ partitions.
 
 Defined results: texts of fewer than ``LEAST`` words and null texts repeat nothing; repeats within one document don't
 count; equal texts under different ids repeat each other whole, if they have ``LEAST`` words; rows of one id and one text are
-one document; a null id stands for a number made of the text's hash; an empty table gives an empty result.
+one document; a null id stands for a number made of the text's hash, greater than usual ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ SPAN = LEAST - ANCHOR + 1
 
 
 def identity() -> Column:
-    """A number for each document: its id, or one made of the text where that is null."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    """A number for each document: its id, or a great one made of the text where that is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1) + (1 << 62))
 
 
 def minimisers(hashes: np.ndarray, first: np.ndarray, span: int = SPAN) -> np.ndarray:
