@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fileloom import api
 from fileloom.functions import formats, text
+from fileloom.operators import raster
 from fileloom.sources import manifest
 from fileloom.sources.manifest import InputError
 
@@ -69,6 +70,14 @@ def report(result: api.BatchResult) -> str:
     return "\n".join([*out, *(f"{r.input_path}: {r.error_message}" for r in failed), *(f"{p}: {e}" for p, e in s["deletion_errors"])])
 
 
+def panel(args: argparse.Namespace, target: str) -> str:
+    """The options of a batch, in a box."""
+    shown = args.input if len(args.input) <= 35 else "..." + args.input[-32:]
+    rows = [("Target:", shown), ("Formats:", target), ("Quality:", f"{args.quality} (lossless={str(args.lossless).lower()})"), ("Recursive:", str(args.recursive).lower()), ("Delete Original:", str(args.delete_original).lower()), ("Overwrite Existing:", str(args.overwrite).lower())]
+    body = [f"| {name:<19}{value:<35} |" for name, value in rows]
+    return "\n".join(["+" + "-" * 56 + "+", *body, "+" + "-" * 56 + "+"])
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "list-formats":
         list_formats(spark, args.json)
@@ -86,8 +95,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if files is None and not os.path.isdir(single):
         made = api.convert(spark, single, args.to, args.output, args.source, options)
         print(json.dumps({"output_files": made}, indent=2) if args.json else "\n".join(f"{f['path']} ({f['size_bytes']} bytes): {f['description']}" for f in made))
+        if not args.json and any(f["path"].endswith("favicon-tags.html") for f in made):
+            print(raster.HTML_TAGS, end="")
         return 0
     root = manifest.glob_root(args.input) if files else single
+    if not (args.json or args.quiet):
+        print(panel(args, args.to or "auto"))
     result = api.batch_convert(spark, root, args.to, args.output, args.source, args.recursive, files, options)
     if args.json:
         print(json.dumps({"tasks": [r.asDict() for r in result.tasks.toLocalIterator()], "deleted": result.deleted, "deletion_errors": result.deletion_errors}, indent=2))
