@@ -15,8 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     are written in the shared folder. Nodes may be of any type that has an order. Sums are partial before the
     shuffle, and a hub's edges are a skewed join side that adaptive execution splits.
     """
-    both = edges.filter(F.col("a") != F.col("b")).select("a", "b")
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ends = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.filter(F.col("a") != F.col("b")).select(F.explode(ends).alias("e")).select("e.a", "e.b")
+    both = materialize(both.distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     turn = 0
     while True:

@@ -1,17 +1,17 @@
 """N-gram Jaccard join with several global token orders.
 
 A document's set is its distinct ``K``-word shingles, as 64-bit hashes. Two sets with Jaccard similarity t or more share
-a token among the first n - ceil(t n) + 1 tokens of each, under every global order of the tokens. ``ORDERS`` orders are
-used, and a pair is only compared if it passes the filter under all of them:
-
-1. Documents of equal sets become one class; copies are never compared.
-2. Under the first order, each prefix token links the classes that hold it in a star (as many edges as rows, never all
-   pairs); connected components of the stars are the first clusters. Most documents are in none and are done.
-3. For those left, stars and components are formed under each further order. A pair that passes all filters
-   lies in one cluster under every order, so the clusters are intersected.
-4. In an intersected cluster each document's set is compared to those of like size with which it shares a prefix token
-   under every order, and with which it isn't connected yet. Clusters beyond ``BLOCK_BYTES`` are split into blocks, and
-   each pair of blocks is a task; only links that join something are returned.
+a token among the first n - ceil(t n) + 1 tokens of each, under every global order of the tokens. Candidates must share a
+prefix token under each of ``ORDERS`` orders:
+
+1. Documents of equal sets become one class; copies are never compared. Classes carry a vector of token counts by hash
+   bucket: the distance of two vectors is no more than the number of tokens in which the sets differ.
+2. Groups of near copies are joined first, so that they needn't be compared pair by pair: classes that share a min-hash are
+   compared to the most typical of them. Links found are verified, and make first components.
+3. Prefix tokens under the first order are shuffled, and those that occur once are dropped. A token's classes are
+   paired if they are of like size and not in one first component; a pair stays if its count vectors are near enough.
+4. Pairs left must share a prefix token under every further order, and then their sets are compared in full.
+5. Components of all links give the result.
 
 All orders put frequent tokens last, so passages that many documents share are rarely in a prefix. Frequencies come from
 one pass over all documents, in which each task reports tokens that repeat among its own; the most frequent ``HEAVY``
@@ -38,8 +38,7 @@ from fileloom.llm.wordblocks import Block, mix, spread, windows
 
 U = np.uint64
 K, PERCENT, ORDERS = 5, 80, 3
-HEAVY, HEAVY_FOLD, HEAVY_LEAST = 1 << 17, 1 << 21, 3
-BLOCK_BYTES = 8 << 20
+HEAVY, HEAVY_FOLD, HEAVY_LEAST = 1 << 18, 1 << 21, 2
 SALTS = [U(0x8C3D1F5A7B9E2461), U(0x1D8E4E27C47D124F), U(0xEB44ACCAB455D165), U(0x6A09E667F3BCC909)]
 
 
@@ -108,260 +107,358 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, frequent: Frequent, order:
     return values[by][keep], owner[keep]
 
 
-def stars(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each distinct token one of its nodes; and the edges from that node to the token's others."""
-    by = np.lexsort((node, token))
-    token, node = token[by], node[by]
-    head = np.ones(len(token), dtype=bool)
-    head[1:] = token[1:] != token[:-1]
-    hub = node[np.maximum.accumulate(np.where(head, np.arange(len(token)), 0))]
-    rest = ~head & (hub != node)
-    return token[head], node[head], hub[rest], node[rest]
+BINS, STAR_KEYS, SHORT, LOW = 32, 6, 256, 8
+
+
+def min_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Least hash of each set in each of ``BINS`` ranges of hashes (an empty range has the next one's), by set and range."""
+    n = len(bounds) - 1
+    out = np.zeros((n, BINS), dtype=np.uint64)
+    owner = spread(np.diff(bounds))
+    place = owner * BINS + (values >> U(59)).astype(np.int64)
+    head = np.ones(len(place), dtype=bool)
+    head[1:] = place[1:] != place[:-1]  # values are sorted within a set
+    out.reshape(-1)[place[head]] = values[head]
+    for k in [*range(BINS - 2, -1, -1), *range(BINS - 1, -1, -1)]:
+        out[:, k] = np.where(out[:, k] == 0, out[:, (k + 1) % BINS], out[:, k])
+    return out
+
+
+def count_vectors(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Tokens per hash bucket of each set, a byte each; about half as many buckets as tokens, always a power of two.
+
+    Counts stop at 255, which can only bring vectors nearer.
+    """
+    n = np.diff(bounds)
+    width = (1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), 4, 15).astype(np.int64)) * (n > 0)
+    offset = np.concatenate([[0], np.cumsum(width)])
+    owner = spread(n)
+    counts = np.bincount(offset[owner] + (values & (width[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=offset[-1])
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(np.minimum(counts, 255).astype(np.uint8).tobytes())])
+
+
+def short_vectors(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Tokens in each of ``SHORT`` buckets of each set, two to a byte; counts stop at 15."""
+    n = len(bounds) - 1
+    place = spread(np.diff(bounds)) * SHORT + (values & U(SHORT - 1)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=n * SHORT), 15).astype(np.uint8).reshape(n, SHORT // 2, 2)
+    return counts[:, :, 0] << 4 | counts[:, :, 1]
+
+
+def unpacked(short: np.ndarray) -> np.ndarray:
+    return np.stack([short >> 4, short & 15], axis=2).reshape(len(short), SHORT).astype(np.int8)
+
+
+def vector_distance(a: bytes, b: bytes) -> int:
+    """No more than the number of tokens in one set and not in the other."""
+    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (a, b))
+    width = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, width).sum(0) - y.reshape(-1, width).sum(0)).sum()) if width else 0
+
+
+def near_enough(n: int, m: int, distance: int, percent: int = PERCENT) -> bool:
+    """Whether sets of these sizes that differ in that many tokens can reach the similarity."""
+    return distance * (100 + percent) <= (100 - percent) * (n + m)
+
+
+FIRST = "doc_id long, n_shingles long, hi long, lo long, vector binary, keys array<long>, sketch binary, short binary, token long, count long"
+NAMES = [x.split()[0] for x in FIRST.split(", ")]
 
 
 def _first_pass(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (doc_id, n_shingles, name) and rows of tokens that repeat within a task (token, count)."""
-    schema = "doc_id long, n_shingles long, hi long, lo long, token long, count long"
-    names = [x.split()[0] for x in schema.split(", ")]
+    """Rows of documents (doc_id, n_shingles, name, vector, min-hashes) and rows of tokens that repeat within a task (token, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, set()
 
         def repeated() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count >= HEAVY_LEAST].view(np.int64), count[count >= HEAVY_LEAST]
-            none = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token), pa.array(count)], names)
+            none = [pa.nulls(len(token), x) for x in kinds]
+            return pa.RecordBatch.from_arrays([*none, pa.array(token), pa.array(count)], NAMES)
 
+        kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batch_slices(batches):
             values, bounds = shingle_sets(text_column(batch), k)
             hi, lo = set_names(values, bounds)
+            least = min_hashes(values, bounds)
+            keys = pa.array(list((mix(least[:, :: BINS // STAR_KEYS][:, :STAR_KEYS]) + np.arange(STAR_KEYS, dtype=np.uint64)).view(np.int64)), kinds[5])
+            sketch = (mix(least) & U(255)).astype(np.uint8)
             none = pa.nulls(len(hi), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(hi), pa.array(lo), none, none], names)
-            held.append(values)
-            size += len(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(hi), pa.array(lo), count_vectors(values, bounds), keys, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in short_vectors(values, bounds)], pa.binary()), none, none], NAMES)
+            fresh = np.array([x not in seen for x in hi.tolist()], dtype=bool)  # copies don't make a token frequent
+            seen.update(hi.tolist())
+            held.append(values[np.repeat(fresh, np.diff(bounds))])
+            size += len(held[-1])
             if size >= HEAVY_FOLD:
                 yield repeated()
-                held, size = [], 0
+                held, size, seen = [], 0, set()
         if held:
             yield repeated()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FIRST)
 
 
-def _star_pass(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) of the stars of prefix tokens under the first order; nodes are the first half of sets' names.
+def _runs(key: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist() if len(key) else []
+    return list(zip(cuts, cuts[1:]))
 
-    Each task already joins what its own documents share, and passes on each token once per slice of documents.
-    """
+
+#: Members from which a group's most typical one is chosen; all members are compared to it.
+TYPICAL_OF = 4096
+#: Least share of equal min-hashes for which the comparison is made before the exact join.
+ALIKE = 0.4
+
+
+def _star_pairs(classes: DataFrame, n: int) -> DataFrame:
+    """(a, b): the most typical member of each min-hash group with every other that seems alike."""
+
+    def typical(sketches: np.ndarray) -> int:
+        score = np.zeros(len(sketches), dtype=np.int64)
+        for k in range(BINS):
+            score += sketches[:, k] == np.bincount(sketches[:, k], minlength=256).argmax()
+        return int(score.argmax())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = hub = hub_sketch = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[np.ndarray] = []
+
+        def star(nodes: np.ndarray, sketches: np.ndarray) -> None:
+            near = ((sketches == hub_sketch).mean(1) >= ALIKE) & (nodes != hub)
+            out.append(np.stack([np.full(near.sum(), hub), nodes[near]], axis=1))
+
+        def settle() -> None:
+            nonlocal hub, hub_sketch, held
+            if hub is None and held:
+                nodes, sketches = (np.concatenate(x) for x in zip(*held, strict=True))
+                if len(nodes) > 1:
+                    at = typical(sketches)
+                    hub, hub_sketch = nodes[at], sketches[at]
+                    star(nodes, sketches)
+            held = []
+
+        for batch in batches:
+            keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw = batch.column(2)
+            sketches = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[raw.offset * BINS : (raw.offset + len(raw)) * BINS].reshape(-1, BINS)
+            for lo, hi in _runs(keys):
+                if keys[lo] != key:
+                    settle()
+                    key, hub, held = keys[lo], None, []
+                if hub is not None:
+                    star(nodes[lo:hi], sketches[lo:hi])
+                else:
+                    held.append((nodes[lo:hi].copy(), sketches[lo:hi].copy()))
+                    if sum(len(x) for x, _ in held) >= TYPICAL_OF:
+                        settle()
+            if sum(map(len, out)) > 20_000:
+                pairs, out[:] = np.concatenate(out), []
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        settle()
+        if sum(map(len, out)):
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    rows = classes.select(F.explode("keys").alias("key"), "hi", "sketch")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "hi").mapInArrow(run, "a long, b long")
+
+
+def _shared_tokens(docs: DataFrame, frequent, n: int, k: int, percent: int) -> DataFrame:
+    """(token, node) for prefix tokens under the first order that several classes have."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batch_slices(batches, limit=1 << 22):
+        for batch in batch_slices(batches):
             values, bounds = shingle_sets(text_column(batch), k)
             hi, _ = set_names(values, bounds)
-            fresh = np.array([x not in seen for x in hi.tolist()], dtype=bool)
-            if len(seen) > 1_000_000:
+            fresh = np.zeros(len(hi), dtype=bool)
+            fresh[np.unique(hi, return_index=True)[1]] = True
+            fresh &= np.array([x not in seen for x in hi.tolist()], dtype=bool)  # a class once per task
+            if len(seen) > 200_000:
                 seen.clear()
             seen.update(hi.tolist())
             token, owner = prefixes(values, bounds, frequent.value, 0, percent)
-            token, owner = token[fresh[owner]], owner[fresh[owner]]
-            token, hub, a, b = stars(token.view(np.int64), hi[owner])
-            edge = np.concatenate([np.zeros(len(token), dtype=bool), np.ones(len(a), dtype=bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, a])), pa.array(np.concatenate([hub, b])), pa.array(edge)], ["x", "y", "edge"])
+            keep = fresh[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(hi[owner[keep]])], ["token", "node"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, told = None, False  # the last row, and whether it was returned
+        for batch in batches:
+            token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if before is not None:
+                token, node = np.append(before[0], token), np.append(before[1], node)
+            fresh = np.ones(len(token), dtype=bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, node = token[fresh], node[fresh]
+            twin = np.zeros(len(token) + 1, dtype=bool)
+            twin[1:-1] = token[1:] == token[:-1]
+            keep = twin[:-1] | twin[1:]
+            last = keep[-1]
+            if before is not None and told:
+                last = last if len(token) > 1 else True
+                keep[0] = False
+            before, told = (token[-1], node[-1]), bool(last)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], ["token", "node"])
+
+    rows = docs.select("text").mapInArrow(local, "token long, node long")
+    return rows.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(several, "token long, node long")
+
+
+def _cross_pairs(shared: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of classes that share a token, are of like size and lie in different first components.
+
+    ``shared``: token, node, n, label, short, low (the node's least shared tokens). Within a token's group those of its largest component are compared to the others
+    only, never among themselves; only pairs whose short count vectors are near enough leave the task. A pair is
+    passed over where both have a lesser token among their ``low``: that token's group has the pair.
+    """
 
-    rows = docs.select("text").mapInArrow(local, "x long, y long, edge boolean")
-    return _joined_stars(rows, partitions(docs.sparkSession))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+
+        def group(token: int, node: np.ndarray, size: np.ndarray, label: np.ndarray, short: np.ndarray, low: np.ndarray) -> None:
+            found, at, counts = np.unique(label, return_inverse=True, return_counts=True)
+            if len(found) < 2:
+                return
+            short = unpacked(short)
+            rank = np.where(at == counts.argmax(), len(node), np.arange(len(node)))  # pairs start at the others
+            for i in np.flatnonzero(at != counts.argmax()).tolist():
+                good = (label != label[i]) & (rank > rank[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+                near = np.flatnonzero(good)
+                lesser = low[i][low[i] < token]
+                if len(lesser) and len(near):
+                    near = near[~np.isin(low[near], lesser).any(1)]
+                distance = np.abs(short[near] - short[i]).sum(1, dtype=np.int64)
+                other = node[near[distance * (100 + percent) <= (100 - percent) * (size[near] + size[i])]]
+                if len(other):
+                    out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], axis=1))
+
+        def ready() -> pa.RecordBatch:
+            pairs, out[:] = np.unique(np.concatenate(out), axis=0), []
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        key = None
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(4)]
+            raw = batch.column(4)
+            columns.append(np.frombuffer(raw.buffers()[2], dtype=np.uint8)[raw.offset * SHORT // 2 : (raw.offset + len(raw)) * SHORT // 2].reshape(-1, SHORT // 2))
+            columns.append(batch.column(5).flatten().to_numpy().reshape(-1, LOW))
+            for lo, hi in _runs(columns[0]):
+                if columns[0][lo] != key:
+                    if held:
+                        group(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    key, held = columns[0][lo], []
+                held.append(tuple(x[lo:hi].copy() for x in columns[1:]))
+            if sum(map(len, out)) > 50_000:
+                yield ready()
+        if held:
+            group(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
+        if out:
+            yield ready()
 
+    rows = shared.select("token", "node", "n", "label", "short", "low").repartition(n, "token").sortWithinPartitions("token")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-def _joined_stars(rows: DataFrame, n: int) -> DataFrame:
-    """Edges from rows (x, y, edge): those that are edges, and stars over the y of equal x."""
+
+def _vector_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose count vectors don't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token = last_hub = None
         for batch in batches:
-            x, y, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out_a, out_b = [x[edge]], [y[edge]]
-            x, y = x[~edge], y[~edge]
-            if len(x):
-                head = np.ones(len(x), dtype=bool)
-                head[1:] = x[1:] != x[:-1]
-                at = np.maximum.accumulate(np.where(head, np.arange(len(x)), 0))
-                hub = y[at]
-                if last_token == x[0]:
-                    hub[at == 0] = last_hub
-                last_token, last_hub = x[-1], hub[-1]
-                rest = hub != y
-                out_a.append(hub[rest])
-                out_b.append(y[rest])
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return rows.repartition(n, "x").sortWithinPartitions("edge", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _tagged(order: int) -> int:
-    """What a node is combined with under a further order, so that one search finds the clusters of all orders."""
-    return int(SALTS[order].astype(np.int64))
-
-
-def _later_stars(sets: DataFrame, frequent, percent: int, orders: int) -> DataFrame:
-    """Edges of the stars under the orders after the first, among documents of one first cluster."""
+            good = [near_enough(n, m, vector_distance(x, y), percent) for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hi, cluster = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            raw = batch.column(2).to_pylist()
-            values = np.frombuffer(b"".join(raw), dtype="<u8").astype(np.uint64)
-            bounds = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
-            for order in range(1, orders):
-                token, owner = prefixes(values, bounds, frequent.value, order, percent)
-                token = mix(token + mix(cluster.view(np.uint64)[owner]) + U(order)).view(np.int64)
-                token, hub, a, b = stars(token, (hi ^ SALTS[order].astype(np.int64))[owner])
-                edge = np.concatenate([np.zeros(len(token), dtype=bool), np.ones(len(a), dtype=bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, a])), pa.array(np.concatenate([hub, b])), pa.array(edge)], ["x", "y", "edge"])
-
-    rows = sets.select("hi", "cluster", "tokens").mapInArrow(local, "x long, y long, edge boolean")
-    return _joined_stars(rows, partitions(sets.sparkSession))
-
-
-class Links:
-    """Finds links within a group of sets; keeps what is connected already."""
-
-    def __init__(self, frequent: Frequent, percent: int, orders: int):
-        self.frequent, self.percent, self.orders = frequent, percent, orders
-
-    def _prefixes(self, sets: list[np.ndarray], order: int) -> list[np.ndarray]:
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-        token, owner = prefixes(np.concatenate(sets), bounds, self.frequent, order, self.percent)
-        return [np.sort(x) for x in np.split(token, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])]
-
-    @staticmethod
-    def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-        """How many of its tokens each of the others has in common with ``own``."""
-        flat = np.concatenate(others)
-        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-        total = np.concatenate([[0], np.cumsum(hit)])
-        ends = np.cumsum([len(x) for x in others])
-        return total[ends] - total[np.concatenate([[0], ends[:-1]])]
-
-    def find(self, sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
-        """Pairs of positions that are linked, as few as connect what is connected.
-
-        With both sides 0 and 1 among ``side``, only pairs across are compared: those within a side are another task's.
-        """
-        n, across = len(sets), len(set(side)) > 1
-        parent = list(range(n))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        size = np.array([len(x) for x in sets])
-        by = np.argsort(-size, kind="stable")
-        firsts = [self._prefixes(sets, order) for order in range(self.orders)]
-        out = []
-        for place, i in enumerate(by.tolist()):
-            near = [j for j in by[place + 1 :].tolist() if 100 * size[j] >= self.percent * size[i] and (not across or side[i] != side[j])]
-            near = [j for j in near if root(j) != root(i)]
-            for order in range(self.orders):
-                if near:
-                    shared = self._shared(firsts[order][i], [firsts[order][j] for j in near])
-                    near = [j for j, s in zip(near, shared, strict=True) if s]
-            if not near:
-                continue
-            shared = self._shared(sets[i], [sets[j] for j in near])
-            for j, s in zip(near, shared.tolist(), strict=True):
-                if 100 * s >= self.percent * (size[i] + size[j] - s) and root(i) != root(j):
-                    parent[root(j)] = root(i)
-                    out.append((i, j))
-        return out
-
-
-def _verified(grouped: DataFrame, frequent, percent: int, orders: int) -> DataFrame:
-    """Links between classes (by whole names) from rows sorted by cluster and pair of blocks."""
-    schema = "ahi long, alo long, bhi long, blo long"
+    own = classes.select("hi", "n", "vector")
+    joined = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
+    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = Links(frequent.value, percent, orders)
-        group, rows = None, []
 
-        def done() -> list[tuple]:
-            unique = list({(r[0], r[1]): r for r in rows}.values())
-            if len(unique) < 2:
-                return []
-            found = links.find([np.frombuffer(r[2], dtype="<u8").astype(np.uint64) for r in unique], [r[3] for r in unique])
-            return [(*unique[i][:2], *unique[j][:2]) for i, j in found]
+#: Up to so many documents their keys are broadcast to find their texts; more are found by a shuffle join.
+BROADCAST_ROWS = 500_000
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent, k: int, percent: int, orders: int) -> DataFrame:
+    """(a, b): names (hi, lo) of the pairs' classes that share prefix tokens under all orders and reach the similarity."""
+    nodes = pairs.select(F.col("a").alias("hi")).union(pairs.select(F.col("b").alias("hi"))).distinct()
+    wanted = materialize(classes.join(nodes, "hi").select("hi", "lo", "rep"), "wanted")
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # a checked size
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_slices(batches):
+            values, bounds = shingle_sets(text_column(batch), k)
+            hi, lo = set_names(values, bounds)
+            keep = np.flatnonzero((hi == batch.column(1).to_numpy()) & (lo == batch.column(2).to_numpy()))
+            tokens = [values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hi[keep]), pa.array(lo[keep]), pa.array(tokens, pa.binary())], ["hi", "lo", "tokens"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = texts.join(keys, texts["id"].eqNullSafe(keys["rep"])).select("text", "hi", "lo")
+    sets = materialize(found.mapInArrow(sets_of, "hi long, lo long, tokens binary"), "sets")
 
-        out: list[tuple] = []
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, None  # the left set of the row before, and its prefixes
         for batch in batches:
-            for c1, c2, c3, i, j, blk, hi, lo, tokens in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
-                if (c1, c2, c3, i, j) != group:
-                    out += done()
-                    group, rows = (c1, c2, c3, i, j), []
-                rows.append((hi, lo, tokens, int(i != j and blk == j)))
-            if len(out) > 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["ahi", "alo", "bhi", "blo"])
-                out = []
-        out += done()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["ahi", "alo", "bhi", "blo"])
+            good = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                if x != last:
+                    last, a = x, np.frombuffer(x, dtype="<u8").astype(np.uint64)
+                    first = [prefix_of(a, frequent.value, order, percent) for order in range(orders)]
+                b = np.frombuffer(y, dtype="<u8").astype(np.uint64)
+                good.append(100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and all(shares(first[order], prefix_of(b, frequent.value, order, percent)) for order in range(orders)) and reaches(a, b, percent))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], ["ahi", "alo", "bhi", "blo"])
+
+    left, right = sets.toDF("ahi", "alo", "x"), sets.toDF("bhi", "blo", "y")
+    joined = pairs.join(left, pairs.a == left.ahi).join(right, pairs.b == right.bhi)
+    links = joined.select("ahi", "alo", "bhi", "blo", "x", "y").mapInArrow(compare, "ahi long, alo long, bhi long, blo long")
+    return links.select(F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b")).distinct()
+
+
+def prefix_of(tokens: np.ndarray, frequent: Frequent, order: int, percent: int) -> np.ndarray:
+    keys = frequent.keys(tokens, order)
+    p = int(prefix_length(np.array([len(tokens)]), percent)[0])
+    return np.sort(tokens[np.argpartition(keys, p - 1)[:p]] if p < len(tokens) else tokens)
+
+
+def shares(a: np.ndarray, b: np.ndarray) -> bool:
+    return bool((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).any())
 
-    return grouped.mapInArrow(run, schema)
 
+def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
-def link(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, block_bytes: int = BLOCK_BYTES, heavy: int = HEAVY) -> DataFrame:
+
+def link(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id of each document (and hi, lo: the name of its set)."""
     spark = docs.sparkSession
     n = partitions(spark)
     first = materialize(_first_pass(docs, k), "shingles")
-    rows = first.filter(F.col("hi").isNotNull()).select("doc_id", "n_shingles", "hi", "lo")
+    rows = first.filter(F.col("hi").isNotNull())
     counted = first.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("c"))
-    top = counted.orderBy(F.desc("c"), "token").limit(heavy).collect()  # bounded by ``heavy``
-    frequent = spark.sparkContext.broadcast(Frequent(np.array([r.token for r in reversed(top)], dtype=np.int64).view(np.uint64)))
-
-    clusters = components(_star_pass(docs, frequent, k, percent)).withColumnsRenamed({"node": "hi", "label": "cluster"})
-    classes = rows.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    top = counted.orderBy(F.desc("c"), "token").limit(heavy).select("token").toPandas()["token"]  # bounded by ``heavy``
+    frequent = spark.sparkContext.broadcast(Frequent(top.to_numpy(dtype=np.int64)[::-1].copy().view(np.uint64)))
+    classes = rows.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("vector").alias("vector"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     classes = materialize(classes, "classes")
-    wanted = materialize(classes.join(clusters, "hi").select("hi", "lo", "rep", "cluster"), "wanted")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_slices(batches):
-            values, bounds = shingle_sets(text_column(batch), k)
-            hi, lo = set_names(values, bounds)
-            keep = np.flatnonzero((hi == batch.column(1).to_numpy()) & (lo == batch.column(2).to_numpy()))
-            tokens = [values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in keep.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hi[keep]), pa.array(lo[keep]), batch.column(3).take(pa.array(keep)), pa.array(tokens, pa.binary())], ["hi", "lo", "cluster", "tokens"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    found = texts.join(wanted, texts.rep.eqNullSafe(wanted.rep)).select("text", "hi", "lo", "cluster")
-    sets = materialize(found.mapInArrow(sets_of, "hi long, lo long, cluster long, tokens binary"), "sets")
-
-    members = sets.withColumnRenamed("cluster", "c1")
-    keys = ["c1", "c2", "c3"]
-    if orders > 1:
-        later = components(_later_stars(sets, frequent, percent, orders))
-        for order in range(1, orders):
-            own = later.select(F.col("node").bitwiseXOR(F.lit(_tagged(order))).alias("hi"), F.col("label").alias(f"c{order + 1}"))
-            members = members.join(own, "hi")
-    for order in range(orders, 3):
-        members = members.withColumn(f"c{order + 1}", F.lit(0).cast("long"))
-    members = materialize(members.select(*keys, "hi", "lo", "tokens"), "members")
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("m"), F.ceil(F.sum(F.octet_length("tokens")) / block_bytes).cast("long").alias("blocks")).filter("m > 1")
-    dealt = members.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(*keys, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "hi", "lo", "tokens")
-    grouped = dealt.repartition(n, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
-    links = _verified(grouped, frequent, percent, orders)
-    name = F.struct("hi", "lo")
-    joined = components(links.select(F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b")))
-    labelled = classes.withColumn("node", name).join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(least, "label").select("hi", "lo", "component_id")
-    out = rows.join(named, ["hi", "lo"], "left")
+    stars = materialize(_star_pairs(classes, n).distinct(), "stars")
+    early = materialize(_verified(stars, classes, docs, frequent, k, percent, orders), "early")
+    joined = components(early.select(F.col("a.hi").alias("a"), F.col("b.hi").alias("b")))
+
+    shared = materialize(_shared_tokens(docs, frequent, n, k, percent), "shared")
+    least = F.slice(F.array_sort(F.collect_list("token")), 1, LOW)
+    low = shared.groupBy("node").agg(least.alias("low")).withColumn("low", F.concat("low", F.array_repeat(F.lit((1 << 63) - 1), F.lit(LOW) - F.size("low"))))
+    sized = shared.join(low, "node").join(classes.select(F.col("hi").alias("node"), "n", "short"), "node").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = materialize(_vector_filter(_cross_pairs(sized, n, percent), classes, percent), "pairs")
+    late = _verified(pairs, classes, docs, frequent, k, percent, orders)
+
+    found = components(early.unionByName(late))
+    labelled = classes.select("rep", F.struct("hi", "lo").alias("node")).join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = labelled.join(ids, "label").select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component_id")
+    out = rows.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "hi", "lo")
 
 
