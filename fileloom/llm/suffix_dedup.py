@@ -243,6 +243,7 @@ def repeats(docs: DataFrame, n: int | None = None) -> DataFrame:
     n = n or partitions(spark)
     places = materialize(anchors(docs), "anchors")
     several = places.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
+    several = materialize(several, "several")  # then the join's sides are plain shuffles, of which a hot anchor's can be split
     repeated = places.join(several, "anchor").groupBy("doc").agg(F.array_sort(F.collect_set("position")).alias("positions"))
     spans = materialize(_compared(_suffixes(docs, repeated), n), "spans")
     border = _border_spans(spans.filter(F.col("part").isNotNull()).collect())  # four rows per partition
