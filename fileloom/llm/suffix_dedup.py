@@ -4,8 +4,9 @@ A suffix of a text's words is retained where its first ``ANCHOR`` words are a mi
 anchors in a row. Texts that share ``LEAST`` words in a row retain the same place in them, wherever it lies. Anchors that
 occur in one document only are dropped; the others' suffixes, cut to ``LEAST`` words, with the words before them read
 backwards as a tie-break, are sorted over all documents (range partitions, so that any number of equal suffixes is
-spread). Neighbours are compared, and matches extended left and right by up to ``LEAST`` words; chains of matching
-neighbours are also compared to their earliest suffix. A match of at least ``LEAST`` words between different documents
+spread). Neighbours are compared, and matches extended left and right by up to ``LEAST`` words; so are the neighbours
+that an anchor's suffixes have when sorted by the words before them, and chains of matching neighbours are compared to their
+earliest suffix. A match of at least ``LEAST`` words between different documents
 is a repeated passage: in the document that comes first (by id, then by the text's hash, then by position) it stays, in the
 others it is a copy. Passages longer than the context are found at each of their minimisers, and spans are merged.
 
@@ -125,19 +126,26 @@ def match_lengths(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def neighbours(order: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In an order of the rows: rows and the nearest row of another document before them; the same after; and which rows
+    follow one of their own document and anchor."""
+    n = len(order)
+    a, d, rows = anchor[order], doc[order], np.arange(n)
+    same = np.zeros(n, dtype=bool)
+    same[1:] = (d[1:] == d[:-1]) & (a[1:] == a[:-1])
+    before = np.maximum.accumulate(np.where(same, 0, rows)) - 1
+    after = np.append(np.flatnonzero(~same)[1:], n)[np.cumsum(~same) - 1]
+    left, right = np.flatnonzero(before >= 0), np.flatnonzero(after < n)
+    return order[left], order[before[left]], order[right], order[after[right]], same
+
+
 def compare(anchor: np.ndarray, suffix: np.ndarray, doc: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
     """Matches among sorted suffixes: row, words to the left, words to the right, whether an earlier document has it.
 
-    Also the chain of each row and, for each chain, its earliest row.
+    Rows are compared to their neighbours as sorted, to those that they have when each anchor's rows are sorted by the words
+    before them, and to their chain's earliest row. Also the chain of each row and, for each chain, its earliest row.
     """
     n = len(anchor)
-    rows = np.arange(n)
-    same_doc = np.zeros(n, dtype=bool)
-    same_doc[1:] = (doc[1:] == doc[:-1]) & (anchor[1:] == anchor[:-1])
-    group = np.maximum.accumulate(np.where(same_doc, 0, rows))  # first row of a stretch of one document
-    before = group - 1
-    last = np.append(np.flatnonzero(~same_doc)[1:], n)
-    after = last[np.cumsum(~same_doc) - 1]
     found: list[tuple[np.ndarray, ...]] = []
 
     def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -153,11 +161,11 @@ def compare(anchor: np.ndarray, suffix: np.ndarray, doc: np.ndarray, position: n
             found.append((a, left, right, earlier))
         return good
 
-    some = np.flatnonzero(before >= 0)
+    rows = np.arange(n)
+    i, j, k, m, same_doc = neighbours(rows, anchor, doc)
     linked = np.zeros(n, dtype=bool)
-    linked[some] = pairs(some, before[some])
-    some = np.flatnonzero(after < n)
-    pairs(some, after[some])
+    linked[i] = pairs(i, j)
+    pairs(k, m)
     chain = np.cumsum(~(linked | same_doc)) - 1 if n else rows
     by = np.lexsort((position, doc, chain))
     head = np.ones(n, dtype=bool)
@@ -165,6 +173,10 @@ def compare(anchor: np.ndarray, suffix: np.ndarray, doc: np.ndarray, position: n
     earliest = by[head]
     other = np.flatnonzero(doc[earliest[chain]] != doc) if n else rows
     pairs(other, earliest[chain[other]])
+    backwards = np.ascontiguousarray(suffix[:, LEAST:]).view(f"S{4 * LEAST}")[:, 0] if n else rows
+    i, j, k, m, _ = neighbours(np.lexsort((position, doc, backwards, anchor)), anchor, doc)
+    pairs(i, j)
+    pairs(k, m)
     return (*(np.concatenate(x) for x in zip(*found, strict=True)), chain, earliest)
 
 
