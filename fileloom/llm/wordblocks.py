@@ -92,7 +92,7 @@ class Block:
         n = len(self.data)
         if not len(starts):
             return np.zeros(0, dtype=np.uint64)
-        base, inverse = _powers(1 << max(10, int(n).bit_length()))
+        base, inverse = _powers(1 << max(10, int(n - 1).bit_length()))
         total = np.zeros(n + 1, dtype=np.uint64)
         values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
         np.cumsum(values[self.data] * base[:n], out=total[1:])
