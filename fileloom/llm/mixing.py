@@ -5,7 +5,7 @@ times for certain, and once more with the fractional rest as its inclusion proba
 that choice: the vector of probabilities moves through the null space of the balancing constraints (documents and
 words of the source), each move fixing at least one document at 0 or 1, so both totals stay what they were.
 
-Documents are dealt to blocks within their source, and each block's flight runs in one task; the at most eight
+Documents are dealt to blocks within their source, and each block's flight runs in one task; the at most ten
 documents it leaves undecided go, with their probabilities as they then are, to the next level, where a block
 gathers what many blocks left, until a source has one block. A source with a third of all rows is so many blocks. Only
 at the end are a dozen documents of each source landed, by whichever outcome leaves its words closest to the target.
@@ -34,7 +34,7 @@ from fileloom.llm.wordblocks import Block
 #: Documents of a flight, at about.
 BLOCK = 4096
 #: Documents set aside for the landing, which tries all their outcomes; and those that other flights leave to the next level.
-LANDING, KEPT_OPEN = 10, 6
+LANDING, KEPT_OPEN = 12, 8
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
@@ -107,9 +107,13 @@ def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def set_aside(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, n: int) -> np.ndarray:
-    """A flight of all but ``n`` documents, which are of various sizes (rows are sorted by size)."""
+    """A flight of all but ``n`` documents, whose sizes halve from one to the next: their outcomes can make up many sums.
+
+    Rows are sorted by size, longest first.
+    """
     undecided = np.flatnonzero((prob > 0) & (prob < 1))
-    aside = np.unique(undecided[np.linspace(0, len(undecided) - 1, min(n, len(undecided))).astype(int)]) if len(undecided) else undecided
+    wanted = size[undecided[:1]].sum() / 2.0 ** np.arange(n)
+    aside = np.unique(undecided[np.minimum(np.searchsorted(-size[undecided], -wanted), max(0, len(undecided) - 1))]) if len(undecided) else undecided
     rest = np.setdiff1d(np.arange(len(prob)), aside)
     out = prob.copy()
     out[rest] = flight(prob[rest], size[rest], rng)
