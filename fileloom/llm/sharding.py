@@ -16,14 +16,17 @@ first; each row is placed; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileloom.llm.common import materialize
 
 SALTS = 64
 #: Capacities tried at once.
-WAYS = 24
+WAYS = 48
 BLOCK_DIGITS = 3
 
 
@@ -61,33 +64,21 @@ class Totals:
         row = totals.agg(F.max(F.col("bytes_before") + F.col("bytes")), F.max("bytes")).first()
         self.total, self.largest = row[0] or 0, row[1] or 0
 
-    def _ask(self, wanted: list[Column], near: Column) -> list:
-        return list(self.ends.filter(near).agg(*[x.alias(f"a{k}") for k, x in enumerate(wanted)]).first())
-
-    def last_end(self, limits: list[int]) -> list[int]:
-        """For each limit the greatest group end that is no greater (0 if none is)."""
-        near = None
-        for x in sorted(set(limits)):
-            own = (F.col("end") <= x) & (F.col("end") > x - self.largest - 1)
-            near = own if near is None else near | own
-        got = self._ask([F.max(F.when(F.col("end") <= x, F.col("end"))) for x in limits], near)
-        return [x or 0 for x in got]
-
-    def first_begin(self, limits: list[int]) -> list[int]:
-        """For each limit the least group start that is no less (the total if none is)."""
-        near = None
-        for x in sorted(set(limits)):
-            own = (F.col("begin") >= x) & (F.col("begin") < x + self.largest + 1)
-            near = own if near is None else near | own
-        got = self._ask([F.min(F.when(F.col("begin") >= x, F.col("begin"))) for x in limits], near)
-        return [self.total if x is None else x for x in got]
+    def ask(self, lasts: list[int], firsts: list[int] = ()) -> tuple[list[int], list[int]]:
+        """In one job: for each of ``lasts`` the greatest group end that is no greater (0 if none is), for each of
+        ``firsts`` the least group start that is no less (the total if none is). Only rows near those places are read."""
+        near = [(F.col("end") <= x) & (F.col("end") > x - self.largest - 1) for x in sorted(set(lasts))]
+        near += [(F.col("begin") >= x) & (F.col("begin") < x + self.largest + 1) for x in sorted(set(firsts))]
+        wanted = [F.max(F.when(F.col("end") <= x, F.col("end"))) for x in lasts] + [F.min(F.when(F.col("begin") >= x, F.col("begin"))) for x in firsts]
+        got = list(self.ends.filter(reduce(or_, near)).agg(*[x.alias(f"a{k}") for k, x in enumerate(wanted)]).first())
+        return [x or 0 for x in got[: len(lasts)]], [self.total if x is None else x for x in got[len(lasts) :]]
 
 
 def fits(totals: Totals, capacities: list[int], shards: int) -> list[bool]:
     """Greedy filling, for all capacities at once."""
     at = [0] * len(capacities)
     for _ in range(shards):
-        at = totals.last_end([a + c for a, c in zip(at, capacities, strict=True)])
+        at, _ = totals.ask([a + c for a, c in zip(at, capacities, strict=True)])
         if min(at) >= totals.total:
             break
     return [a >= totals.total for a in at]
@@ -97,11 +88,12 @@ def capacity(totals: Totals, shards: int) -> int:
     """The smallest feasible capacity."""
     lo = max(totals.largest, -(-totals.total // shards)) - 1  # not known to be feasible
     hi = max(totals.largest, -(-totals.total // shards) + totals.largest)  # feasible
+    tried = sorted({min(hi, lo + (1 << k)) for k in range((hi - lo).bit_length() + 1)})  # it is often close to the least
     while hi - lo > 1:
-        tried = sorted({lo + max(1, (hi - lo) * k // (WAYS + 1)) for k in range(1, WAYS + 1)})
         good = [c for c, ok in zip(tried, fits(totals, tried, shards), strict=True) if ok]
         bad = [c for c in tried if not good or c < min(good)]
         lo, hi = max([lo, *bad]), min([hi, *good])
+        tried = sorted({lo + max(1, (hi - lo) * k // (WAYS + 1)) for k in range(1, WAYS + 1)})
     return hi
 
 
@@ -112,15 +104,16 @@ def cuts(totals: Totals, shards: int) -> list[int]:
     most = capacity(totals, shards)
     latest, earliest = [0], [totals.total]
     for _ in range(shards - 1):
-        latest.append(totals.last_end([latest[-1] + most])[0])
-        earliest.append(totals.first_begin([earliest[-1] - most])[0] if earliest[-1] > most else 0)
+        last, first = totals.ask([latest[-1] + most], [max(0, earliest[-1] - most)])
+        latest.append(last[0])
+        earliest.append(first[0])
     found = [0]
     for k in range(1, shards):
         ideal = found[-1] + (totals.total - found[-1]) // (shards - k + 1)
         low, high = earliest[shards - k], min(latest[k], found[-1] + most)
-        below, above = totals.last_end([ideal])[0], totals.first_begin([ideal])[0]
+        (below, within), (above,) = totals.ask([ideal, min(max(ideal, low), high)], [ideal])
         near = below if ideal - below <= above - ideal else above
-        found.append(max(near if low <= near <= high else totals.last_end([min(max(ideal, low), high)])[0], low, found[-1]))
+        found.append(max(near if low <= near <= high else within, low, found[-1]))
     return found[1:]
 
 
