@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +80,25 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+#: Caches that a Python worker keeps between tasks, and how to empty them.
+CACHES: list[Callable[[], None]] = []
+
+
+def release_memory() -> None:
+    """Empty what this worker keeps for other operators, and give freed memory back to the system.
+
+    Workers outlive queries; an operator that needs much memory starts its tasks with this.
+    """
+    for empty in CACHES:
+        empty()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text; a longer text has a range of its own."""
     n = len(column)
     if not n:
@@ -98,7 +118,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return column if pa.types.is_string(column.type) else column.cast(pa.string())
 
 
-def batch_slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def batch_slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of bounded text, so a kernel's arrays stay small."""
     for batch in batches:
         column = text_column(batch, name)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, text_column
+from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, text_column
 from fileloom.llm.components import components
 from fileloom.llm.wordblocks import Block, mix, spread, windows
 
@@ -169,6 +169,7 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents (doc_id, n_shingles, name, vector, min-hashes) and rows of tokens that repeat within a task (token, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held, size, seen = [], 0, set()
 
         def repeated() -> pa.RecordBatch:
@@ -268,6 +269,7 @@ def _shared_tokens(docs: DataFrame, frequent, n: int, k: int, percent: int) -> D
     """(token, node) for prefix tokens under the first order that several classes have."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         seen: set[int] = set()
         for batch in batch_slices(batches):
             values, bounds = shingle_sets(text_column(batch), k)
@@ -386,6 +388,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent, k
     keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # a checked size
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batch_slices(batches):
             values, bounds = shingle_sets(text_column(batch), k)
             hi, lo = set_names(values, bounds)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, text_column
+from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, text_column
 from fileloom.llm.wordblocks import Block, windows
 
 LEAST, ANCHOR = 50, 12
@@ -190,6 +190,7 @@ def _compared(suffixes: DataFrame, n: int) -> DataFrame:
     schema = [(x.split()[0], kinds[x.split()[1]]) for x in SPANS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held = [b for b in batches if b.num_rows]  # one range partition, whose size doesn't depend on a group's
         if not held:
             return
