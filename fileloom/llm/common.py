@@ -69,6 +69,16 @@ def _at_exit() -> None:
             _written.clear()
 
 
+#: Up to so many rows of keys, a few tens of bytes each, are broadcast; more go through a shuffle join.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """A table of keys, written and counted, and marked for broadcast only if it is small."""
+    keys = materialize(df, name)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of partitions to deal rows to: the session's, so a cluster sets it by its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

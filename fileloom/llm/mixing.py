@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, text_column
+from fileloom.llm.common import batch_slices, materialize, small_side, text_column
 from fileloom.llm.wordblocks import Block
 
 #: Documents of a flight, at about.
@@ -172,7 +172,7 @@ def take_mix(docs: DataFrame) -> DataFrame:
     Rows that share id, text and source are taken as often as their mean, rounded.
     """
     decided = mix(docs).groupBy("doc_id", "digest", "source").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    decided = decided.withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "source": "_source"})
+    decided = small_side(decided.withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "source": "_source"}), "decided")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
     taken = docs.join(decided, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*[docs[x] for x in docs.columns])

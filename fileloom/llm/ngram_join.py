@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, text_column
+from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, small_side, text_column
 from fileloom.llm.components import components
 from fileloom.llm.wordblocks import Block, mix, spread, windows
 
@@ -377,15 +377,10 @@ def _vector_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-#: Up to so many documents their keys are broadcast to find their texts; more are found by a shuffle join.
-BROADCAST_ROWS = 500_000
-
-
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent, k: int, percent: int, orders: int) -> DataFrame:
     """(a, b): names (hi, lo) of the pairs' classes that share prefix tokens under all orders and reach the similarity."""
     nodes = pairs.select(F.col("a").alias("hi")).union(pairs.select(F.col("b").alias("hi"))).distinct()
-    wanted = materialize(classes.join(nodes, "hi").select("hi", "lo", "rep"), "wanted")
-    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # a checked size
+    keys = small_side(classes.join(nodes, "hi").select("hi", "lo", "rep"), "wanted")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
@@ -473,4 +468,5 @@ def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """
     linked = link(docs, k, percent)
     kept = linked.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = small_side(kept, "kept")
     return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
