@@ -382,6 +382,15 @@ def test_keep_one(spark, empty):
     assert ngram_join.link(empty).count() == ngram_join.keep_one(empty).count() == 0
 
 
+def test_large_key_tables_are_shuffled(spark, docs, monkeypatch):
+    from fileloom.llm import common
+
+    key = lambda r: (str(r.doc_id), str(r.text))
+    small = sorted(map(key, ngram_join.keep_one(docs).collect())), sorted(map(key, mixing.take_mix(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert small == (sorted(map(key, ngram_join.keep_one(docs).collect())), sorted(map(key, mixing.take_mix(docs).collect())))
+
+
 # --- 7 --------------------------------------------------------------------
 
 
