@@ -83,7 +83,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, path: str, end_id: int,
         shard = TaskContext.get().partitionId()
         name = f"{shard:06d}-{uuid.uuid4().hex}.rec"
         out, offsets, at, tokens = None, [], 0, 0
-        for batch in batch_slices(batches):
+        for batch in batch_slices(batches, limit=1 << 21):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}")
