@@ -54,7 +54,7 @@ class CachedEncoder:
     is met again in the old one moves to the young, so frequent words stay.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 300_000):
+    def __init__(self, tokenizer_path: str, limit: int = 220_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -94,7 +94,8 @@ class CachedEncoder:
             else:
                 out.append(self._by_library(x))
             if len(self.known) > self.limit:
-                self.known = Known(self._learn, dict(self.known))
+                self.known.old = {}
+                self.known = Known(self._learn, self.known)
         return out
 
 
