@@ -1,17 +1,16 @@
 """Repeated passages by sparse suffix arrays.
 
 A suffix of a text's words is retained where its first ``ANCHOR`` words are a minimiser: the least hash of ``SPAN``
-anchors in a row. Texts that share ``LEAST`` words in a row retain the same place in them, wherever it lies. Anchors that
-occur in one document only are dropped; the others' suffixes, cut to ``LEAST`` words, with the words before them read
-backwards as a tie-break, are sorted over all documents (range partitions, so that any number of equal suffixes is
-spread). Neighbours are compared, and matches extended left and right by up to ``LEAST`` words; so are the neighbours
-that an anchor's suffixes have when sorted by the words before them, and chains of matching neighbours are compared to their
-earliest suffix. A match of at least ``LEAST`` words between different documents
-is a repeated passage: in the document that comes first (by id, then by the text's hash, then by position) it stays, in the
-others it is a copy. Passages longer than the context are found at each of their minimisers, and spans are merged.
-
-What meets at a partition's border is compared from the partitions' first and last rows, of which there are as many as
-partitions.
+anchors in a row. So every ``LEAST`` words in a row (a window) have one anchor that stands for them, which texts that share
+the window retain at the same place in it. Anchors that occur in one document only are dropped; the others' suffixes carry the
+words of the windows that they stand for, and are sorted over all documents by anchor and the words to the right (range
+partitions, so that any number of equal anchors is spread). A window that agrees with no neighbour as far as its end is
+another's nowhere and is left out; the others are grouped by a 64-bit hash of their words. A window that several documents
+have is repeated: in the document that comes first (by id, or by the text's hash) it stays, in the others it is a copy.
+Windows of one kind that overlap are merged to passages.
+
+An anchor that may lie in several partitions (a partition's first or last) has its windows met across them: a partition's
+rows of any but its least document are copies already, those of the least are compared by the hash over all partitions.
 
 Defined results: texts of fewer than ``LEAST`` words and null texts repeat nothing; repeats within one document don't
 count; equal texts under different ids repeat each other whole, if they have ``LEAST`` words; rows of one id and one text are
@@ -24,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, text_column
-from fileloom.llm.wordblocks import Block, windows
+from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, small_side, text_column
+from fileloom.llm.wordblocks import Block, mix, windows
 
 LEAST, ANCHOR = 50, 12
 #: Anchors in a row of which one is retained: any LEAST words hold so many.
 SPAN = LEAST - ANCHOR + 1
+#: Words that a suffix carries.
+WIDTH = LEAST + SPAN - 1
+#: Of the windows' hashes; odd, so that powers have inverses.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def identity() -> Column:
@@ -41,8 +43,9 @@ def identity() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1) + (1 << 62))
 
 
-def minimisers(hashes: np.ndarray, first: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Indexes of the retained windows: the leftmost least of each ``span`` windows in a row within a text."""
+def minimiser_ranges(hashes: np.ndarray, first: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of the retained windows, and the least and greatest number of windows before them in the spans that they are
+    the leftmost least of."""
     n = len(hashes)
     best, have = np.arange(n), 1
     while have < span:
@@ -51,24 +54,31 @@ def minimisers(hashes: np.ndarray, first: np.ndarray, span: int = SPAN) -> np.nd
         mine = best[: n - step]
         best = np.where(hashes[other] < hashes[mine], other, mine)
         if not len(best):
-            return best
+            return best, best, best
         have, n = have + step, len(best)
     # A start is good if the last of its span lies in the same text.
-    counts = np.diff(first)
-    starts = np.repeat(first[:-1], np.maximum(counts - span + 1, 0))
-    within = np.arange(len(starts)) - np.repeat(np.cumsum(np.maximum(counts - span + 1, 0)) - np.maximum(counts - span + 1, 0), np.maximum(counts - span + 1, 0))
-    return np.unique(best[starts + within]) if len(starts) else starts
+    counts = np.maximum(np.diff(first) - span + 1, 0)
+    starts = np.repeat(first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    kept, at, times = np.unique(best[starts], return_index=True, return_counts=True)
+    high = kept - starts[at]
+    return kept, high - times + 1, high
+
+
+def minimisers(hashes: np.ndarray, first: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Indexes of the retained windows: the leftmost least of each ``span`` windows in a row within a text."""
+    return minimiser_ranges(hashes, first, span)[0]
 
 
-def retained(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: retained anchors' hashes, their texts, their word positions in the text; all words' hashes and each text's first."""
+def retained(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of a block: retained anchors' hashes, their texts, their word positions in the text, the least and greatest number of
+    words before them in their windows; all words' hashes and each text's first."""
     block = Block.of(column)
     starts, ends, first = block.words()
     hashes = block.hashes(starts, ends)
     anchor, at, begin = windows(hashes, first, ANCHOR)
-    keep = minimisers(anchor, begin)
+    keep, low, high = minimiser_ranges(anchor, begin)
     text = np.searchsorted(begin, keep, "right") - 1
-    return anchor[keep].view(np.int64), text, at[keep] - first[text], hashes, first
+    return anchor[keep].view(np.int64), text, at[keep] - first[text], low, high, hashes, first
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -76,22 +86,21 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches):
-            anchor, text, position, _, _ = retained(text_column(batch))
+            anchor, text, position, *_ = retained(text_column(batch))
             yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(text)), pa.array(position.astype(np.int32))], ["anchor", "doc", "position"])
 
     return docs.select(identity().alias("doc"), "text").mapInArrow(run, "anchor long, doc long, position int")
 
 
-def contexts(hashes: np.ndarray, first: np.ndarray, text: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """For each suffix LEAST words to the right, then as many to the left read backwards, as 32-bit big-endian hashes.
+def contexts(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each suffix up to LEAST words to the right, then up to SPAN - 1 to the left read backwards, as 32-bit big-endian hashes.
 
-    Places beyond the text's ends are 0, and no word is.
+    Words outside the windows that the anchor stands for are 0, and no word is.
     """
     words = np.append((hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
-    at = (first[text] + position)[:, None]
-    right, left = at + np.arange(LEAST), at - 1 - np.arange(LEAST)
-    right = np.where(right < first[text + 1][:, None], right, len(words) - 1)
-    left = np.where(left >= first[text][:, None], left, len(words) - 1)
+    k, j = np.arange(LEAST), np.arange(SPAN - 1)
+    right = np.where(k < LEAST - low[:, None], at[:, None] + k, len(hashes))
+    left = np.where(j < high[:, None], at[:, None] - 1 - j, len(hashes))
     return words[np.concatenate([right, left], axis=1)].astype(">u4")
 
 
@@ -103,91 +112,78 @@ def _suffixes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches, limit=1 << 20):
-            anchor, text, position, hashes, first = retained(text_column(batch))
+            anchor, text, position, low, high, hashes, first = retained(text_column(batch))
             wanted = batch.column(2)
             counts = np.diff(np.frombuffer(wanted.buffers()[1], dtype=np.int32)[wanted.offset : wanted.offset + len(wanted) + 1])
             good = np.isin(text.astype(np.int64) << 32 | position, np.repeat(np.arange(len(counts)), counts).astype(np.int64) << 32 | wanted.flatten().to_numpy())
             for part in np.array_split(np.flatnonzero(good), max(1, int(good.sum()) // 20_000)):
-                suffix = contexts(hashes, first, text[part], position[part])
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LEAST), len(part), [None, pa.py_buffer(suffix.tobytes())]).cast(pa.binary())
+                suffix = contexts(hashes, first[text[part]] + position[part], low[part], high[part])
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * WIDTH), len(part), [None, pa.py_buffer(suffix.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), raw, batch.column(0).take(pa.array(text[part])), pa.array(position[part].astype(np.int32))], ["anchor", "suffix", "doc", "position"])
 
     rows = docs.select(identity().alias("doc"), "text").join(repeated, "doc")
     return rows.select("doc", "text", "positions").mapInArrow(run, "anchor long, suffix binary, doc long, position int")
 
 
-def match_lengths(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that two suffixes (rows of contexts) agree on to the right and to the left."""
-    same = (a == b) & (a != 0)
-    out = []
-    for half in (same[:, :LEAST], same[:, LEAST:]):
-        stop = ~half
-        out.append(np.where(stop.any(1), stop.argmax(1), LEAST))
-    return out[0], out[1]
-
-
-def neighbours(order: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """In an order of the rows: rows and the nearest row of another document before them; the same after; and which rows
-    follow one of their own document and anchor."""
-    n = len(order)
-    a, d, rows = anchor[order], doc[order], np.arange(n)
-    same = np.zeros(n, dtype=bool)
-    same[1:] = (d[1:] == d[:-1]) & (a[1:] == a[:-1])
-    before = np.maximum.accumulate(np.where(same, 0, rows)) - 1
-    after = np.append(np.flatnonzero(~same)[1:], n)[np.cumsum(~same) - 1]
-    left, right = np.flatnonzero(before >= 0), np.flatnonzero(after < n)
-    return order[left], order[before[left]], order[right], order[after[right]], same
-
-
-def compare(anchor: np.ndarray, suffix: np.ndarray, doc: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Matches among sorted suffixes: row, words to the left, words to the right, whether an earlier document has it.
-
-    Rows are compared to their neighbours as sorted, to those that they have when each anchor's rows are sorted by the words
-    before them, and to their chain's earliest row. Also the chain of each row and, for each chain, its earliest row.
-    """
+def window_keys(anchor: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted suffixes the windows that another may have: row, words before the anchor, hash of the window's words."""
     n = len(anchor)
-    found: list[tuple[np.ndarray, ...]] = []
-
-    def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Notes the matches of rows i with rows j; true where there is one."""
-        good = np.zeros(len(i), dtype=bool)
-        for part in np.array_split(np.arange(len(i)), max(1, len(i) // 20_000)):
-            a, b = i[part], j[part]
-            right, left = match_lengths(suffix[a], suffix[b])
-            ok = (anchor[a] == anchor[b]) & (doc[a] != doc[b]) & (right + left >= LEAST)
-            good[part] = ok
-            a, b, right, left = a[ok], b[ok], right[ok], left[ok]
-            earlier = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (position[b] < position[a]))
-            found.append((a, left, right, earlier))
-        return good
-
-    rows = np.arange(n)
-    i, j, k, m, same_doc = neighbours(rows, anchor, doc)
-    linked = np.zeros(n, dtype=bool)
-    linked[i] = pairs(i, j)
-    pairs(k, m)
-    chain = np.cumsum(~(linked | same_doc)) - 1 if n else rows
-    by = np.lexsort((position, doc, chain))
-    head = np.ones(n, dtype=bool)
-    head[1:] = chain[by][1:] != chain[by][:-1]
-    earliest = by[head]
-    other = np.flatnonzero(doc[earliest[chain]] != doc) if n else rows
-    pairs(other, earliest[chain[other]])
-    backwards = np.ascontiguousarray(suffix[:, LEAST:]).view(f"S{4 * LEAST}")[:, 0] if n else rows
-    i, j, k, m, _ = neighbours(np.lexsort((position, doc, backwards, anchor)), anchor, doc)
-    pairs(i, j)
-    pairs(k, m)
-    return (*(np.concatenate(x) for x in zip(*found, strict=True)), chain, earliest)
-
-
-SPANS = "doc long, start int, stop int, copy boolean, part long, place int, anchor long, suffix binary"
+    powers = np.full(WIDTH, BASE)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    back = np.full(SPAN, pow(int(BASE), -1, 1 << 64), dtype=np.uint64)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    offsets = np.arange(SPAN)
+    out = []
+    for lo in range(0, n, 20_000):
+        hi = min(lo + 20_000, n)
+        # Words that a suffix has in common with the one before it; beyond the partition's ends all, as nothing is known.
+        a, b = max(lo, 1), min(hi, n - 1) + 1
+        differ = suffix[a:b, :LEAST] != suffix[a - 1 : b - 1, :LEAST]
+        common = np.where(anchor[a:b] == anchor[a - 1 : b - 1], np.where(differ.any(1), differ.argmax(1), LEAST), 0)
+        common = np.concatenate([[LEAST] * (lo == 0), common, [LEAST] * (hi == n)])
+        own = suffix[lo:hi]
+        right = np.minimum((own[:, :LEAST] != 0).sum(1), np.maximum(common[:-1], common[1:]))
+        left = (own[:, LEAST:] != 0).sum(1)
+        row, before = np.nonzero((offsets >= LEAST - right[:, None]) & (offsets <= left[:, None]))
+        words = np.concatenate([own[:, :LEAST - 1 : -1], own[:, :LEAST]], axis=1).astype(np.uint64)
+        sums = np.zeros((hi - lo, WIDTH + 1), dtype=np.uint64)
+        np.cumsum(mix(words) * powers, axis=1, out=sums[:, 1:])
+        first = SPAN - 1 - before
+        out.append((row + lo, before, (sums[row, first + LEAST] - sums[row, first]) * back[first]))
+    row, before, key = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, before, key
+
+
+def decide(anchor: np.ndarray, suffix: np.ndarray, doc: np.ndarray, position: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of one partition's sorted suffixes: doc, start, stop, copy of repeated spans; and doc, start, key, greatest document of
+    the windows that other partitions may have."""
+    row, before, key = window_keys(anchor, suffix)
+    order = np.argsort(key)
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = key[order][1:] != key[order][:-1]
+    heads, group = np.flatnonzero(head), np.empty(len(key), dtype=np.int64)
+    group[order] = np.cumsum(head) - 1
+    whose = doc[row]
+    lo, hi = (f.reduceat(whose[order], heads)[group] if len(key) else whose for f in (np.minimum, np.maximum))
+    copy, shared = whose > lo, ((anchor == anchor[0]) | (anchor == anchor[-1]))[row]
+    wait = np.flatnonzero(shared & ~copy)
+    at = np.flatnonzero((lo < hi) & (copy | ~shared))
+    r, o, c = row[at], before[at], copy[at]
+    fresh = np.ones(len(at) + 1, dtype=bool)
+    fresh[1:-1] = (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1) | (c[1:] != c[:-1])
+    begin, end = np.flatnonzero(fresh[:-1]), np.flatnonzero(fresh[1:])
+    place = position[r[begin]]
+    return (doc[r[begin]], place - o[end], place - o[begin] + LEAST, c[begin]), (whose[wait], position[row[wait]] - before[wait], key[wait].view(np.int64), hi[wait])
+
+
+SPANS = "doc long, start int, stop int, copy boolean, key long, hi long"
 
 
 def _compared(suffixes: DataFrame, n: int) -> DataFrame:
-    """Spans of matches; and per partition four border rows (place 0: first row, 1: earliest of the first chain, 2: last row, 3: earliest of the last chain)."""
+    """Spans that are decided (no key), and windows to be met across partitions (no copy)."""
     names = [x.split()[0] for x in SPANS.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    schema = [(x.split()[0], kinds[x.split()[1]]) for x in SPANS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
@@ -196,57 +192,22 @@ def _compared(suffixes: DataFrame, n: int) -> DataFrame:
             return
         anchor, doc, position = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 2, 3))
         raw = [b.column(1) for b in held]
-        suffix = np.frombuffer(b"".join(x.buffers()[2][x.offset * 8 * LEAST : (x.offset + len(x)) * 8 * LEAST].to_pybytes() for x in raw), dtype=">u4").reshape(-1, 2 * LEAST)
-        del held
-        row, left, right, earlier, chain, earliest = compare(anchor, suffix, doc, position)
-        part = TaskContext.get().partitionId()
-        start, stop = position[row] - left, position[row] + right
-        for k in range(0, len(row), 50_000):
+        suffix = np.frombuffer(b"".join(x.buffers()[2][x.offset * 4 * WIDTH : (x.offset + len(x)) * 4 * WIDTH].to_pybytes() for x in raw), dtype=">u4").reshape(-1, WIDTH)
+        del held, raw
+        (own, start, stop, copy), (other, begin, key, hi) = decide(anchor, suffix, doc, position)
+        for k in range(0, len(own), 50_000):
             s = slice(k, k + 50_000)
-            m = len(row[s])
-            none = [pa.nulls(m, kind) for _, kind in schema[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[s]]), pa.array(start[s].astype(np.int32)), pa.array(stop[s].astype(np.int32)), pa.array(earlier[s]), *none], names)
-        edge = [0, earliest[chain[0]], len(anchor) - 1, earliest[chain[-1]]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[edge]), pa.array(position[edge].astype(np.int32)), pa.array([int(chain[-1])] * 4, pa.int32()), pa.nulls(4, pa.bool_()), pa.array([part] * 4, pa.int64()), pa.array(range(4), pa.int32()), pa.array(anchor[edge]), pa.array([suffix[k].tobytes() for k in edge], pa.binary())],
-            names,
-        )
+            none = pa.nulls(len(own[s]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(own[s]), pa.array(start[s].astype(np.int32)), pa.array(stop[s].astype(np.int32)), pa.array(copy[s]), none, none], names)
+        for k in range(0, len(other), 50_000):
+            s = slice(k, k + 50_000)
+            at = begin[s].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(other[s]), pa.array(at), pa.array(at + np.int32(LEAST)), pa.nulls(len(at), pa.bool_()), pa.array(key[s]), pa.array(hi[s])], names)
 
     by = ("anchor", "suffix", "doc", "position")
     return suffixes.repartitionByRange(n, *by).sortWithinPartitions(*by).select("anchor", "suffix", "doc", "position").mapInArrow(run, SPANS)
 
 
-def _border_spans(rows: list) -> list[tuple]:
-    """Matches across partitions' borders, from their border rows."""
-    by_part: dict[int, dict[int, object]] = {}
-    for r in rows:
-        by_part.setdefault(r.part, {})[r.place] = r
-    out, carried = [], None
-
-    def meet(a, b) -> bool:
-        x, y = (np.frombuffer(bytes(r.suffix), dtype=">u4")[None] for r in (a, b))
-        right, left = (int(v[0]) for v in match_lengths(x, y))
-        if a.anchor != b.anchor or a.doc == b.doc or right + left < LEAST:
-            return a.anchor == b.anchor and a.doc == b.doc
-        for one, other in ((a, b), (b, a)):
-            out.append((one.doc, one.start - left, one.start + right, (other.doc, other.start) < (one.doc, one.start)))
-        return True
-
-    before = None
-    for part in sorted(by_part):
-        own = by_part[part]
-        joined = before is not None and meet(before[2], own[0])
-        if before is not None and before[2].anchor == own[0].anchor:
-            meet(carried, own[1])
-        whole = own[0].stop == 0  # one chain from the first row to the last
-        if joined and whole and (carried.doc, carried.start) < (own[3].doc, own[3].start):
-            pass  # the chain goes on, and its earliest row stays
-        else:
-            carried = own[3]
-        before = own
-    return out
-
-
 def repeats(docs: DataFrame, n: int | None = None) -> DataFrame:
     """Repeated passages, merged: doc (identity), start and stop (words), copy (an earlier document has it).
 
@@ -259,10 +220,10 @@ def repeats(docs: DataFrame, n: int | None = None) -> DataFrame:
     several = materialize(several, "several")  # then the join's sides are plain shuffles, of which a hot anchor's can be split
     repeated = places.join(several, "anchor").groupBy("doc").agg(F.array_sort(F.collect_set("position")).alias("positions"))
     spans = materialize(_compared(_suffixes(docs, repeated), n), "spans")
-    border = _border_spans(spans.filter(F.col("part").isNotNull()).collect())  # four rows per partition
-    found = spans.filter(F.col("part").isNull()).select("doc", "start", "stop", "copy")
-    if border:
-        found = found.unionByName(spark.createDataFrame(border, found.schema))
+    across = spans.filter(F.col("key").isNotNull())
+    known = small_side(across.groupBy("key").agg(F.min("doc").alias("lo"), F.max("hi").alias("most")).filter("lo < most").select("key", "lo"), "known")
+    met = across.join(known, "key").select("doc", "start", "stop", (F.col("lo") < F.col("doc")).alias("copy"))
+    found = spans.filter(F.col("key").isNull()).select("doc", "start", "stop", "copy").unionByName(met)
     found = found.distinct()
     own = Window.partitionBy("doc", "copy").orderBy("start", "stop")
     reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))

@@ -258,6 +258,29 @@ def test_repeats_equal_brute_force(spark, seed):
     assert sorted({r.doc_id for r in spans if not r.copy} - {r.doc_id for r in spans if r.copy}) == sorted(firsts)
 
 
+def hot_lines(seed, n=400):
+    """Unlike documents of which most have a frequent line of 40 words, with different words after it; some have passages of
+    25 own words, then the line."""
+    rng, words = random.Random(seed), vocabulary(seed, 3000)
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    line, own = text(40), [text(25) for _ in range(12)]
+    rows = [(i, f"{text(30)} {own[rng.randrange(12)] if i % 5 == 0 else text(25)} {line if i % 4 else text(40)} {text(30)}", "en", "s", 0) for i in range(n)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_that_end_in_a_hot_line(spark, seed):
+    rows = hot_lines(seed)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = {i: x for i, x in repeated_words([(r[0], r[1]) for r in rows]).items() if x}
+    for n in (1, 7, 40):
+        got = collections.defaultdict(set)
+        for r in suffix_dedup.repeats(df, n).collect():
+            got[r.doc] |= set(range(r.start, r.stop))
+        assert dict(got) == want
+
+
 def test_copies_are_cut_and_first_stay(spark, empty):
     rows = passages(3)
     rows += [(200, rows[0][1], None, None, 0), (201, None, None, None, 0), (None, rows[1][1] * 2, None, None, 0), (202, "", None, None, 0)]
