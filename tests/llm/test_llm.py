@@ -281,6 +281,27 @@ def test_repeats_that_end_in_a_hot_line(spark, seed):
         assert dict(got) == want
 
 
+@pytest.mark.parametrize("n", [1, 7])
+def test_all_but_the_first_are_copies_before_a_hot_line(spark, n):
+    rows = hot_lines(3, 200)
+    earliest = {}
+    for i, t, *_ in sorted(rows):
+        w = WORD.findall(t)
+        for k in range(len(w) - 49):
+            earliest.setdefault(tuple(w[k : k + 50]), i)
+    want = {True: collections.defaultdict(set), False: collections.defaultdict(set)}
+    shared = {i: x for i, x in repeated_words([(r[0], r[1]) for r in rows]).items() if x}
+    for i, t, *_ in rows:
+        w = WORD.findall(t)
+        for k in range(len(w) - 49):
+            if set(range(k, k + 50)) <= shared.get(i, set()):
+                want[earliest[tuple(w[k : k + 50])] < i][i] |= set(range(k, k + 50))
+    got = {True: collections.defaultdict(set), False: collections.defaultdict(set)}
+    for r in suffix_dedup.repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), n).collect():
+        got[r.copy][r.doc] |= set(range(r.start, r.stop))
+    assert len(want[True]) > len(want[False]) > 0 and got == want
+
+
 def test_copies_are_cut_and_first_stay(spark, empty):
     rows = passages(3)
     rows += [(200, rows[0][1], None, None, 0), (201, None, None, None, 0), (None, rows[1][1] * 2, None, None, 0), (202, "", None, None, 0)]
