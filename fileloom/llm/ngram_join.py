@@ -161,7 +161,7 @@ def near_enough(n: int, m: int, distance: int, percent: int = PERCENT) -> bool:
     return distance * (100 + percent) <= (100 - percent) * (n + m)
 
 
-FIRST = "doc_id long, n_shingles long, hi long, lo long, vector binary, keys array<long>, sketch binary, short binary, token long, count long"
+FIRST = "doc_id long, n_shingles long, hi long, lo long, vector binary, keys array<long>, sketch binary, short binary, token long, count long, digest long"
 NAMES = [x.split()[0] for x in FIRST.split(", ")]
 
 
@@ -176,7 +176,7 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count >= HEAVY_LEAST].view(np.int64), count[count >= HEAVY_LEAST]
             none = [pa.nulls(len(token), x) for x in kinds]
-            return pa.RecordBatch.from_arrays([*none, pa.array(token), pa.array(count)], NAMES)
+            return pa.RecordBatch.from_arrays([*none, pa.array(token), pa.array(count), pa.nulls(len(token), pa.int64())], NAMES)
 
         kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batch_slices(batches):
@@ -186,7 +186,7 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
             keys = pa.array(list((mix(least[:, :: BINS // STAR_KEYS][:, :STAR_KEYS]) + np.arange(STAR_KEYS, dtype=np.uint64)).view(np.int64)), kinds[5])
             sketch = (mix(least) & U(255)).astype(np.uint8)
             none = pa.nulls(len(hi), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(hi), pa.array(lo), count_vectors(values, bounds), keys, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in short_vectors(values, bounds)], pa.binary()), none, none], NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(hi), pa.array(lo), count_vectors(values, bounds), keys, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in short_vectors(values, bounds)], pa.binary()), none, none, batch.column(2)], NAMES)
             fresh = np.array([x not in seen for x in hi.tolist()], dtype=bool)  # copies don't make a token frequent
             seen.update(hi.tolist())
             held.append(values[np.repeat(fresh, np.diff(bounds))])
@@ -197,7 +197,7 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield repeated()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FIRST)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest")).mapInArrow(run, FIRST)
 
 
 def _runs(key: np.ndarray) -> list[tuple[int, int]]:
@@ -430,7 +430,7 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def link(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document (and hi, lo: the name of its set)."""
+    """doc_id, n_shingles, component_id of each document (and hi, lo: the name of its set; label: of its component; digest: of its text)."""
     spark = docs.sparkSession
     n = partitions(spark)
     first = materialize(_first_pass(docs, k), "shingles")
@@ -455,18 +455,28 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     found = components(early.unionByName(late))
     labelled = classes.select("rep", F.struct("hi", "lo").alias("node")).join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(ids, "label").select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "hi", "lo")
+    named = labelled.join(ids, "label").select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component_id", "label")
+    out = rows.select("doc_id", "n_shingles", "hi", "lo", "digest").join(named, ["hi", "lo"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "hi", "lo", "label", "digest")
 
 
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay when of each component only the document with the least id does.
+    """The rows of ``docs`` that stay when of each component only one does: the one with the least id (null ids last), then the
+    least hash of its text; of rows that share both any one.
 
-    Documents without shingles are linked with nothing and stay. Of a component without any id all stay; of rows that share the
-    least id all stay.
+    Documents without shingles are linked with nothing and stay.
     """
-    linked = link(docs, k, percent)
-    kept = linked.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = small_side(kept, "kept")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
+    linked = link(docs, k, percent).select("doc_id", "digest", "n_shingles", "label")
+    alone = linked.filter("n_shingles = 0").select("doc_id", "digest", F.lit(False).alias("_many")).distinct()
+    counted = linked.filter("n_shingles > 0").groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n"))
+    least = counted.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("r"))
+    kept = alone.unionByName(least.select("r.doc_id", "r.digest", (F.col("r.n") > 1).alias("_many")))
+    kept = materialize(kept.toDF("_kept", "_digest", "_many"), "kept")
+    same = lambda keys: (F.xxhash64(docs.text) == keys["_digest"]) & docs.doc_id.eqNullSafe(keys["_kept"])
+    once = small_side(kept.filter("not _many"), "once")
+    out = docs.join(once, same(once), "left_semi")
+    many = small_side(kept.filter("_many"), "many")
+    if many.isEmpty():
+        return out
+    repeated = docs.join(many, same(many)).dropDuplicates(["_kept", "_digest"])  # each task leaves one row of a key first
+    return out.unionByName(repeated.select(*docs.columns))

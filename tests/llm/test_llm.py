@@ -426,6 +426,19 @@ def test_keep_one(spark, empty):
     assert ngram_join.link(empty).count() == ngram_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    words = vocabulary(6, 300)
+    a, b, c, d, e = (" ".join(words[k : k + 40]) for k in range(0, 200, 40))
+    rows = [(1, a)] * 5 + [(None, a), (None, None), (None, " "), (None, b), (None, b)]  # copies under one id; null ids
+    rows += [(2, c), (7, d), (7, c)]  # one id, two texts, of which one is a copy of a lesser id's
+    rows += [(8, e), (8, f"{e} {a}")]  # both alone
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA).repartition(3)
+    got = ngram_join.keep_one(clashing(df))
+    assert got.columns == clashing(df).columns
+    want = [(1, a), (None, None), (None, " "), (None, b), (2, c), (7, d), (8, e), (8, f"{e} {a}")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_large_key_tables_are_shuffled(spark, docs, monkeypatch):
     from fileloom.llm import common
 
