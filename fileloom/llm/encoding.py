@@ -19,7 +19,7 @@ from fileloom.llm.common import CACHES
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_L = "A-Za-zÀ-ÖØ-öø-ɏªº"  # letters of the plain range
+_L = "A-Za-zÀ-ÖØ-öø-ɏªµº"  # letters of the plain range
 _N = "0-9²³¹¼-¾"  # its digits and numbers
 PLAIN = re.compile("[\n\x20-\x7e¡-įı-ɏ]*")
 #: Where a piece's ids could depend on what stands beside it.

@@ -12,7 +12,7 @@ import pytest
 
 from fileloom.llm import language_crf, lz_fingerprint, mixing, ngram_join, packing, quality_rules, record_files, sharding, suffix_dedup, toxicity
 from fileloom.llm.common import discard, slices
-from fileloom.llm.encoding import CachedEncoder
+from fileloom.llm.encoding import PLAIN, CachedEncoder
 from fileloom.llm.wordblocks import Block
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -153,6 +153,15 @@ def test_encoder_equals_library(path):
         assert np.frombuffer(ids, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_every_plain_sign_equals_library(path):
+    encoder, library = CachedEncoder(path), tokenizers.Tokenizer.from_file(path)
+    signs = [x for x in map(chr, range(0x250)) if PLAIN.fullmatch(x)]
+    texts = [a + x + b for x in signs for a in ("", "a", "é", "1", "5 ", "-", ". ", "ab ") for b in ("", "m", "ß", "2", " m", "%", x)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def reference_ids(rows, path, end):
     library = tokenizers.Tokenizer.from_file(path)
     return [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids + [end]) for r in rows]
