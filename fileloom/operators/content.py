@@ -23,8 +23,10 @@ def convert_bytes(data: bytes, converter: str | None, source: str | None, target
         raise ValueError(f"Unsupported conversion from '{source}' to '{target}'")
     if converter == "markdown":
         return [(output, markdown.to_docx(data), "Converted Markdown to DOCX")]
-    if converter == "pdf" or source == "svg":
+    if converter == "pdf" or (source == "svg" and "svg" not in raster.DECODERS):
         raise raster.CodecError(f"codec unavailable: {source} renderer")
+    if source == "svg":
+        pixels = raster.DECODERS["svg"](data)
     pixels = raster.decode(data) if pixels is None else pixels
     if target == "favicon":
         folder, _, name = output.rpartition("/")

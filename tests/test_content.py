@@ -120,3 +120,11 @@ def test_missing_codecs_say_so():
             content.convert_bytes(png, converter, source, target, "o")
     with pytest.raises(ValueError, match="Unsupported"):
         content.convert_bytes(png, None, "png", "docx", "o")
+
+
+def test_svg_renderer_of_the_registry(monkeypatch):
+    with pytest.raises(raster.CodecError, match="codec unavailable: svg"):
+        content.convert_bytes(b"<svg/>", "image", "svg", "png", "a.png")
+    monkeypatch.setitem(raster.DECODERS, "svg", lambda data: np.full((3, 2, 4), 255, dtype=np.uint8))
+    path, data, _ = content.convert_bytes(b"<svg/>", "image", "svg", "png", "a.png")[0]
+    assert path == "a.png" and raster.decode(data).shape[:2] == (3, 2)
