@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +25,13 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in local mode) a temporary folder is set.
+    Only where the session has none and runs in one process (tests in local mode) a temporary folder is set; on a cluster a
+    machine-local folder would lose data, so there it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fileloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -84,6 +89,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """What is planned and run inside sends Arrow batches of at most about ``size``: for rows that hold whole sets."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have: the given ones, with underscores before them as needed (case doesn't tell names apart)."""
+    taken = {x.lower() for x in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def cells(column: pa.Array) -> Callable[[int], memoryview]:
+    """The values of a binary column by row, without copies."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = memoryview(column.buffers()[2] or b"")
+    return lambda i: data[offsets[i] : offsets[i + 1]]
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for documents of the held-out fold; a null id counts as the empty text, which is held out."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -428,6 +428,32 @@ def test_frequent_tokens_dont_change_links(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(df, heavy=1).collect()) == want
 
 
+@pytest.mark.parametrize("seed", [1, 7])
+def test_split_groups_lose_no_links(spark, monkeypatch, seed):
+    """Groups of every min-hash and token are split; unlike documents that share a line meet across blocks."""
+    monkeypatch.setattr(ngram_join, "HOT_STAR", 3)
+    monkeypatch.setattr(ngram_join, "HOT_TOKEN", 4)
+    monkeypatch.setattr(ngram_join, "ALIKE", 0.99)  # so the prefix join has much to do
+    rows, words = near_copies(seed), vocabulary(seed, 300)
+    rows += [(3000 + i, " ".join(words[:60] + words[60 + i % 20 : 64 + i % 20])) for i in range(40)]
+    df = spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA).repartition(3)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(df).collect()) == sorted(brute_links(rows))
+
+
+def test_marks_pass_all_links():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(1, 1 << 60, 200).astype(np.uint64))
+    for orders in (1, 3):
+        for gone in range(0, 60, 3):
+            other = np.sort(base[rng.permutation(len(base))[gone:]])
+            values, bounds = np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)])
+            x, y = ngram_join.prefix_marks(values, bounds, ngram_join.Frequent(base[:5]), orders)
+            if ngram_join.reaches(base, other, 80):
+                assert ngram_join.shares_all(x, y, orders)
+    x, y = ngram_join.prefix_marks(np.arange(1, 401, dtype=np.uint64), np.array([0, 200, 400]), ngram_join.Frequent(base[:0]), 3)
+    assert not ngram_join.shares_all(x, y, 3)
+
+
 def test_keep_one(spark, empty):
     rows = near_copies(3)
     kept = ngram_join.keep_one(clashing(spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA)))
