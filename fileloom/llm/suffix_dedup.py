@@ -9,12 +9,17 @@ another's nowhere and is left out; the others are grouped by a 64-bit hash of th
 have is repeated: in the document that comes first (by id, or by the text's hash) it stays, in the others it is a copy.
 Windows of one kind that overlap are merged to passages.
 
-An anchor that may lie in several partitions (a partition's first or last) has its windows met across them: a partition's
-rows of any but its least document are copies already, those of the least are compared by the hash over all partitions.
-
-Defined results: texts of fewer than ``LEAST`` words and null texts repeat nothing; repeats within one document don't
-count; equal texts under different ids repeat each other whole, if they have ``LEAST`` words; rows of one id and one text are
-one document; a null id stands for a number made of the text's hash, greater than usual ids; an empty table gives an empty result.
+A partition is read as a stream, in chunks of whole anchors of about ``CHUNK`` rows, so a task's memory depends neither on the
+input nor on the number of partitions. An anchor that may lie in several chunks (a partition's first and last, or one
+of more than ``CHUNK`` rows) has its windows met across them: a chunk's
+rows of any but its least document are copies already, those of the least are compared by the hash over all chunks.
+
+Defined results: a document is an id and a text, so rows of one id and one text are one document, and rows of one id with
+different texts are documents of their own, of which the one whose text has the lesser hash comes first; texts of fewer than
+``LEAST`` words and null texts repeat nothing; repeats within one document don't
+count; equal texts under different ids repeat each other whole, if they have ``LEAST`` words;
+a null id stands for a number made of the text's hash, greater than usual ids; texts of any length are taken whole, one longer
+than a batch alone; an empty table gives an empty result; columns beside doc_id and text stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, small_side, text_column
+from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, small_side, text_column, unused
 from fileloom.llm.wordblocks import Block, mix, windows
 
 LEAST, ANCHOR = 50, 12
@@ -34,13 +39,16 @@ LEAST, ANCHOR = 50, 12
 SPAN = LEAST - ANCHOR + 1
 #: Words that a suffix carries.
 WIDTH = LEAST + SPAN - 1
+#: Suffixes that a task compares at a time, at about.
+CHUNK = 40_000
 #: Of the windows' hashes; odd, so that powers have inverses.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def identity() -> Column:
-    """A number for each document: its id, or a great one made of the text where that is null."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1) + (1 << 62))
+def identity() -> list[Column]:
+    """doc and digest, which name a document: its id, or a great number made of the text where that is null; its text's hash."""
+    digest = F.xxhash64("text")
+    return [F.coalesce(F.col("doc_id").cast("long"), digest.bitwiseAND((1 << 62) - 1) + (1 << 62)).alias("doc"), digest.alias("digest")]
 
 
 def minimiser_ranges(hashes: np.ndarray, first: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,14 +90,15 @@ def retained(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc, position) of all retained suffixes."""
+    """(anchor, doc, digest, position) of all retained suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches):
             anchor, text, position, *_ = retained(text_column(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(text)), pa.array(position.astype(np.int32))], ["anchor", "doc", "position"])
+            whose = [batch.column(k).take(pa.array(text)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *whose, pa.array(position.astype(np.int32))], ["anchor", "doc", "digest", "position"])
 
-    return docs.select(identity().alias("doc"), "text").mapInArrow(run, "anchor long, doc long, position int")
+    return docs.select(*identity(), "text").mapInArrow(run, "anchor long, doc long, digest long, position int")
 
 
 def contexts(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -105,24 +114,25 @@ def contexts(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarr
 
 
 def _suffixes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(anchor, suffix, doc, position) of the retained suffixes whose anchor occurs in several documents.
+    """(anchor, suffix, doc, digest, position) of the retained suffixes whose anchor occurs in several documents.
 
-    ``repeated``: (doc, positions).
+    ``repeated``: (doc, digest, positions).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches, limit=1 << 20):
             anchor, text, position, low, high, hashes, first = retained(text_column(batch))
-            wanted = batch.column(2)
+            wanted = batch.column(3)
             counts = np.diff(np.frombuffer(wanted.buffers()[1], dtype=np.int32)[wanted.offset : wanted.offset + len(wanted) + 1])
             good = np.isin(text.astype(np.int64) << 32 | position, np.repeat(np.arange(len(counts)), counts).astype(np.int64) << 32 | wanted.flatten().to_numpy())
             for part in np.array_split(np.flatnonzero(good), max(1, int(good.sum()) // 20_000)):
                 suffix = contexts(hashes, first[text[part]] + position[part], low[part], high[part])
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * WIDTH), len(part), [None, pa.py_buffer(suffix.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), raw, batch.column(0).take(pa.array(text[part])), pa.array(position[part].astype(np.int32))], ["anchor", "suffix", "doc", "position"])
+                whose = [batch.column(k).take(pa.array(text[part])) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), raw, *whose, pa.array(position[part].astype(np.int32))], ["anchor", "suffix", "doc", "digest", "position"])
 
-    rows = docs.select(identity().alias("doc"), "text").join(repeated, "doc")
-    return rows.select("doc", "text", "positions").mapInArrow(run, "anchor long, suffix binary, doc long, position int")
+    rows = docs.select(*identity(), "text").join(repeated, ["doc", "digest"])
+    return rows.select("doc", "digest", "text", "positions").mapInArrow(run, "anchor long, suffix binary, doc long, digest long, position int")
 
 
 def window_keys(anchor: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,80 +166,113 @@ def window_keys(anchor: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.
     return row, before, key
 
 
-def decide(anchor: np.ndarray, suffix: np.ndarray, doc: np.ndarray, position: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Of one partition's sorted suffixes: doc, start, stop, copy of repeated spans; and doc, start, key, greatest document of
-    the windows that other partitions may have."""
+def decide(anchor: np.ndarray, suffix: np.ndarray, doc: np.ndarray, digest: np.ndarray, position: np.ndarray, edges: tuple[int, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of a chunk of sorted suffixes: row, start, stop, copy of repeated spans; and row, start, key, row of the greatest
+    document of the windows that other chunks may have, as their anchor is one of ``edges``."""
+    by = np.lexsort((digest, doc))
+    fresh = np.ones(len(by), dtype=bool)
+    fresh[1:] = (doc[by[1:]] != doc[by[:-1]]) | (digest[by[1:]] != digest[by[:-1]])
+    place, some = np.empty(len(by), dtype=np.int64), by[fresh]  # documents numbered in order, and a row of each
+    place[by] = np.cumsum(fresh) - 1
     row, before, key = window_keys(anchor, suffix)
     order = np.argsort(key)
     head = np.ones(len(key), dtype=bool)
     head[1:] = key[order][1:] != key[order][:-1]
     heads, group = np.flatnonzero(head), np.empty(len(key), dtype=np.int64)
     group[order] = np.cumsum(head) - 1
-    whose = doc[row]
+    whose = place[row]
     lo, hi = (f.reduceat(whose[order], heads)[group] if len(key) else whose for f in (np.minimum, np.maximum))
-    copy, shared = whose > lo, ((anchor == anchor[0]) | (anchor == anchor[-1]))[row]
+    copy, shared = whose > lo, np.isin(anchor, edges)[row]
     wait = np.flatnonzero(shared & ~copy)
     at = np.flatnonzero((lo < hi) & (copy | ~shared))
     r, o, c = row[at], before[at], copy[at]
     fresh = np.ones(len(at) + 1, dtype=bool)
     fresh[1:-1] = (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1) | (c[1:] != c[:-1])
     begin, end = np.flatnonzero(fresh[:-1]), np.flatnonzero(fresh[1:])
-    place = position[r[begin]]
-    return (doc[r[begin]], place - o[end], place - o[begin] + LEAST, c[begin]), (whose[wait], position[row[wait]] - before[wait], key[wait].view(np.int64), hi[wait])
+    start = position[r[begin]]
+    return (r[begin], start - o[end], start - o[begin] + LEAST, c[begin]), (row[wait], position[row[wait]] - before[wait], key[wait].view(np.int64), some[hi[wait]])
 
 
-SPANS = "doc long, start int, stop int, copy boolean, key long, hi long"
+SPANS = "doc long, digest long, start int, stop int, copy boolean, key long, hi long, hi_digest long"
 
 
 def _compared(suffixes: DataFrame, n: int) -> DataFrame:
-    """Spans that are decided (no key), and windows to be met across partitions (no copy)."""
+    """Spans that are decided (no key), and windows to be met across chunks (no copy)."""
     names = [x.split()[0] for x in SPANS.split(", ")]
+    rows_at_once = CHUNK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
-        held = [b for b in batches if b.num_rows]  # one range partition, whose size doesn't depend on a group's
-        if not held:
-            return
-        anchor, doc, position = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 2, 3))
-        raw = [b.column(1) for b in held]
-        suffix = np.frombuffer(b"".join(x.buffers()[2][x.offset * 4 * WIDTH : (x.offset + len(x)) * 4 * WIDTH].to_pybytes() for x in raw), dtype=">u4").reshape(-1, WIDTH)
-        del held, raw
-        (own, start, stop, copy), (other, begin, key, hi) = decide(anchor, suffix, doc, position)
+    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        raw = batch.column(1)
+        suffix = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[raw.offset * 4 * WIDTH : (raw.offset + len(raw)) * 4 * WIDTH].view(">u4").reshape(-1, WIDTH)
+        return batch.column(0).to_numpy(), suffix, *(batch.column(k).to_numpy() for k in (2, 3, 4))
+
+    def told(chunk: tuple[np.ndarray, ...], edges: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+        _, _, doc, digest, _ = chunk
+        (own, start, stop, copy), (other, begin, key, hi) = decide(*chunk, edges)
         for k in range(0, len(own), 50_000):
             s = slice(k, k + 50_000)
             none = pa.nulls(len(own[s]), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(own[s]), pa.array(start[s].astype(np.int32)), pa.array(stop[s].astype(np.int32)), pa.array(copy[s]), none, none], names)
+            columns = [doc[own[s]], digest[own[s]], start[s].astype(np.int32), stop[s].astype(np.int32), copy[s]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), none, none, none], names)
         for k in range(0, len(other), 50_000):
             s = slice(k, k + 50_000)
             at = begin[s].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(other[s]), pa.array(at), pa.array(at + np.int32(LEAST)), pa.nulls(len(at), pa.bool_()), pa.array(key[s]), pa.array(hi[s])], names)
+            columns = [doc[other[s]], digest[other[s]], at, at + np.int32(LEAST)], [key[s], doc[hi[s]], digest[hi[s]]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[0]), pa.nulls(len(at), pa.bool_()), *map(pa.array, columns[1])], names)
 
-    by = ("anchor", "suffix", "doc", "position")
-    return suffixes.repartitionByRange(n, *by).sortWithinPartitions(*by).select("anchor", "suffix", "doc", "position").mapInArrow(run, SPANS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        held, size, edges = [], 0, ()  # anchors that other chunks may have
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(rows_of(batch))
+            size += batch.num_rows
+            edges = edges or (int(held[0][0][0]),) * 2
+            if size < rows_at_once:
+                continue
+            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(whole[0][-1])
+            cut = int(np.argmax(whole[0] == last)) or size  # before the last anchor, or all if there is but one
+            yield from told(tuple(x[:cut] for x in whole), (*edges, last))
+            if cut == size:
+                edges = (edges[0], last)
+            held, size = ([tuple(x[cut:].copy() for x in whole)], size - cut) if cut < size else ([], 0)
+        if held:
+            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            yield from told(whole, (*edges, int(whole[0][-1])))
+
+    by = ("anchor", "suffix", "doc", "digest", "position")
+    return suffixes.repartitionByRange(n, *by).sortWithinPartitions(*by).select(*by).mapInArrow(run, SPANS)
 
 
 def repeats(docs: DataFrame, n: int | None = None) -> DataFrame:
-    """Repeated passages, merged: doc (identity), start and stop (words), copy (an earlier document has it).
+    """Repeated passages, merged: doc and digest (identity), start and stop (words), copy (an earlier document has it).
 
     Spans that stay and spans that are copies are merged apart.
     """
     spark = docs.sparkSession
     n = n or partitions(spark)
     places = materialize(anchors(docs), "anchors")
-    several = places.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
+    ends = [f(x).alias(f"{f.__name__}_{x}") for x in ("doc", "digest") for f in (F.min, F.max)]
+    several = places.groupBy("anchor").agg(*ends).filter("min_doc < max_doc or min_digest < max_digest").select("anchor")
     several = materialize(several, "several")  # then the join's sides are plain shuffles, of which a hot anchor's can be split
-    repeated = places.join(several, "anchor").groupBy("doc").agg(F.array_sort(F.collect_set("position")).alias("positions"))
+    repeated = places.join(several, "anchor").groupBy("doc", "digest").agg(F.array_sort(F.collect_set("position")).alias("positions"))
+    repeated = materialize(repeated, "repeated")  # the range shuffle asks twice for it
     spans = materialize(_compared(_suffixes(docs, repeated), n), "spans")
     across = spans.filter(F.col("key").isNotNull())
-    known = small_side(across.groupBy("key").agg(F.min("doc").alias("lo"), F.max("hi").alias("most")).filter("lo < most").select("key", "lo"), "known")
-    met = across.join(known, "key").select("doc", "start", "stop", (F.col("lo") < F.col("doc")).alias("copy"))
-    found = spans.filter(F.col("key").isNull()).select("doc", "start", "stop", "copy").unionByName(met)
+    name = lambda doc, digest: F.struct(F.col(doc).alias("doc"), F.col(digest).alias("digest"))
+    known = across.groupBy("key").agg(F.min(name("doc", "digest")).alias("lo"), F.max(name("hi", "hi_digest")).alias("most"))
+    known = small_side(known.filter("lo < most").select("key", "lo"), "known")
+    met = across.join(known, "key").select("doc", "digest", "start", "stop", (F.col("lo") < name("doc", "digest")).alias("copy"))
+    found = spans.filter(F.col("key").isNull()).select("doc", "digest", "start", "stop", "copy").unionByName(met)
     found = found.distinct()
-    own = Window.partitionBy("doc", "copy").orderBy("start", "stop")
+    own = Window.partitionBy("doc", "digest", "copy").orderBy("start", "stop")
     reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("start") > reach, 1).when(reach.isNull(), 1).otherwise(0)
     islands = found.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(own))
-    return islands.groupBy("doc", "copy", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("doc", "start", "stop", "copy")
+    merged = islands.groupBy("doc", "digest", "copy", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.select("doc", "digest", "start", "stop", "copy")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -242,7 +285,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A cut takes the words and the white space after them.
     """
-    copies = repeats(docs).filter("copy").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    copies = repeats(docs).filter("copy").groupBy("doc", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     names = docs.columns
     place = names.index("text")
 
@@ -265,6 +308,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    keyed = docs.withColumn("_doc", identity())
-    joined = keyed.join(copies.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*[keyed[x] for x in names], "_cuts")
+    keys = unused(docs, "doc", "digest", "cuts")
+    keyed = docs.withColumns(dict(zip(keys, identity())))
+    joined = keyed.join(copies.toDF(*keys), keys[:2], "left").select(*names, keys[2])
     return joined.mapInArrow(run, docs.schema)

@@ -64,6 +64,14 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def own_names(df):
+    """Extra columns with the names that operators give to columns of their own."""
+    from pyspark.sql import functions as F
+
+    names = "doc digest cuts kept_id kept_digest many id turn copies _id _copies _source _digest anchor positions node key token labelled toxic held_out text2 part curve"
+    return df.withColumns({x: F.lit("x") for x in names.split()})
+
+
 def clashing(df):
     """Extra columns with names that operators might use themselves."""
     from pyspark.sql import functions as F
@@ -290,6 +298,56 @@ def test_repeats_that_end_in_a_hot_line(spark, seed):
         assert dict(got) == want
 
 
+def crowd(seed, pairs=12, each=32):
+    """Pairs that share a passage of 55 words, amid documents that share 30 to 48 words of it with one of the two only."""
+    rng, words = random.Random(seed), vocabulary(seed, 3000)
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    rows = []
+    for _ in range(pairs):
+        passage = text(55).split()
+        rows += [f"{text(30)} {' '.join(passage)} {text(30)}" for _ in range(2)]
+        for _ in range(each):
+            k = rng.randint(30, 48)
+            part = passage[:k] if rng.random() < 0.5 else passage[-k:]
+            rows.append(f"{text(rng.randint(5, 30))} {' '.join(part)} {text(rng.randint(5, 30))}")
+    rng.shuffle(rows)
+    return [(i, t, "en", "s", 0) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("chunk", [40_000, 60])
+def test_passages_whose_parts_are_quoted(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rows = crowd(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        got = collections.defaultdict(set)
+        for r in suffix_dedup.repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), 2).collect():
+            got[r.doc] |= set(range(r.start, r.stop))
+        hot = collections.defaultdict(set)
+        lines = hot_lines(5, 150)
+        for r in suffix_dedup.repeats(spark.createDataFrame(lines, SCHEMA).repartition(3), 2).collect():
+            hot[r.doc] |= set(range(r.start, r.stop))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert dict(got) == {i: x for i, x in repeated_words([(r[0], r[1]) for r in rows]).items() if x}
+    assert dict(hot) == {i: x for i, x in repeated_words([(r[0], r[1]) for r in lines]).items() if x}
+
+
+def test_rows_of_one_id_are_apart(spark):
+    """Rows of one id with different texts are documents of their own; a repeated row is one document."""
+    rng, words = random.Random(8), vocabulary(8, 2000)
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    shared = text(80)
+    a, b, c = f"{text(20)} {shared}", f"{shared} {text(120)}", text(300)
+    rows = [(1, a), (1, b), (1, c), (2, a), (2, a), (3, "x"), (None, b), (None, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA).repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in suffix_dedup.remove_repeats(own_names(df)).collect() if r.text is not None)
+    assert len(got) == 7 and ("1", c) in got and ("3", "x") in got
+    assert sum(shared in t for _, t in got) == 1 and {("1", a), ("1", b)} & set(got)
+    assert all(t.strip() in {"", " ".join(a.split()[:20]), " ".join(b.split()[80:])} for i, t in got if i in ("2", "None"))
+
+
 @pytest.mark.parametrize("n", [1, 7])
 def test_all_but_the_first_are_copies_before_a_hot_line(spark, n):
     rows = hot_lines(3, 200)
