@@ -14,7 +14,9 @@ Random moves come from a generator seeded with the source and the block, and row
 a hash of the text: reruns agree.
 
 Defined results: a null text has size 0 and is taken 0 words; null sources are one source, ordered last; repeated
-rows are documents of their own; an empty table gives an empty result.
+rows are documents of their own; a text of any length is one document, counted whole; documents of equal size are ties
+that the order by doc_id and text hash settles; an empty table gives an empty result; columns other than doc_id, text and source
+are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, small_side, text_column
+from fileloom.llm.common import BROADCAST_ROWS, batch_slices, materialize, small_side, text_column, unused
 from fileloom.llm.wordblocks import Block
 
 #: Documents of a flight, at about.
@@ -133,6 +135,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     wanted = targets([(r.source, r.source_size) for r in sums], weights, share, most)
     plan = [(r.source, r.source_size, r.n, float(wanted[r.source]), wanted[r.source] / r.source_size if r.source_size else 0.0, max(1, -(-r.n // block))) for r in sums]
     rates = spark.createDataFrame(plan, "source string, source_size long, n long, target double, rate double, blocks long")
+    # Rates have a row per source, as the sums above; a corpus of very many sources is joined by a shuffle.
+    rates = F.broadcast(rates) if len(plan) <= BROADCAST_ROWS else rates
     joined = rows.join(rates, rows.source.eqNullSafe(rates.source)).drop(rates.source)
     joined = joined.withColumn("block", F.pmod(F.xxhash64("doc_id", "digest", "size"), F.col("blocks")))
     whole = F.floor("rate").cast("long")
@@ -167,12 +171,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def take_mix(docs: DataFrame) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken, with all its columns.
+    """``docs`` as mixed: each row as often as it is taken, with all its columns, whatever their names.
 
     Rows that share id, text and source are taken as often as their mean, rounded.
     """
-    decided = mix(docs).groupBy("doc_id", "digest", "source").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    decided = small_side(decided.withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "source": "_source"}), "decided")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    taken = docs.join(decided, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    doc_id, digest, source, copies, turn = unused(docs, "mix_id", "mix_digest", "mix_source", "copies", "turn")
+    decided = mix(docs).groupBy("doc_id", "digest", "source").agg(F.round(F.avg("copies")).cast("int").alias(copies)).filter(F.col(copies) > 0)
+    decided = small_side(decided.withColumnsRenamed({"doc_id": doc_id, "digest": digest, "source": source}), "decided")
+    same = docs["doc_id"].cast("long").eqNullSafe(decided[doc_id]) & (F.xxhash64(docs["text"]) == decided[digest]) & docs["source"].cast("string").eqNullSafe(decided[source])
+    taken = docs.join(decided, same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return taken.select(*[docs[x] for x in docs.columns])

@@ -526,8 +526,8 @@ def test_keep_one_decides_by_row(spark):
     rows += [(2, c), (7, d), (7, c)]  # one id, two texts, of which one is a copy of a lesser id's
     rows += [(8, e), (8, f"{e} {a}")]  # both alone
     df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA).repartition(3)
-    got = ngram_join.keep_one(clashing(df))
-    assert got.columns == clashing(df).columns
+    got = ngram_join.keep_one(own_names(df))
+    assert got.columns == own_names(df).columns
     want = [(1, a), (None, None), (None, " "), (None, b), (2, c), (7, d), (8, e), (8, f"{e} {a}")]
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
 
@@ -617,6 +617,8 @@ def test_mix(spark, docs, empty):
     rows = mixing.take_mix(clashing(docs)).collect()
     assert sum(len(WORD.findall(r.text or "")) for r in rows) == pytest.approx(sum(want.values()), rel=0.1) and rows[0].label == "x"
     assert mixing.mix(empty).count() == mixing.take_mix(empty).count() == 0
+    again = mixing.take_mix(own_names(docs))
+    assert again.columns == own_names(docs).columns and sorted(str(r.doc_id) for r in again.collect()) == sorted(str(r.doc_id) for r in rows)
 
 
 # --- 1, 10 ----------------------------------------------------------------
