@@ -1,21 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled documents: one of ordinary text, and one that puts the words that
-mark toxic documents before the same ordinary text. A text is cut into windows of ``WINDOW`` words; a window that the
-toxic dictionary compresses to fewer bytes than the ordinary one has something of the toxic material in it. The mean
-gain per window, the shares of windows beyond two thresholds, and the largest gains go through a logistic curve, whose
-weights, like the thresholds and the size of the toxic dictionary, are calibrated on labelled documents kept out of the
-dictionaries.
-
-Fitting reads at most about ``sample`` labelled documents of each class, those with the least hash of their id, never
-from the held-out fold; of a sampled document at most ``SAMPLE_WORDS`` words are used. Scoring reads whole texts in one pass, with no shuffle.
-
-Defined results: a text without words (null or empty) gets the score of a text without gains; with no labelled
-documents of both classes every score is 0; every row gives a row; an empty table gives an empty result.
+Two zstandard dictionaries of equal size are trained, one on toxic and one on ordinary text. A trainer in the manner of zstandard's
+own (cover: take the segments whose byte sequences of length ``DMER`` are worth most, then count those sequences no more) is run
+on each class apart; a sequence is worth the share of the class's documents that have it, times the logarithm of how much rarer it is
+in the other class, so that what both classes share isn't learned twice. Behind its own segments each dictionary has
+the same common words of ordinary text: windows then compress alike but for what marks a class. (zstandard's trainer, which
+sees one class at a time, spends both dictionaries on text that both classes share; the README has figures.)
+
+A text is cut into windows of ``WINDOW`` words; a window that the toxic dictionary compresses to fewer bytes than the ordinary
+one has something of the toxic material in it. The mean gain per window, the shares of windows beyond two thresholds, and the largest
+gains go through a logistic curve, whose weights, like the size of the trained segments, are calibrated on labelled documents
+kept out of the dictionaries.
+
+Fitting reads at most about ``sample`` labelled documents of each class (twice as many ordinary ones), those with the least hash
+of their id, never from the held-out fold; of a sampled document at most ``SAMPLE_WORDS`` words are used. Scoring reads whole texts
+of any length in one pass, with no shuffle.
+
+Defined results: a text without words (null or empty) gets the score of a text without gains; a document with several labels is
+toxic if any of them says so; rows that share a labelled id are all learned from; with no labelled
+documents of both classes every score is 0; every row gives a row, repeated rows the same score; an empty table gives an empty
+result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,14 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileloom.llm.common import batch_slices, held_out, text_column
+from fileloom.llm.wordblocks import mix
 
 WINDOW = 8
 SAMPLE, SAMPLE_WORDS = 2500, 4000
 ORDINARY_WORDS = 2000
-#: Sizes of the toxic dictionary, in words, that calibration chooses from.
-TOXIC_WORDS = (10, 20, 40, 80, 160, 320)
+#: Bytes of a class's own segments that calibration chooses from.
+SEGMENT_BYTES = (128, 256, 512, 1024)
+#: Bytes of the sequences that training counts; least logarithm of how much rarer one is in the other class; least share of documents.
+DMER, RARER, LEAST_SHARE = 6, 1.0, 0.005
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
-LETTERS = re.compile(r"[^\W\d_]+")
 FEATURES = 6
 
 
@@ -127,16 +138,84 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
     return w
 
 
-def _marking_words(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words of toxic documents, most telling first: by log odds of document frequency, of those in several documents."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for x in texts:
-            counts.update(set(LETTERS.findall(x.lower())))
-    n, m = len(toxic), len(ordinary)
-    least = max(3, n // 200)
-    odds = {w: np.log((c + 0.5) / (n + 1)) - np.log((in_ordinary[w] + 0.5) / (m + 1)) for w, c in in_toxic.items() if c >= least}
-    return sorted((w for w, s in odds.items() if s > 1), key=lambda w: (-odds[w], w))
+def dmers(data: bytes) -> np.ndarray:
+    """All byte sequences of length ``DMER``, as numbers."""
+    codes = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
+    n = max(0, len(codes) - DMER + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(DMER):
+        out = out << np.uint64(8) | codes[k : k + n]
+    return out
+
+
+def _plain(text: str) -> bytes:
+    return f" {' '.join(SPLIT.findall(text.lower()))} ".encode("utf-8", "replace")
+
+
+def spread_of(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences that at least so many of the texts have, and how many have each.
+
+    Counts by hash bucket come first, so that the many rare sequences are never held together.
+    """
+    buckets = np.zeros(1 << 22, dtype=np.int32)
+    place = lambda x: (mix(x) & np.uint64(len(buckets) - 1)).astype(np.int64)
+    for x in texts:
+        buckets[np.unique(place(dmers(_plain(x))))] += 1
+    held = [np.zeros(0, dtype=np.uint64)]
+    for x in texts:
+        own = np.unique(dmers(_plain(x)))
+        held.append(own[buckets[place(own)] >= least])
+    keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    return keys[counts >= least], counts[counts >= least]
+
+
+def counted(keys: np.ndarray, texts: list[str]) -> np.ndarray:
+    """How many of the texts have each of the sequences."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    for x in texts if len(keys) else ():
+        own = np.unique(dmers(_plain(x)))
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        out[at[keys[at] == own]] += 1
+    return out
+
+
+def segments(texts: list[str], others: list[str], size: int) -> list[bytes]:
+    """Words of a class's texts that cover what marks the class against the other's, the most valuable first, about ``size`` bytes."""
+    n = len(texts)
+    keys, counts = spread_of(texts, max(3, LEAST_SHARE * n))
+    rarer = np.log((counts + 0.5) / (n + 1)) - np.log((counted(keys, others) + 0.5) / (len(others) + 1))
+    worth = counts / n * np.maximum(0, rarer - RARER)
+    value = dict(zip(keys[worth > 0].tolist(), worth[worth > 0].tolist(), strict=True))
+    held, heap = {}, []
+    for word in {w for x in texts for w in SPLIT.findall(x.lower())}:
+        data = f" {word} ".encode("utf-8", "replace")
+        inside = [d for d in set(dmers(data).tolist()) if d in value]
+        if inside:
+            held[data] = inside
+            heap.append((-sum(sorted(value[d] for d in inside)) / len(data), data))
+    heapq.heapify(heap)
+    out, total = [], 0
+    while heap and total < size:
+        _, data = heapq.heappop(heap)
+        now = -sum(sorted(value[d] for d in held[data])) / len(data)
+        if now < 0 and heap and now > heap[0][0]:  # others have covered some of it
+            heapq.heappush(heap, (now, data))
+        elif now < 0:
+            out.append(data)
+            total += len(data)
+            value.update(dict.fromkeys(held[data], 0.0))
+    return out
+
+
+def dictionary(found: list[bytes], size: int, common: bytes) -> bytes:
+    """The segments that fit in ``size`` bytes, the best one nearest to the common words."""
+    out, left = [], size
+    for data in found:
+        if len(data) > left:
+            break
+        out.append(data)
+        left -= len(data)
+    return b"".join(out[::-1]).rjust(size, b"\n") + common
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
@@ -145,31 +224,34 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
         return None
     parts = [([x for k, x in enumerate(t) if k % 3], t[::3]) for t in (toxic, ordinary)]
     (toxic_fit, toxic_cal), (ordinary_fit, ordinary_cal) = parts
-    common = Counter(w for x in ordinary_fit for w in SPLIT.findall(x.lower())[:400])
-    base = "".join(f" {w} " for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS][::-1]).encode("utf-8", "replace")[-49_152:]
-    marking = _marking_words(toxic_fit, ordinary_fit)
+    words = Counter(w for x in ordinary_fit for w in SPLIT.findall(x.lower()))
+    common = "".join(f" {w} " for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS][::-1]).encode("utf-8", "replace")[-49_152:]
+    bad_segments = segments(toxic_fit, ordinary_fit, max(SEGMENT_BYTES))
+    good_segments = segments(ordinary_fit, toxic_fit, max(SEGMENT_BYTES))
     texts, label = toxic_cal + ordinary_cal, np.array([1] * len(toxic_cal) + [0] * len(ordinary_cal))
     best = None
-    for n in sorted({min(n, len(marking)) for n in TOXIC_WORDS}):
-        dictionary = "".join(f" {w} " for w in marking[:n][::-1]).encode("utf-8", "replace") + base
-        x = np.array([features(g) for g in gains(texts, base, dictionary)])
+    for size in SEGMENT_BYTES:
+        own = dictionary(good_segments, size, common), dictionary(bad_segments, size, common)
+        x = np.array([features(g) for g in gains(texts, *own)])
         found = logistic(x, label)
         quality = auc(x @ found[1:], label) - np.mean((x @ found[1:] + found[0] >= 0) != label)
         if best is None or quality > best[0] + 1e-6:
-            best = (quality, Model(base, dictionary, found))
+            best = (quality, Model(*own, found))
     return best[1]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[str], list[str]]:
     """Texts of at most about ``sample`` toxic and ``2 * sample`` other labelled documents outside the held-out fold."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64(F.col("labelled"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, 2 * sample / max(1, counts.get(0, 0))))
-    ids = known.filter(place <= rate).limit(4 * sample)
-    rows = docs.filter(~held_out()).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))  # bounded by the sample
+    ids = known.withColumn("place", place).filter(F.col("place") <= rate).orderBy("place", "labelled").limit(4 * sample)
+    rows = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))  # bounded by the sample
     cut = F.array_join(F.slice(F.split("text", " "), 1, SAMPLE_WORDS), " ").alias("text")
-    found = rows.filter(F.col("text").isNotNull()).select("doc_id", "toxic", cut).limit(8 * sample).collect()
+    order = ("place", "doc_id", F.xxhash64("text"))  # rows that tie are equal
+    found = rows.filter(F.col("text").isNotNull()).orderBy(*order).limit(8 * sample).select("doc_id", "toxic", cut).collect()
     found.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in found if r.toxic == 1], [r.text for r in found if r.toxic == 0]
 
@@ -184,4 +266,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             score = model.scores(texts) if model is not None else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -652,6 +652,27 @@ def test_toxicity_on_held_out(spark, empty):
     assert toxicity.score_toxicity(empty, known).count() == 0
 
 
+def test_dictionaries_are_trained_apart():
+    rows, labels = marked(2, 900)
+    toxic, ordinary = ([r[1] for r, x in zip(rows, labels) if x[2] == y] for y in (1, 0))
+    model = toxicity.fit(toxic, ordinary)
+    assert len(model.toxic) == len(model.ordinary) and not model.toxic.endswith(model.ordinary)
+    assert all(w in model.toxic and w not in model.ordinary for w in (b"qwyx", b"zokkor", b"hujjik"))
+    # counted sequences equal a plain count
+    keys, counts = toxicity.spread_of(toxic, 5)
+    plain = collections.Counter(d for x in toxic for d in {f" {' '.join(WORD.findall(x.lower()))} ".encode()[k:][:6] for k in range(len(f" {x} ".encode()) - 5)})
+    assert dict(zip(keys.tolist(), counts.tolist())) == {int.from_bytes(d, "big"): n for d, n in plain.items() if n >= 5}
+
+
+def test_labels_that_repeat_or_disagree(spark):
+    rows, labels = marked(3, 500)
+    df = spark.createDataFrame(rows, SCHEMA)
+    doubled = spark.createDataFrame(labels + labels[:50] + [(i, 1, 0) for i, _, t in labels if t], "doc_id int, quality int, toxic int")
+    once = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(x, y).collect()) for x, y in ((df, once), (df.withColumn("doc_id", df.doc_id.cast("int")).repartition(5), doubled)))
+    assert a == b
+
+
 def tongues(seed, n=240):
     rng = random.Random(seed)
     words = {"aa": vocabulary(11, 150), "bb": ["".join(rng.choice("rstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(150)]}
