@@ -89,8 +89,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch in the registered queries and the pipeline.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send Arrow batches of at most about ``BATCH_BYTES``.
+
+    A batch stands several times in memory, outside the JVM's heap and in the worker; Spark's own bound is 64 MB. Queries call this,
+    operators leave the session as it is.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 @contextlib.contextmanager
-def arrow_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+def arrow_batches(spark: SparkSession, size: str = BATCH_BYTES) -> Iterator[None]:
     """What is planned and run inside sends Arrow batches of at most about ``size``: for rows that hold whole sets."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)

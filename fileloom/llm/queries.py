@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fileloom.llm import language_crf, lz_fingerprint, mixing, ngram_join, oracles, packing, quality_rules, record_files, sharding, suffix_dedup, toxicity
+from fileloom.llm.common import bound_batches
 
 
 QUALITY_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -131,7 +131,8 @@ def _suffixes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 whose = [batch.column(k).take(pa.array(text[part])) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), raw, *whose, pa.array(position[part].astype(np.int32))], ["anchor", "suffix", "doc", "digest", "position"])
 
-    rows = docs.select(*identity(), "text").join(repeated, ["doc", "digest"])
+    # Texts are shuffled at every size: a broadcast that holds on small inputs only would hide what large ones cost.
+    rows = docs.select(*identity(), "text").join(repeated.hint("merge"), ["doc", "digest"])
     return rows.select("doc", "digest", "text", "positions").mapInArrow(run, "anchor long, suffix binary, doc long, digest long, position int")
 
 
@@ -310,5 +311,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     keys = unused(docs, "doc", "digest", "cuts")
     keyed = docs.withColumns(dict(zip(keys, identity())))
-    joined = keyed.join(copies.toDF(*keys), keys[:2], "left").select(*names, keys[2])
+    joined = keyed.join(copies.toDF(*keys).hint("merge"), keys[:2], "left").select(*names, keys[2])
     return joined.mapInArrow(run, docs.schema)
