@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileloom.functions import formats, pages, text
-from fileloom.operators import content, planning, raster, sinks, tasks
+from fileloom.codecs import CodecError, pdf
+from fileloom.functions import formats, pages, paths, text
+from fileloom.operators import content, planning, progress as watching, sinks, tasks
+from fileloom.operators.staging import new_path
 from fileloom.sources import manifest
 from fileloom.sources.manifest import InputError
 
 
+#: Told how many tasks are done, and of how many.
+Progress = Callable[[int, int], None]
+
+
 @dataclass
 class Options:
     """How to convert; checked when made."""
@@ -34,6 +41,9 @@ class Options:
             if value is not None and not lo <= value <= hi:
                 raise InputError("invalid_input", f"Invalid input data: {name} must be from {lo} to {hi}")
 
+    def settings(self) -> content.Settings:
+        return content.Settings(self.width, self.height, self.no_upscale, self.quality, self.lossless, self.package, self.dpi)
+
 
 @dataclass
 class BatchResult:
@@ -55,95 +65,100 @@ def supported_formats(spark: SparkSession) -> DataFrame:
     return formats.capabilities(spark)
 
 
-def targets_of(name: str) -> list[str]:
+def _evaluate(spark: SparkSession, **columns: Column) -> dict:
+    """Values of expressions over literals: the rules that batches use, for one file."""
+    return spark.range(1).select(*(c.alias(k) for k, c in columns.items())).first().asDict()
+
+
+def targets_of(spark: SparkSession, name: str) -> list[str]:
     """Formats that a target name means."""
-    if name.lower() == "both":
-        return ["webp", "avif"]
-    found = formats.format_of(name)
+    found = _evaluate(spark, targets=planning.target_list(F.lit(name)))["targets"]
     if found is None:
         raise InputError("unsupported", f"Unsupported conversion from 'any' to '{name}'")
-    return [found]
+    return found
 
 
-def _suffix(path: str) -> str:
-    stem, dot, ext = os.path.basename(path).rpartition(".")
-    return ext.lower() if stem and dot else ""
+def _goals(spark: SparkSession, path: str, targets: list[str], output: str | None, package: bool) -> list[str]:
+    """Output of each target of one file."""
+    is_dir = F.lit(output is not None and os.path.isdir(output))
+    where, given = F.lit(output).cast("string"), F.lit(output if output is not None else os.path.dirname(path) or ".")
+    packed = paths.package_paths(given, is_dir | F.lit(output is None))
+    goals = []
+    for target in targets:
+        if target == "favicon" and package:
+            goals.append(paths.join(packed["directory"], packed["ico"]))
+        else:
+            goals.append(paths.single_output(F.lit(path), F.lit(target), where, is_dir, F.lit(len(targets))))
+    return _evaluate(spark, goals=F.array(*goals))["goals"]
 
 
-def default_name(extension: str, output: str | None, package: bool) -> str:
-    """Target name where none is given."""
-    if package:
-        return "favicon"
-    wanted = _suffix(output) if output and not os.path.isdir(output) else ""
-    if wanted:
-        return "favicon" if wanted in ("ico", "html") else wanted
-    return {"svg": "favicon", "pdf": "png", "md": "docx", "markdown": "docx"}.get(extension, "webp")
+def _page_indexes(spark: SparkSession, data: bytes, spec: str | None) -> list[int]:
+    """Pages of a PDF that a selection means; raises if there are none."""
+    n = F.lit(pdf.page_count(data))
+    found = _evaluate(spark, pages=pages.select_pages(F.lit(spec).cast("string"), n), error=pages.page_error(F.lit(spec).cast("string"), n))
+    if found["error"]:
+        raise InputError("invalid_input", f"Invalid input data: {found['error']}")
+    return found["pages"]
 
 
-def _output(path: str, target: str, output: str | None, several: bool, package: bool) -> str:
-    ext = "ico" if target == "favicon" else target
-    swap = lambda p: f"{p[: -len(_suffix(p)) - 1] if _suffix(p) else p}.{ext}"
-    if target == "favicon" and package:
-        if output is None:
-            return os.path.join(os.path.dirname(path), "favicon.ico")
-        return os.path.join(output, "favicon.ico") if os.path.isdir(output) or not _suffix(output) else output
-    if output is None:
-        return swap(path)
-    if os.path.isdir(output):
-        return os.path.join(output, swap(os.path.basename(path)))
-    return swap(output) if several else output
-
-
-def convert(spark: SparkSession, path: str, to: str | None = None, output: str | None = None, source: str = "auto", options: Options | None = None) -> list[dict]:
+def convert(spark: SparkSession, path: str, to: str | None = None, output: str | None = None, source: str = "auto", options: Options | None = None, progress: Progress = lambda done, total: None) -> list[dict]:
     """Convert one file; its output files as dictionaries (path, size_bytes, description). Stops at the first error.
 
     A file's pages and targets are planned in the driver, as there are few; bytes are handled here too.
     """
     options = options or Options()
-    names = targets_of(to or default_name(_suffix(path), output, options.package))
+    ext = paths.extension(F.lit(path))
+    is_dir = F.lit(output is not None and os.path.isdir(output))
+    named = planning.target_from_output(ext, F.lit(output).cast("string"), is_dir, F.lit(options.package)) if to is None else F.lit(to)
+    plan = _evaluate(spark, name=named, ext=ext, kind=formats.parse_format(F.lit(source) if source != "auto" else ext))
+    names, kind = targets_of(spark, plan["name"]), plan["kind"]
     if not os.path.exists(path):
         raise InputError("input_not_found", f"Input file not found: {path}")
     if os.path.getsize(path) == 0:
         raise InputError("invalid_input", "Invalid input data: Input file is empty")
-    kind = formats.format_of(source if source != "auto" else _suffix(path))
+    goals = _goals(spark, path, names, output, options.package)
+    how = _evaluate(spark, how=F.array(*(formats.converter(F.lit(kind).cast("string"), F.lit(t)) for t in names)))["how"]
     made: list[dict] = []
-    for target in names:
-        how = formats.converter_of(kind, target) if kind else None
-        if how is None:
-            raise InputError("unsupported", f"Unsupported conversion from '{kind or _suffix(path)}' to '{target}'")
-        if how == "pdf" and options.pages is not None:
-            rows = spark.range(1).select(pages.page_error(F.lit(options.pages), F.lit(65535)).alias("e")).first()
-            if rows.e:
-                raise InputError("invalid_input", f"Invalid input data: {rows.e}")
-        goal = _output(path, target, output, len(names) > 1, options.package)
+    with open(path, "rb") as f:
+        data = f.read()
+    for k, (target, goal, converter) in enumerate(zip(names, goals, how, strict=True)):
+        progress(k, len(names))
+        if converter is None:
+            raise InputError("unsupported", f"Unsupported conversion from '{kind or plan['ext']}' to '{target}'")
         if os.path.exists(goal) and not options.overwrite:
             made.append({"path": goal, "size_bytes": os.path.getsize(goal), "description": "Skipped (already exists)"})
             continue
-        with open(path, "rb") as f:
-            data = f.read()
         try:
-            files = content.convert_bytes(data, how, kind, target, goal, options.width, options.height, options.no_upscale, options.quality, options.lossless, options.package)
-        except raster.CodecError as error:
+            wanted = _page_indexes(spark, data, options.pages) if converter == "pdf" else None
+            files = content.convert_bytes(data, converter, kind, target, goal, options.settings(), wanted)
+        except CodecError as error:
             raise InputError("image", f"Image processing error: {error}") from error
+        except InputError:
+            raise
         except ValueError as error:
             raise InputError("invalid_input", str(error)) from error
         for name, body, description in files:
+            if converter == "pdf" and os.path.exists(name) and not options.overwrite:  # pages are checked under their own names
+                made.append({"path": name, "size_bytes": os.path.getsize(name), "description": "Skipped (already exists)"})
+                continue
             try:
                 sinks.write_file(name, body)
             except OSError as error:
                 raise InputError("output_write", f"Output writing error: {error.strerror}") from error
             made.append({"path": name, "size_bytes": len(body), "description": description})
+    progress(len(names), len(names))
     same = {os.path.realpath(f["path"]) for f in made}
     if options.delete_original and os.path.realpath(path) not in same:  # an output that is the input is never deleted
         os.unlink(path)
     return made
 
 
-def batch_convert(spark: SparkSession, root: str | None = None, to: str | None = None, output_dir: str | None = None, from_filter: str = "auto", recursive: bool = False, files: list[str] | None = None, options: Options | None = None, store: str | None = None) -> BatchResult:
+def batch_convert(spark: SparkSession, root: str | None = None, to: str | None = None, output_dir: str | None = None, from_filter: str = "auto", recursive: bool = False, files: list[str] | None = None, options: Options | None = None, store: str | None = None, progress: Progress | None = None) -> BatchResult:
     """Convert the files of a directory, or those listed. Errors are rows, never exceptions.
 
     Outputs that exist are found by metadata alone, so the bytes of skipped files are never read. The table of tasks is written
     in ``store`` (a folder that executors share) before anything is counted or deleted, so that outputs are written once.
+    ``progress`` is told of Spark's tasks while contents are converted.
     """
     options = options or Options()
     if files is None:
@@ -152,10 +167,11 @@ def batch_convert(spark: SparkSession, root: str | None = None, to: str | None =
     else:
         found = manifest.listed_files(spark, files).select("path", "length", "extension", "file_idx")
         root = root or os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in files]) if files else "."
-    goal = F.array(*map(F.lit, targets_of(to))) if to else F.array(planning.default_target(F.col("extension")))
-    n_targets = len(targets_of(to)) if to else 1
+    wanted = targets_of(spark, to) if to else None
+    goal = F.array(*map(F.lit, wanted)) if wanted else F.array(planning.default_target(F.col("extension")))
+    n_targets = len(wanted) if wanted else 1
     planned = planning.plan_batch(found, goal, root.rstrip("/"), output_dir)
-    store = store or _store(spark)
+    store = store or new_path(spark, "batch")
     planned.write.mode("overwrite").parquet(f"{store}/plan")
     planned = planning.mark_collisions(spark.read.parquet(f"{store}/plan"))
     existing = _existing(planned)
@@ -166,11 +182,22 @@ def batch_convert(spark: SparkSession, root: str | None = None, to: str | None =
     refused = planned.filter("collides or not supported").select(*base, F.lit("failed").alias("status"), F.lit(0).cast("long").alias("converted_size"), why.alias("error_message"))
     skipped = planned.filter("supported and not collides and skipped").select(*base, F.lit("skipped").alias("status"), F.col("existing_size").alias("converted_size"), F.lit(None).cast("string").alias("error_message"))
     todo = planned.filter("supported and not collides and not skipped")
-    read = manifest.contents(spark, todo.withColumnRenamed("input_path", "path").select("path", "from_format", "to_format", "converter", "output_path")).withColumnRenamed("path", "input_path")
-    made = sinks.write_outputs(content.convert_tasks(read, options.width, options.height, options.no_upscale, options.quality, options.lossless))
-    made.drop("output_files").write.mode("overwrite").parquet(f"{store}/made")
+    refused_pages = None
+    if not todo.filter("converter = 'pdf'").isEmpty():
+        counted = content.page_counts(todo.filter("converter = 'pdf'").select("input_path").distinct())
+        counted.write.mode("overwrite").parquet(f"{store}/pages")
+        spec, n = F.lit(options.pages).cast("string"), F.col("n_pages")
+        chosen = spark.read.parquet(f"{store}/pages").select("input_path", pages.select_pages(spec, n).alias("pages"), pages.page_error(spec, n).alias("page_error"))
+        todo = todo.join(chosen, "input_path", "left")
+        refused_pages = todo.filter("page_error is not null").select(*base, F.lit("failed").alias("status"), F.lit(0).cast("long").alias("converted_size"), F.concat(F.lit("Invalid input data: "), "page_error").alias("error_message"))
+        todo = todo.filter("page_error is null")
+    made = content.convert_files(todo, options.settings())
+    with watching.watched(spark, progress):
+        made.drop("output_files").write.mode("overwrite").parquet(f"{store}/made")
     made = spark.read.parquet(f"{store}/made")
     done = todo.select(*base).join(made, ["input_path", "output_path"]).select(*base, "status", "converted_size", "error_message")
+    if refused_pages is not None:
+        refused = refused.unionByName(refused_pages)
     rows = done.unionByName(skipped).unionByName(refused).orderBy("file_idx", "target_idx").drop("file_idx", "target_idx")
     result = BatchResult(rows)
     if options.delete_original:
@@ -190,11 +217,3 @@ def _existing(planned: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["path", "length"])
 
     return planned.select("output_path").mapInArrow(run, "path string, length long")
-
-
-def _store(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="fileloom-")
-    return f"{base.rstrip('/')}/fileloom/batch-{uuid.uuid4().hex}"

@@ -45,8 +45,18 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def _configured_master() -> bool:
+    """Whether spark-submit, the environment or a running session names a master."""
+    from pyspark import SparkContext
+
+    env = os.environ
+    return SparkContext._active_spark_context is not None or bool(env.get("MASTER") or env.get("SPARK_REMOTE") or env.get("PYSPARK_GATEWAY_PORT")) or "--master" in env.get("PYSPARK_SUBMIT_ARGS", "")
+
+
 def session(workers: int | None) -> SparkSession:
-    return SparkSession.builder.master(f"local[{workers or '*'}]").appName("fileloom").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    """The session; its master is the one that is configured, or as many threads as there are workers here."""
+    master = {} if _configured_master() else {"spark.master": f"local[{workers or '*'}]"}
+    return SparkSession.builder.config(map=master).appName("fileloom").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
 def list_formats(spark: SparkSession, as_json: bool) -> None:
@@ -101,7 +111,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     root = manifest.glob_root(args.input) if files else single
     if not (args.json or args.quiet):
         print(panel(args, args.to or "auto"))
-    result = api.batch_convert(spark, root, args.to, args.output, args.source, args.recursive, files, options)
+    shown = None if args.json or args.quiet else lambda done, total: print(f"\r{done}/{total} tasks", end="" if done < total else "\n", file=sys.stderr)
+    result = api.batch_convert(spark, root, args.to, args.output, args.source, args.recursive, files, options, progress=shown)
     if args.json:
         print(json.dumps({"tasks": [r.asDict() for r in result.tasks.toLocalIterator()], "deleted": result.deleted, "deletion_errors": result.deletion_errors}, indent=2))
     else:

@@ -73,9 +73,9 @@ def converter_of(source: str, target: str) -> str | None:
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
-    """ord, from, to, description, parameters, decodable: what can be converted, in a fixed order."""
-    rows = [(k, a, b, d, dict(p), a != "pdf") for k, (a, b, d, p) in enumerate(CAPABILITIES)]
-    return spark.createDataFrame(rows, "ord int, `from` string, `to` string, description string, parameters map<string,string>, decodable boolean")
+    """ord, from, to, description, parameters: what can be converted, in a fixed order."""
+    rows = [(k, a, b, d, dict(p)) for k, (a, b, d, p) in enumerate(CAPABILITIES)]
+    return spark.createDataFrame(rows, "ord int, `from` string, `to` string, description string, parameters map<string,string>")
 
 
 def capability_label(source: Column, target: Column, description: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileloom.functions import formats, paths
+from fileloom.operators.staging import staged, unused
 
 
 def default_target(extension: Column) -> Column:
@@ -32,29 +33,34 @@ def expand_targets(files: DataFrame, targets: Column) -> DataFrame:
 
 def skip_existing(plan: DataFrame, existing: DataFrame, overwrite: bool) -> DataFrame:
     """``plan`` (output_path, ...) with existing_size and skipped, joined to a listing (path, length) of outputs."""
-    listed = existing.select(F.col("path").alias("_path"), F.col("length").alias("existing_size")).dropDuplicates(["_path"])
-    joined = plan.join(listed, plan.output_path == F.col("_path"), "left").drop("_path")
+    (name,) = unused(plan, "listed_path")
+    listed = existing.select(F.col("path").alias(name), F.col("length").alias("existing_size")).dropDuplicates([name])
+    joined = plan.join(listed, plan.output_path == F.col(name), "left").drop(name)
     return joined.withColumn("skipped", F.col("existing_size").isNotNull() & F.lit(not overwrite))
 
 
 def mark_collisions(plan: DataFrame) -> DataFrame:
     """``plan`` with collides: true for all but the first row (by file_idx, target_idx) that leads to an output path."""
-    first = plan.groupBy("output_path").agg(F.min(F.struct("file_idx", "target_idx")).alias("_first"))
-    return plan.join(first, "output_path").withColumn("collides", F.struct("file_idx", "target_idx") != F.col("_first")).drop("_first")
+    (name,) = unused(plan, "first_task")
+    first = plan.groupBy("output_path").agg(F.min(F.struct("file_idx", "target_idx")).alias(name))
+    return plan.join(first, "output_path").withColumn("collides", F.struct("file_idx", "target_idx") != F.col(name)).drop(name)
 
 
 def number_files(files: DataFrame) -> DataFrame:
     """``files`` with file_idx, from 0 in component order of ``path``.
 
-    Ranks are taken in range partitions and offset by the partitions' counts, so no task sorts all files.
+    Rows are sorted in range partitions and written once, with their partition and place in it: evaluated twice, a range shuffle
+    would sample other bounds. Places are then offset by the partitions' counts, so no task sorts all files. Extra columns stay.
     """
+    part, row, before = unused(files, "part", "row", "before")
     key = paths.component_key(F.col("path"))
-    ranged = files.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    placed = ranged.withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").withColumn("file_idx", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+    ranged = files.repartitionByRange(key, F.col("path")).sortWithinPartitions(key, F.col("path"))
+    placed = ranged.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    placed = staged(placed, "numbered")
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
+    offsets = counts.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    return placed.join(F.broadcast(offsets), part).withColumn("file_idx", F.col(before) + F.col(row)).drop(part, row, before)
 
 
 def plan_batch(files: DataFrame, targets: Column, root: str, output_dir: str | None = None) -> DataFrame:

@@ -1,14 +1,19 @@
-"""Pixels: PNG and ICO files, resampling, colours and icon packages, with the standard library and numpy."""
+"""Pixels: PNG and ICO files, resampling, colours, icon packages and the registry of codecs."""
 
 from __future__ import annotations
 
 import json
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
-# Sizes of icons, and a package's files in order.
+from fileloom.codecs import CodecError
+from fileloom.codecs.jpeg import decode_jpeg, encode_jpeg
+from fileloom.codecs.webp import decode_webp, encode_webp
+
+# Sizes of icons, a package's files in order, and the tags that refer to them.
 ICO_SIZES = (16, 32, 48)
 PACKAGE_PNGS = (("favicon-16x16.png", 16), ("favicon-32x32.png", 32), ("apple-touch-icon.png", 180), ("android-chrome-192x192.png", 192), ("android-chrome-512x512.png", 512))
 HTML_TAGS = """<link rel="apple-touch-icon" sizes="180x180" href="/apple-touch-icon.png">
@@ -19,10 +24,6 @@ HTML_TAGS = """<link rel="apple-touch-icon" sizes="180x180" href="/apple-touch-i
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
-class CodecError(ValueError):
-    """Bytes that can't be decoded, or a codec that isn't there."""
-
-
 def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
@@ -36,41 +37,78 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return PNG_MAGIC + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
-def _unfilter(raw: np.ndarray, step: int) -> np.ndarray:
-    """Undo the row filters."""
-    out = np.zeros((raw.shape[0], raw.shape[1] - 1), dtype=np.uint8)
-    before = np.zeros(out.shape[1], dtype=np.uint8)
-    for y, row in enumerate(raw):
-        kind, line = row[0], row[1:]
-        if kind == 0:
-            now = line.copy()
-        elif kind == 1:
-            now = np.add.accumulate(np.pad(line, (0, -len(line) % step)).reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)[: len(line)]
-        elif kind == 2:
-            now = line + before
-        elif kind in (3, 4):
-            now, up = line.astype(np.int32), before.astype(np.int32)
-            for x in range(len(now)):
-                a, b, c = (now[x - step] if x >= step else 0), up[x], (up[x - step] if x >= step else 0)
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    near = [abs(b - c), abs(a - c), abs(a + b - 2 * c)]
-                    guess = (a, b, c)[near.index(min(near))]
-                now[x] = (now[x] + guess) & 255
-            now = now.astype(np.uint8)
-        else:
-            raise CodecError("unknown PNG filter")
-        out[y] = before = now
-    return out
+#: Rows that are unfiltered together, along diagonals.
+BAND = 256
+
+
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whichever of left, above and corner is nearest to left + above - corner."""
+    by_a, by_b, by_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    return np.where((by_a <= by_b) & (by_a <= by_c), a, np.where(by_b <= by_c, b, c))
+
+
+def unfilter(raw: np.ndarray, step: int) -> np.ndarray:
+    """Undo PNG's row filters; ``raw`` has the kind of filter before each row, ``step`` is the bytes of a pixel."""
+    height, size = raw.shape[0], raw.shape[1] - 1
+    if (raw[:, 0] > 4).any():
+        raise CodecError("unknown PNG filter")
+    n = -(-size // step)
+    out = np.zeros((height, n * step), dtype=np.uint8)
+    before = np.zeros((n, step), dtype=np.int16)
+    for lo in range(0, height, BAND):
+        kinds = raw[lo : lo + BAND, 0]
+        rows = np.pad(raw[lo : lo + BAND, 1:], ((0, 0), (0, n * step - size))).reshape(len(kinds), n, step)
+        if (kinds < 3).all():
+            for k, kind in enumerate(kinds.tolist()):
+                row = rows[k].astype(np.int16)
+                before = (np.cumsum(row, axis=0) if kind == 1 else row + before if kind == 2 else row) & 255
+                out[lo + k] = before.reshape(-1)
+            continue
+        found = _diagonals(rows.astype(np.int16), kinds, before)
+        out[lo : lo + len(kinds)] = found.reshape(len(kinds), -1)
+        before = found[-1]
+    return out[:, :size]
+
+
+def _diagonals(rows: np.ndarray, kinds: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Rows (row, pixel, byte) unfiltered: a pixel needs only those on the two diagonals before its own."""
+    height, width, step = rows.shape
+    field = np.zeros((height + 1, width + 1, step), dtype=np.int16)
+    field[0, 1:] = before
+    flat, w = field.reshape(-1, step), width + 1
+    line = np.arange(height)
+    for t in range(width + height - 1):
+        y0, y1 = max(0, t - width + 1), min(height, t + 1)
+        y = line[y0:y1]
+        left = (y + 1) * w + t - y  # of the pixel's left neighbour; the one above lies w - 1 before it
+        a, b, c, kind = flat[left], flat[left - w + 1], flat[left - w], kinds[y0:y1, None]
+        guess = np.where(kind == 4, _paeth(a, b, c), np.where(kind == 3, (a + b) >> 1, np.where(kind == 2, b, np.where(kind == 1, a, 0))))
+        flat[left + 1] = (rows[y, t - y] + guess) & 255
+    return field[1:, 1:]
+
+
+#: First row and column, and distances, of the passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _samples(data: np.ndarray, width: int, height: int, channels: int, depth: int) -> np.ndarray:
+    """Samples (row, column, channel) of filtered rows, 16-bit ones as such."""
+    line = (width * channels * depth + 7) // 8
+    flat = unfilter(data.reshape(height, line + 1), max(1, channels * depth // 8))
+    if depth == 16:
+        return np.ascontiguousarray(flat).view(">u2").astype(np.uint16).reshape(height, width, channels)
+    if depth < 8:
+        bits = np.unpackbits(flat, axis=1).reshape(height, -1, depth)
+        flat = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)[:, : width * channels]
+    return flat.reshape(height, width, channels)
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Pixels of a PNG that isn't interlaced, as RGB or RGBA with 8 bits."""
+    """Pixels of a PNG as grey, grey with alpha, RGB or RGBA with 8 bits."""
     if not data.startswith(PNG_MAGIC):
         raise CodecError("not a PNG")
     try:
-        at, body, palette, alphas, header = 8, b"", None, None, None
+        at, body, palette, alphas, header = 8, [], None, None, None
         while at < len(data):
             (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
             part = data[at + 8 : at + 8 + size]
@@ -82,37 +120,45 @@ def decode_png(data: bytes) -> np.ndarray:
             elif kind == b"tRNS":
                 alphas = part
             elif kind == b"IDAT":
-                body += part
+                body.append(part)
         width, height, depth, colour, _, _, interlace = header
-        if interlace:
-            raise CodecError("interlaced PNG")
         channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-        line = (width * channels * depth + 7) // 8
-        raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, line + 1)
-        flat = _unfilter(raw, max(1, channels * depth // 8))
+        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+        if interlace:
+            samples, at = np.zeros((height, width, channels), np.uint16 if depth == 16 else np.uint8), 0
+            for y, x, dy, dx in PASSES:
+                h, w = -(-(height - y) // dy), -(-(width - x) // dx)
+                if h > 0 and w > 0:
+                    size = h * ((w * channels * depth + 7) // 8 + 1)
+                    samples[y::dy, x::dx] = _samples(raw[at : at + size], w, h, channels, depth)
+                    at += size
+        else:
+            samples = _samples(raw[: height * ((width * channels * depth + 7) // 8 + 1)], width, height, channels, depth)
+        if colour == 3:
+            table = np.zeros((256, 4), np.uint8)
+            table[:, 3] = 255
+            table[: len(palette), :3] = palette
+            if alphas is not None:
+                table[: len(alphas), 3] = np.frombuffer(alphas, np.uint8)
+            samples = table[samples[:, :, 0]]
+            return samples if alphas is not None else samples[:, :, :3]
+        clear = None
+        if alphas is not None and colour in (0, 2):  # one colour is transparent
+            clear = (samples == np.frombuffer(alphas, ">u2")[:channels]).all(2)
     except (struct.error, zlib.error, TypeError, KeyError, ValueError) as error:
         raise CodecError(f"broken PNG: {error}") from error
-    if depth == 16:
-        flat = flat[:, ::2]
-    elif depth < 8:
-        bits = np.unpackbits(flat, axis=1).reshape(height, -1, depth)
-        flat = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)[:, :width]
-        if colour == 0:
-            flat = (flat.astype(np.int32) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    pixels = flat.reshape(height, width, channels)
-    if colour == 3:
-        table = np.concatenate([palette, np.full((len(palette), 1), 255, np.uint8)], axis=1)
-        if alphas is not None:
-            table[: len(alphas), 3] = np.frombuffer(alphas, np.uint8)
-        pixels = table[pixels[:, :, 0]]
-        return pixels if alphas is not None else pixels[:, :, :3]
-    return normalise(pixels)
+    if depth < 8:
+        samples = (samples.astype(np.int32) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    pixels = normalise(samples)
+    if clear is not None:
+        pixels = np.concatenate([pixels, np.where(clear, 0, 255).astype(np.uint8)[:, :, None]], axis=2)
+    return pixels
 
 
 def normalise(pixels: np.ndarray) -> np.ndarray:
     """Grey with alpha becomes RGBA, grey RGB; 16-bit channels 8-bit."""
     if pixels.dtype == np.uint16:
-        pixels = (pixels >> 8).astype(np.uint8)
+        pixels = ((pixels.astype(np.uint32) + 128) // 257).astype(np.uint8)
     channels = pixels.shape[2]
     if channels == 1:
         return np.repeat(pixels, 3, axis=2)
@@ -133,23 +179,33 @@ def unpremultiply(pixels: np.ndarray) -> np.ndarray:
     return np.concatenate([np.where(alpha == 0, 0, colour), alpha], axis=2).astype(np.uint8)
 
 
-def _weights(source: int, target: int, lobes: int = 3) -> np.ndarray:
-    """Lanczos weights, a row per target pixel; wider where the image shrinks."""
+def _taps(source: int, target: int, lobes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """For each target pixel the source pixels within a Lanczos filter's reach, and their weights."""
     scale = source / target
-    reach = lobes * max(scale, 1.0)
+    wide = max(scale, 1.0)
     centre = (np.arange(target) + 0.5) * scale
-    x = (np.arange(source)[None, :] + 0.5 - centre[:, None]) / max(scale, 1.0)
-    w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
-    w[np.abs(np.arange(source)[None, :] + 0.5 - centre[:, None]) >= reach] = 0
-    return w / w.sum(1, keepdims=True)
+    first = np.floor(centre - lobes * wide).astype(np.int64)
+    at = first[:, None] + np.arange(int(np.ceil(2 * lobes * wide)) + 2)
+    x = (at + 0.5 - centre[:, None]) / wide
+    w = np.where((np.abs(x) < lobes) & (at >= 0) & (at < source), np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return np.clip(at, 0, source - 1), w / w.sum(1, keepdims=True)
+
+
+def _resampled(pixels: np.ndarray, target: int) -> np.ndarray:
+    """Along the first axis."""
+    at, weights = _taps(pixels.shape[0], target)
+    out = np.zeros((target, *pixels.shape[1:]))
+    for k in range(at.shape[1]):
+        out += weights[:, k, None, None] * pixels[at[:, k]]
+    return out
 
 
 def resize(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     """Exact resize by a separable Lanczos filter."""
     if pixels.shape[:2] == (height, width):
         return pixels
-    out = np.tensordot(_weights(pixels.shape[0], height), pixels.astype(np.float64), axes=(1, 0))
-    out = np.tensordot(_weights(pixels.shape[1], width), out, axes=(1, 1)).transpose(1, 0, 2)
+    out = _resampled(pixels.astype(np.float64), height)
+    out = _resampled(out.transpose(1, 0, 2), width).transpose(1, 0, 2)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
@@ -175,9 +231,17 @@ def _dib(pixels: np.ndarray) -> bytes:
     return struct.pack("<IiiHHIIiiII", 40, n, 2 * n, 1, 32, 0, 0, 0, 0, 0, 0) + colours + np.packbits(mask, axis=1).tobytes()
 
 
-def encode_ico(pixels: np.ndarray, sizes: tuple[int, ...] = ICO_SIZES) -> bytes:
-    """Icon file with square entries in the order given."""
-    images = [_dib(with_alpha(resize(pixels, n, n))) for n in sizes]
+#: Gives a square image of a side.
+Square = Callable[[int], np.ndarray]
+
+
+def squares(pixels: np.ndarray) -> Square:
+    return lambda n: resize(pixels, n, n)
+
+
+def encode_ico(square: Square, sizes: tuple[int, ...] = ICO_SIZES) -> bytes:
+    """Icon file with entries in the order given."""
+    images = [_dib(with_alpha(square(n))) for n in sizes]
     at, head = 6 + 16 * len(sizes), struct.pack("<HHH", 0, 1, len(sizes))
     for n, image in zip(sizes, images, strict=True):
         head += struct.pack("<BBBBHHII", n % 256, n % 256, 0, 0, 1, 32, len(image), at)
@@ -190,23 +254,33 @@ def web_manifest(name: str, short_name: str) -> str:
     return json.dumps({"name": name, "short_name": short_name, "icons": icons, "theme_color": "#ffffff", "background_color": "#ffffff", "display": "standalone"}, indent=4) + "\n"
 
 
-def favicon_files(pixels: np.ndarray, package: bool, ico: str = "favicon.ico", name: str = "Web App") -> list[tuple[str, bytes, str]]:
+def favicon_files(square: Square, package: bool, ico: str = "favicon.ico", name: str = "Web App") -> list[tuple[str, bytes, str]]:
     """(name, bytes, description) of an icon, or of a package's eight files in order."""
-    icon = (ico, encode_ico(pixels), "Multi-resolution Windows favicon (16x16, 32x32, 48x48)")
+    icon = (ico, encode_ico(square), "Multi-resolution Windows favicon (16x16, 32x32, 48x48)")
     if not package:
         return [icon]
-    pngs = [(file, encode_png(with_alpha(resize(pixels, n, n))), f"PNG icon {n}x{n}") for file, n in PACKAGE_PNGS]
+    pngs = [(file, encode_png(with_alpha(square(n))), f"PNG icon {n}x{n}") for file, n in PACKAGE_PNGS]
     return [*pngs, icon, ("site.webmanifest", web_manifest(name, name).encode(), "Web App Manifest containing icons definitions"), ("favicon-tags.html", HTML_TAGS.encode(), "HTML header tags to copy-paste into index.html")]
 
 
 #: Decoders and encoders by format; those that need a library that isn't there are added by whoever has it.
-DECODERS = {"png": decode_png}
-ENCODERS = {"png": lambda pixels, quality, lossless: encode_png(normalise(pixels))}
+DECODERS = {"png": decode_png, "jpg": decode_jpeg, "webp": decode_webp}
+#: WebP is lossless whatever is asked for: its lossy form needs an encoder that isn't here.
+ENCODERS = {
+    "png": lambda pixels, quality, lossless: encode_png(normalise(pixels)),
+    "jpg": lambda pixels, quality, lossless: encode_jpeg(normalise(pixels), quality),
+    "webp": lambda pixels, quality, lossless: encode_webp(normalise(pixels)),
+}
 
 
 def decode(data: bytes) -> np.ndarray:
     """Pixels of an image, whatever its name says."""
-    kind = "png" if data.startswith(PNG_MAGIC) else "jpg" if data.startswith(b"\xff\xd8") else "webp" if data[8:12] == b"WEBP" else None
+    if data.startswith(PNG_MAGIC):
+        kind = "png"
+    elif data.startswith(b"\xff\xd8"):
+        kind = "jpg"
+    else:
+        kind = "webp" if data[8:12] == b"WEBP" else "avif" if data[4:12] in (b"ftypavif", b"ftypavis") else None
     if kind is None:
         raise CodecError("unknown image format")
     if kind not in DECODERS:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,35 +25,6 @@ def write_file(path: str, data: bytes) -> None:
         raise
 
 
-def write_outputs(converted: DataFrame) -> DataFrame:
-    """Write each row's files; returns input_path, output_path, status, converted_size, error_message, output_files.
-
-    A row's files are written by the task that made them. Collect or store the result once: each evaluation writes again.
-    """
-    files = "array<struct<path:string,size_bytes:bigint,description:string>>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("path", pa.string()), ("size_bytes", pa.int64()), ("description", pa.string())]))
-        for batch in batches:
-            status, size, errors, listed = [], [], [], []
-            for made, error in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if error is None:
-                    try:
-                        for f in made:
-                            write_file(f["path"], f["bytes"])
-                    except OSError as e:
-                        error = f"Output writing error: {e.strerror or e}"
-                good = error is None
-                status.append("success" if good else "failed")
-                size.append(sum(f["size_bytes"] for f in made) if good else 0)
-                errors.append(error)
-                listed.append([{k: f[k] for k in ("path", "size_bytes", "description")} for f in made] if good else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(status), pa.array(size, pa.int64()), pa.array(errors, pa.string()), pa.array(listed, kind)], ["input_path", "output_path", "status", "converted_size", "error_message", "output_files"])
-
-    rows = converted.select("input_path", "output_path", "files", "error")
-    return rows.mapInArrow(run, f"input_path string, output_path string, status string, converted_size bigint, error_message string, output_files {files}")
-
-
 def delete_originals(eligible: DataFrame) -> tuple[int, list[tuple[str, str]]]:
     """Delete the files that are safe to; number deleted, and (path, error) of those that couldn't be.
 

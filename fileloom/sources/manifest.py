@@ -122,25 +122,6 @@ def listed_files(spark: SparkSession, names: list[str]) -> DataFrame:
     return df.withColumn("extension", paths.extension(F.col("path")))
 
 
-def contents(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``files`` (path, ...) with content. Only files still wanted are read, each by the task that holds its row."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(batch.schema.get_field_index("path")).to_pylist()
-            for k, name in enumerate(names):  # a row at a time: contents may be large
-                data, error = None, None
-                try:
-                    with open(name, "rb") as f:
-                        data = f.read()
-                except OSError as e:
-                    error = f"Failed to read source file: {e.strerror or e}"
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([data], pa.binary()), pa.array([error], pa.string())], [*batch.schema.names, "content", "read_error"])
-
-    return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary, read_error string")
-
-
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Rasters by Spark's image source: origin, height, width, nChannels, mode, data. What can't be decoded is dropped."""
     return spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fileloom.functions import formats, paths
-from fileloom.operators import content, sinks
+from fileloom.operators import content
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -26,6 +26,6 @@ def convert_arriving(stream: DataFrame, target: str, root: str, output_dir: str,
     def each(batch: DataFrame, number: int) -> None:
         goal = F.lit(target)
         planned = batch.select("input_path", "content", "from_format", goal.alias("to_format"), formats.converter(F.col("from_format"), goal).alias("converter"), paths.batch_output(F.col("input_path"), F.lit(root), F.lit(output_dir), goal).alias("output_path"))
-        sinks.write_outputs(content.convert_tasks(planned, **options)).drop("output_files").write.mode("overwrite").parquet(f"{checkpoint}/tasks/batch={number}")
+        content.convert_files(planned, content.Settings(**options)).drop("output_files").write.mode("overwrite").parquet(f"{checkpoint}/tasks/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -43,6 +43,61 @@ def test_component_order(spark, tree):
     assert names == sorted(names, key=lambda p: p.split("/")) and [r.file_idx for r in rows] == list(range(len(rows)))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_exact_at_size(spark, adaptive):
+    """Every row has its own number, in order, with narrow and wide rows."""
+    n = 1_000_000
+    k = F.xxhash64("id").bitwiseAND(0xFFFFF)
+    path = F.concat(F.lit("r/"), F.hex(k % 97), F.when(k % 3 == 0, "/").otherwise("-"), F.hex(k), F.lit("/"), F.col("id").cast("string"), F.lit(".png"))
+    narrow = spark.range(n).select(path.alias("path"), F.col("id").alias("length"), F.lit("png").alias("extension"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for rows in (narrow, narrow.withColumns({"part": F.repeat("path", 3), "row": F.lit(1), "before": F.lit(2)})):
+            got = planning.number_files(rows)
+            assert set(got.columns) == {*rows.columns, "file_idx"}
+            found = got.selectExpr("file_idx", "split(path, '/') as parts", "path").agg(F.count("*").alias("n"), F.count_distinct("file_idx").alias("d"), F.count_distinct("path").alias("p"), F.min("file_idx").alias("lo"), F.max("file_idx").alias("hi")).first()
+            assert tuple(found) == (n, n, n, 0, n - 1)
+            sample = got.filter("file_idx % 1000 = 0").orderBy("file_idx").select("path").collect()
+            names = [r.path.split("/") for r in sample]
+            assert names == sorted(names)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_pages_of_a_pdf(spark, tmp_path):
+    from tests.test_content import a_pdf
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(a_pdf([(100, 50)] * 5))
+    (tmp_path / "in/b.pdf").write_bytes(b"%PDF nothing")
+    single = str(tmp_path / "in/a.pdf")
+    made = api.convert(spark, single, "png", str(tmp_path / "x.png"), options=api.Options(pages="4,1-2", dpi=72))
+    assert [os.path.basename(f["path"]) for f in made] == ["x_page_1.png", "x_page_2.png", "x_page_4.png"] and made[0]["description"] == "Page 1 of PDF"
+    again = api.convert(spark, single, "png", str(tmp_path / "x.png"), options=api.Options(pages="4-5", dpi=72))
+    assert [f["description"] for f in again] == ["Skipped (already exists)", "Page 5 of PDF"]
+    for spec, kind in (("9", "No pages selected"), ("x", "invalid page selection")):
+        with pytest.raises(InputError, match=kind):
+            api.convert(spark, single, "png", str(tmp_path / "y.png"), options=api.Options(pages=spec))
+    rows = api.batch_convert(spark, str(tmp_path / "in"), "jpg", str(tmp_path / "o"), from_filter="pdf", options=api.Options(pages="2,3", dpi=36)).tasks.collect()
+    assert [r.status for r in rows] == ["success", "failed"] and sorted(os.listdir(tmp_path / "o")) == ["a_page_2.jpg", "a_page_3.jpg"]
+    assert raster.decode((tmp_path / "o/a_page_2.jpg").read_bytes()).shape == (25, 50, 3)
+    none = api.batch_convert(spark, str(tmp_path / "in"), "jpg", str(tmp_path / "p"), from_filter="pdf", options=api.Options(pages="7")).tasks.first()
+    assert none.status == "failed" and none.error_message == "Invalid input data: No pages selected"
+
+
+def test_vectors_and_photos(spark, tmp_path):
+    (tmp_path / "logo.svg").write_text('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 40 20"><rect width="40" height="20" fill="teal"/></svg>')
+    made = api.convert(spark, str(tmp_path / "logo.svg"))  # the default target
+    assert made[0]["path"].endswith("logo.ico") and made[0]["size_bytes"] == 15086
+    package = api.convert(spark, str(tmp_path / "logo.svg"), "favicon", str(tmp_path / "icons"), options=api.Options(package=True))
+    assert len(package) == 8 and raster.decode((tmp_path / "icons/apple-touch-icon.png").read_bytes()).shape == (180, 180, 4)
+    photo = api.convert(spark, str(tmp_path / "logo.svg"), "jpg", str(tmp_path / "p.jpeg"), options=api.Options(width=80))
+    assert raster.decode((tmp_path / "p.jpeg").read_bytes()).shape == (40, 80, 3) and photo[0]["path"].endswith("p.jpeg")
+    assert api.convert(spark, str(tmp_path / "p.jpeg"))[0]["path"].endswith("p.webp")
+    assert (raster.decode((tmp_path / "p.webp").read_bytes()) == raster.decode((tmp_path / "p.jpeg").read_bytes())).all()
+
+
 def test_bad_inputs(spark, tree):
     for bad, kind in ((f"{tree}/none", "input_not_found"), (f"{tree}/b.png", "invalid_input")):
         with pytest.raises(InputError) as e:
@@ -86,7 +141,10 @@ def test_batch(spark, tree, tmp_path):
     again = api.batch_convert(spark, tree, "png", out, recursive=True).summary()
     assert (again["skipped"], again["failed"]) == (4, 1)
     both = api.batch_convert(spark, tree, "both", out).tasks.collect()
-    assert len(both) == 8 and all("codec unavailable" in r.error_message for r in both if "empty" not in r.input_path)
+    assert len(both) == 8 and all(r.status == "success" if r.output_path.endswith(".webp") else "codec unavailable: avif" in r.error_message for r in both if "empty" not in r.input_path)
+    seen = []
+    plain = api.batch_convert(spark, tree, output_dir=str(tmp_path / "plain"), progress=lambda done, total: seen.append((done, total)))  # the default target
+    assert plain.summary()["successful"] == 3 and seen and seen[-1][0] == seen[-1][1] > 0
 
 
 def test_batch_deletes_only_what_is_done(spark, tree, tmp_path):
@@ -98,7 +156,7 @@ def test_collisions_fail_but_the_first(spark, tmp_path):
     for name in ("x.png", "x.jpg"):
         png(str(tmp_path / "c" / name))
     rows = api.batch_convert(spark, str(tmp_path / "c"), "favicon", str(tmp_path / "o")).tasks.collect()
-    assert [r.status for r in rows] == ["success", "failed"]
+    assert sorted((os.path.basename(r.input_path), r.status) for r in rows) == [("x.jpg", "success"), ("x.png", "failed")]
 
 
 def test_explicit_files_and_empty_batch(spark, tree, tmp_path):
