@@ -133,6 +133,11 @@ def cells(column: pa.Array) -> Callable[[int], memoryview]:
     return lambda i: data[offsets[i] : offsets[i + 1]]
 
 
+def among_equals() -> Column:
+    """A last sort key for range shuffles, so that equal rows, of which any order is right, are dealt to several ranges."""
+    return F.monotonically_increasing_id().alias("tie")
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for documents of the held-out fold; a null id counts as the empty text, which is held out."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

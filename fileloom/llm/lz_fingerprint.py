@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, text_column
+from fileloom.llm.common import among_equals, batch_slices, materialize, partitions, text_column
 from fileloom.llm.wordblocks import mix
 
 BINS = 128
@@ -158,8 +158,8 @@ def fingerprints(docs: DataFrame, n: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
     spark = docs.sparkSession
     n = n or partitions(spark)
-    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, *by).sortWithinPartitions(*by)
+    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("tie"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", among_equals()).repartitionByRange(n, *by).sortWithinPartitions(*by).select("doc_id", "text")
     found = materialize(rows.mapInArrow(_ordered, ROW), "fingerprints")
     edges = found.filter(F.col("last_text").isNotNull())
     filled = [r.part for r in edges.select("part").orderBy("part").collect()]  # as many as partitions

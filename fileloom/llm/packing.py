@@ -10,7 +10,8 @@ Tokens are encoded once, into a table in the shared folder; the range shuffle th
 within their partition, and a partition's first sequence number comes from the partitions' counts.
 
 Defined results: null text is empty and gives the end id alone; ties on the curve (copies) are ordered by doc_id,
-null ids first; each row is packed, repeated rows too; an empty table gives no piece.
+null ids first, then in any order, so that copies are dealt to several tasks; each row is packed, repeated rows too; a text of any
+length is packed whole; an empty table gives no piece; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, text_column
+from fileloom.llm.common import among_equals, batch_slices, materialize, partitions, text_column
 from fileloom.llm.encoding import encoder
 from fileloom.llm.wordblocks import mix
 
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, n: int | None =
     spark = docs.sparkSession
     n = n or partitions(spark)
     tokens = materialize(encoded(docs, tokenizer_path, end_id), "tokens", compression="zstd")
-    by = (F.col("curve"), F.col("doc_id").asc_nulls_first())
+    by = (F.col("curve"), F.col("doc_id").asc_nulls_first(), F.col("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), size)
@@ -167,7 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, n: int | None =
         if packer.closed:
             yield ready()
 
-    sorted_rows = tokens.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    sorted_rows = tokens.withColumn("tie", among_equals()).repartitionByRange(n, *by).sortWithinPartitions(*by)
     pieces = materialize(sorted_rows.select("doc_id", "ids", "width").mapInArrow(run, PIECE), "pieces")
     counts = pieces.groupBy("part").agg(F.max("local").alias("last")).orderBy("part").collect()  # one row per partition
     bases, total = [], 0

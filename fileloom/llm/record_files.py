@@ -12,7 +12,8 @@ Spark commits task by task, says which files count: lost executors and repeated
 unreferenced files, never wrong ones.
 
 Defined results: null text is empty and gives the end id alone; null ids come first, equal ids are ordered by a hash
-of their text; every row gives one record; an empty table gives no shard.
+of their text, and equal rows stand in any order, dealt to several shards; every row gives one record; a text of any length is one
+record; an empty table gives no shard; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, new_path, partitions, text_column
+from fileloom.llm.common import among_equals, batch_slices, materialize, new_path, partitions, text_column
 from fileloom.llm.encoding import encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -72,9 +73,9 @@ MANIFEST = "shard long, file string, n_records long, n_tokens long, n_bytes long
 def write_records(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, n: int | None = None) -> DataFrame:
     """Encode, write below ``path`` in ascending ``doc_id`` order, return the manifest (one row per shard file)."""
     n = n or partitions(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", among_equals())
+    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("tie"))
+    rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
