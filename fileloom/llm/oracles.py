@@ -23,7 +23,7 @@ FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM rea
 
 def _quality() -> str:
     refs = q.References()
-    patterns = ["a-z", r"\x{C0}-\x{FFFF}", "A-Z", "0-9", r"\x20\x09-\x0D", ".,;:!?''\"()\\-"]
+    patterns = ["a-z", r"\x{C0}-\x{1FFF}\x{3000}-\x{FFFF}", "A-Z", "0-9", r"\x20\x09-\x0D", ".,;:!?''\"()\\-"]
     counts = ", ".join(f"length(regexp_replace(text, '[^{p}]', '', 'g')) AS k{i}" for i, p in enumerate(patterns))
     class_refs = ", ".join(f"('{lang}', {i}, {float(share)!r}::DOUBLE)" for lang, shares in zip(refs.languages, refs.classes, strict=True) for i, share in enumerate(shares))
     word_refs = ", ".join(f"('{lang}', '{w}', {float(share)!r}::DOUBLE)" for lang, own in zip(refs.languages, refs.words, strict=True) for w, share in zip([*q.COMMON_WORDS[lang].split(), "-"], own, strict=True))
@@ -38,6 +38,7 @@ base AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_t
  (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
  coalesce(rep.c, 0)::BIGINT AS n_repeat_words FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
 k AS (SELECT r, length(text)::DOUBLE AS n, {counts} FROM d),
+far AS (SELECT r, length(regexp_replace(text, '[^\x{{340}}-\x{{1FFF}}\x{{3000}}-\x{{FFFF}}]', '', 'g')) AS far FROM d),
 kinds AS (SELECT r, n, unnest([k0, k1, k2, k3, k4, k5, n - k0 - k1 - k2 - k3 - k4 - k5]) AS c, unnest(range(7)) AS i, k0 + k1 + k2 AS letters FROM k),
 cd AS (SELECT r, lang, any_value(n) AS n, any_value(letters) AS letters, CASE WHEN any_value(n) = 0 THEN 1 ELSE sqrt(greatest((1 + sum(CASE WHEN c > 0 THEN {gain} ELSE 0 END)) / 2, 0)) END AS class_distance
  FROM (SELECT r, lang, n, letters, c, c / CASE WHEN n = 0 THEN 1 ELSE n END AS p, q FROM kinds JOIN (VALUES {class_refs}) v(lang, i, q) USING (i)) GROUP BY r, lang),
@@ -48,8 +49,8 @@ alls AS (SELECT r, lang, q, c FROM hits UNION ALL SELECT tokn.r, ref.lang, ref.q
 wd AS (SELECT r, lang, any_value(n) AS n, sqrt(greatest((1 + sum({gain})) / 2, 0)) AS word_distance FROM (SELECT alls.r, lang, n, q, c / n::DOUBLE AS p FROM alls JOIN tokn USING (r) WHERE c > 0) GROUP BY r, lang),
 best AS (SELECT cd.r, cd.n, letters, coalesce(wd.n, 0) AS tokens, class_distance, coalesce(word_distance, 1) AS word_distance, row_number() OVER (PARTITION BY cd.r ORDER BY class_distance + coalesce(word_distance, 1), cd.lang) AS place FROM cd LEFT JOIN wd USING (r, lang))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
- NOT failed AND NOT (n >= {q.MIN_LETTERS} AND class_distance > {q.MAX_CLASS_DISTANCE}) AND NOT (letters >= {q.MIN_LETTERS} AND tokens >= {q.MIN_TOKENS} AND word_distance > {q.MAX_WORD_DISTANCE}) AS kept
-FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM base) JOIN best USING (r) WHERE place = 1"""
+ NOT failed AND (2 * far > letters OR NOT (n >= {q.MIN_LETTERS} AND class_distance > {q.MAX_CLASS_DISTANCE}) AND NOT (letters >= {q.MIN_LETTERS} AND tokens >= {q.MIN_TOKENS} AND word_distance > {q.MAX_WORD_DISTANCE})) AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM base) JOIN best USING (r) JOIN far USING (r) WHERE place = 1"""
 
 
 QUALITY = _quality()
