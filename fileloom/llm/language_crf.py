@@ -15,7 +15,8 @@ and of each at most ``TRAIN_WORDS`` words; half of the training sequences join s
 transitions between languages are seen.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned;
-every row gives a row; an empty table gives an empty result.
+every row gives a row, repeated rows the same; of labels that disagree for one id all are learned from; texts of any length are
+labelled whole; an empty table gives an empty result; columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -222,13 +223,8 @@ class Scorer:
         self.crf, self.known = crf, {}
         self.table = np.zeros((0, len(crf.languages)))
 
-    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        crf = self.crf
-        words = [words_of(x) for x in texts]
-        lengths = np.array([len(x) for x in words], dtype=np.int64)
-        label, score = ["und"] * len(texts), np.zeros(len(texts))
-        if not lengths.sum():
-            return label, score
+    def marginals(self, words: list[list[str]]) -> np.ndarray:
+        """Label probabilities of all words, text after text; there is at least one."""
         distinct = set().union(*words)
         new = distinct.difference(self.known)
         if new:
@@ -236,11 +232,32 @@ class Scorer:
                 self.known, self.table, new = {}, self.table[:0], distinct
             new = list(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, np.exp(crf.emissions(new))])
-        get = self.known.__getitem__
+            self.table = np.concatenate([self.table, np.exp(self.crf.emissions(new))])
+        get, lengths = self.known.__getitem__, np.array([len(x) for x in words if x], dtype=np.int64)
         ids = np.fromiter((k for x in words for k in map(get, x)), dtype=np.int64, count=int(lengths.sum()))
-        rows = np.flatnonzero(lengths)
-        p = marginals(self.table[ids], lengths[rows], crf.transitions)
+        return marginals(self.table[ids], lengths, self.crf.transitions)
+
+    def spans(self, texts: list[str]) -> list[tuple[int, int, int, str, float]]:
+        """(text, first word, words, language, mean probability) of runs of words of one language."""
+        words = [words_of(x) for x in texts]
+        if not any(words):
+            return []
+        p = self.marginals(words)
+        label, owner = p.argmax(1), spread(np.array([len(x) for x in words], dtype=np.int64))
+        first = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])]))
+        size = np.diff(np.append(first, len(label)))
+        mean = np.add.reduceat(p.max(1), first) / size
+        begin = np.searchsorted(owner, owner[first])
+        return [(int(owner[a]), int(a - b), int(n), self.crf.languages[label[a]], min(1.0, float(s))) for a, b, n, s in zip(first, begin, size, mean, strict=True)]
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        crf = self.crf
+        words = [words_of(x) for x in texts]
+        lengths = np.array([len(x) for x in words], dtype=np.int64)
+        label, score = ["und"] * len(texts), np.zeros(len(texts))
+        if not lengths.sum():
+            return label, score
+        p, rows = self.marginals(words), np.flatnonzero(lengths)
         share = np.add.reduceat(p, np.cumsum(lengths[rows]) - lengths[rows], axis=0) / lengths[rows][:, None]
         best = share.argmax(1)
         for i, k, s in zip(rows.tolist(), best.tolist(), share.max(1).tolist(), strict=True):
@@ -259,10 +276,30 @@ def _sample(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     for r in counts:
         rate = F.when(F.col("lang") == r.lang, min(1.0, sample / r["count"])).otherwise(rate)
     words = F.array_join(F.slice(F.split("text", " "), 1, TRAIN_WORDS), " ").alias("text")
-    found = known.filter(F.col("text").isNotNull() & (place <= rate)).select("doc_id", words, "lang").limit(2 * sample * len(counts)).collect()
+    chosen = known.filter(F.col("text").isNotNull() & (place <= rate)).select("doc_id", words, "lang", place.alias("place"))
+    found = chosen.orderBy("place", "doc_id", "lang", "text").limit(2 * sample * len(counts)).collect()  # rows that tie are equal
     return [(r.text, r.lang) for r in sorted(found, key=lambda r: (r.doc_id, r.lang, r.text))]
 
 
+def label_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, start_word, n_words, lang, score of each run of words of one language: where a text switches, and to what.
+
+    Words are maximal runs of letters, counted from 0. Texts without letters, or where nothing could be learned, give no row.
+    """
+    crf = train(_sample(docs, sample))
+    names = ["doc_id", "start_word", "n_words", "lang", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(crf) if crf is not None else None
+        for batch in batch_slices(batches):
+            found = scorer.spans([x or "" for x in text_column(batch).to_pylist()]) if scorer is not None else []
+            if found:
+                text, *columns = zip(*found, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start_word long, n_words long, lang string, score double")
+
 
 def label_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document."""
@@ -275,4 +312,4 @@ def label_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             label, score = scorer(texts) if scorer is not None else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -123,13 +123,20 @@ def test_quality_base_counts(spark, docs):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_quality_of_other_scripts():
+    refs = quality_rules.References()
+    russian = "Съешь же ещё этих мягких французских булок, да выпей чаю; потом мы пошли домой и долго говорили о том, что было раньше " + " ".join(f"слово{chr(0x430 + i % 30)}{chr(0x430 + i // 7)}" for i in range(60))
+    m = quality_rules.measure(pa.array([russian, russian + " plain", "“quoted” — text… " * 30]), refs)
+    assert m["kept"].tolist()[:2] == [True, True] and m["closest"].tolist()[:2] == [-1, -1] and m["closest"][2] >= 0
+
+
 def test_quality_distances_by_hand():
     refs = quality_rules.References()
     text = "The cat, and the dog of it. " * 3 + "Ünïcode 12"
     m = quality_rules.measure(pa.array([text]), refs)
     kinds = np.zeros(7)
     for c in text:
-        kinds[0 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if c.isdigit() else 4 if c.isspace() else 5 if c in ".,;:!?'\"()-" else 1 if ord(c) > 191 else 6] += 1
+        kinds[0 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if c.isdigit() else 4 if c.isspace() else 5 if c in ".,;:!?'\"()-" else 1 if 191 < ord(c) < 0x2000 or 0x2FFF < ord(c) < 0x10000 else 6] += 1
     language = refs.languages[m["closest"][0]]
     k = refs.languages.index(language)
     assert m["class_distance"][0] == pytest.approx(js(kinds / kinds.sum(), refs.classes[k]))
@@ -577,6 +584,25 @@ def test_sharding(docs, shards):
     assert all(len(x) == 1 for x in found.values())
 
 
+@pytest.mark.parametrize("near_rows", [100_000, 3])
+def test_cuts_are_the_same_either_way(spark, monkeypatch, near_rows):
+    """With the ends near the cuts in the driver, or a job for each question."""
+    monkeypatch.setattr(sharding, "NEAR_ROWS", near_rows)
+    rng = random.Random(11)
+    rows = [(i, "x" * rng.randint(0, 40) + str(i % 700), None, None, 0) for i in range(1500)]
+    df = spark.createDataFrame(rows + [(None, "same", None, None, 0)] * 30, SCHEMA).repartition(4)
+    got = sharding.shard(df, 5).collect()
+    groups = collections.Counter()
+    for r in rows + [(None, "same")] * 30:
+        groups[r[1]] += len(r[1]) + 1
+    order = sorted(groups, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    sums = collections.Counter()
+    for r in got:
+        sums[r.shard] += r["size"]
+    assert max(sums.values()) == smallest_capacity([groups[t] for t in order], 5) and len(got) == 1530
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(5))
+
+
 def test_sharding_plan_is_native(docs, empty):
     plan = sharding.shard(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and sharding.shard(empty).count() == 0
@@ -706,6 +732,17 @@ def test_marginals_equal_enumeration():
         assert np.allclose(language_crf.marginals(e, np.array([5]), t, stretch), want)
 
 
+def test_spans_of_switched_texts(spark, empty):
+    words, rows = tongues(3)
+    text = " ".join(words["aa"][:20]) + ". 12 " + " ".join(words["bb"][:20])
+    df = clashing(spark.createDataFrame(rows + [(7000, text, None, None, 0), (7001, "12", None, None, 0), (None, None, None, None, 0)], SCHEMA))
+    got = sorted((r.start_word, r.n_words, r.lang) for r in language_crf.label_spans(df).filter("doc_id = 7000").collect())
+    assert sum(n for _, n, _ in got) == 40 and [s for s, _, _ in got] == np.cumsum([0, *(n for _, n, _ in got)])[:-1].tolist()
+    labels = [lang for _, n, lang in got for _ in range(n)]
+    assert (np.array(labels) == np.array(["aa"] * 20 + ["bb"] * 20)).mean() > 0.9
+    assert language_crf.label_spans(df).filter("doc_id = 7001 or doc_id is null").count() == language_crf.label_spans(empty).count() == 0
+
+
 def test_code_switching_follows_neighbours():
     words, rows = tongues(2)
     crf = language_crf.train([(r[1], r[2]) for r in rows])
