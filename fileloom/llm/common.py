@@ -1,4 +1,4 @@
-"""Shared folder, materialised tables and Arrow plumbing of the corpus operators."""
+"""Materialised tables and Arrow plumbing of the corpus operators."""
 
 from __future__ import annotations
 
@@ -6,40 +6,29 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fileloom.operators import staging
+from fileloom.operators.staging import unused
+
 #: Labels are learned only from documents whose crc32(doc_id as text) leaves a remainder by this number.
 FOLDS = 5
 
 _written: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session has none and runs in one process (tests in local mode) a temporary folder is set; on a cluster a
-    machine-local folder would lose data, so there it is an error.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="fileloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    path = f"{shared_dir(spark)}/fileloom/{name}-{uuid.uuid4().hex}"
+    path = staging.new_path(spark, name)
     _written.append(path)
     return path
 
@@ -53,15 +42,32 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _tables[found] = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialised tables that no result still reads, so a long session doesn't fill the shared disk.
+
+    Only for tables whose readers have been materialised in their turn: those no longer need them, whatever executor is lost.
+    """
+    for table in tables:
+        path = _tables.pop(table, None)
+        if path is not None:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
 
 
 def discard(spark: SparkSession) -> None:
     """Delete every table that this process wrote in the shared folder. Results that still read them break."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 @atexit.register
@@ -81,7 +87,11 @@ BROADCAST_ROWS = 500_000
 def small_side(df: DataFrame, name: str) -> DataFrame:
     """A table of keys, written and counted, and marked for broadcast only if it is small."""
     keys = materialize(df, name)
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    if keys.count() > BROADCAST_ROWS:
+        return keys
+    marked = F.broadcast(keys)
+    _tables[marked] = _tables[keys]
+    return marked
 
 
 def partitions(spark: SparkSession) -> int:
@@ -114,18 +124,6 @@ def arrow_batches(spark: SparkSession, size: str = BATCH_BYTES) -> Iterator[None
         spark.conf.set(name, before)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Column names that ``df`` doesn't have: the given ones, with underscores before them as needed (case doesn't tell names apart)."""
-    taken = {x.lower() for x in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def cells(column: pa.Array) -> Callable[[int], memoryview]:
     """The values of a binary column by row, without copies."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]

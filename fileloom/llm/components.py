@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import materialize
+from fileloom.llm.common import drop, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.filter(F.col("a") != F.col("b")).select(F.explode(ends).alias("e")).select("e.a", "e.b")
     both = materialize(both.distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    turn = 0
+    turn, table = 0, labels
     while True:
         turn += 1
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -27,6 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         moved = hooked.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("changed"))
         moved = materialize(moved, f"labels{turn}")
-        labels = moved.select("node", "label")
+        drop(table)
+        table, labels = moved, moved.select("node", "label")
         if moved.filter("changed").isEmpty():
+            drop(both)
             return labels

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import arrow_batches, batch_slices, cells, materialize, partitions, release_memory, small_side, text_column, unused
+from fileloom.llm.common import arrow_batches, batch_slices, cells, drop, materialize, partitions, release_memory, small_side, text_column, unused
 from fileloom.llm.components import components
 from fileloom.llm.wordblocks import Block, mix, spread, windows
 
@@ -499,7 +499,9 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent, nam
         found = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"]) & (texts["digest"] == wanted["same"])).select("text", "node", "hi", "lo")
         sets = materialize(found.mapInArrow(sets_of, "node long, marks binary, tokens binary"), "sets")
         survivors = materialize(joined(pairs, "marks", filtered), "survivors")
-        return materialize(joined(survivors, "tokens", compared), name)
+        links = materialize(joined(survivors, "tokens", compared), name)
+    drop(wanted, sets, survivors)
+    return links
 
 
 def shares(a: np.ndarray, b: np.ndarray) -> bool:
@@ -537,6 +539,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     with arrow_batches(spark):
         pairs = materialize(_vector_filter(pairs, classes, percent), "pairs")
     late = _linked(pairs, classes, docs, frequent, "late", k, percent, orders)
+    drop(stars, shared, pairs)
 
     found = components(early.unionByName(late))
     labelled = classes.select("hi", "lo", "rep.doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))

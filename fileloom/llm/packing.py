@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import among_equals, batch_slices, materialize, partitions, text_column
+from fileloom.llm.common import among_equals, batch_slices, drop, materialize, partitions, text_column
 from fileloom.llm.encoding import encoder
 from fileloom.llm.wordblocks import mix
 
@@ -170,6 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, n: int | None =
 
     sorted_rows = tokens.withColumn("tie", among_equals()).repartitionByRange(n, *by).sortWithinPartitions(*by)
     pieces = materialize(sorted_rows.select("doc_id", "ids", "width").mapInArrow(run, PIECE), "pieces")
+    drop(tokens)
     counts = pieces.groupBy("part").agg(F.max("local").alias("last")).orderBy("part").collect()  # one row per partition
     bases, total = [], 0
     for row in counts:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import batch_slices, materialize, partitions, release_memory, small_side, text_column, unused
+from fileloom.llm.common import batch_slices, drop, materialize, partitions, release_memory, small_side, text_column, unused
 from fileloom.llm.wordblocks import Block, mix, windows
 
 LEAST, ANCHOR = 50, 12
@@ -261,6 +261,7 @@ def repeats(docs: DataFrame, n: int | None = None) -> DataFrame:
     repeated = places.join(several, "anchor").groupBy("doc", "digest").agg(F.array_sort(F.collect_set("position")).alias("positions"))
     repeated = materialize(repeated, "repeated")  # the range shuffle asks twice for it
     spans = materialize(_compared(_suffixes(docs, repeated), n), "spans")
+    drop(places, several, repeated)
     across = spans.filter(F.col("key").isNotNull())
     name = lambda doc, digest: F.struct(F.col(doc).alias("doc"), F.col(digest).alias("digest"))
     known = across.groupBy("key").agg(F.min(name("doc", "digest")).alias("lo"), F.max(name("hi", "hi_digest")).alias("most"))

@@ -79,6 +79,16 @@ def clashing(df):
     return df.withColumns({x: F.lit("x") for x in ("shard", "size", "hi", "label", "score", "curve", "part", "grp", "salt", "block", "digest", "doc", "start")})
 
 
+def test_only_tables_without_readers_are_dropped(spark):
+    from fileloom.llm import common
+
+    first = common.materialize(spark.range(10), "first")
+    second = common.materialize(first.filter("id > 4"), "second")
+    written = len(common._written)
+    common.drop(first, first, spark.range(1))
+    assert second.count() == 5 and len(common._written) == written - 1
+
+
 def test_slices_cover_all():
     column = pa.array(["a" * 10, None, "", "b" * 100, "c"])
     assert [k for lo, hi in slices(column, 20) for k in range(lo, hi)] == [0, 1, 2, 3, 4]
