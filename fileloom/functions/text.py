@@ -37,6 +37,20 @@ def truncate_left(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.lit("..."), F.right(text, F.lit(most - 3)))).otherwise(text)
 
 
+def one_decimal(p: Column) -> Column:
+    """A number from 0 with one decimal, rounded by its exact value, halves to even.
+
+    Ten times the number is 8p + 2p, each of which is exact; the sum's own error is kept, so no double rounding occurs.
+    """
+    a, b = p * 8.0, p * 2.0
+    total = a + b
+    rest = (a - (total - (total - a))) + (b - (total - a))
+    whole = F.floor(total)
+    over = (total - (whole + F.lit(0.5))) + rest
+    tenths = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def saved_percent(original: Column, converted: Column) -> Column:
     return F.when(original > 0, (original - converted) / original.cast("double") * 100)
 
@@ -47,7 +61,7 @@ def savings(original: Column, converted: Column) -> Column:
     return (
         F.when(original == 0, "0 B (0% saved)")
         .when(saved < 0, F.concat(F.lit("-"), human_size(-saved), F.lit(" (size increased)")))
-        .otherwise(F.concat(human_size(saved), F.lit(" ("), F.format_string("%.1f", saved_percent(original, converted)), F.lit("% saved)")))
+        .otherwise(F.concat(human_size(saved), F.lit(" ("), one_decimal(saved_percent(original, converted)), F.lit("% saved)")))
     )
 
 

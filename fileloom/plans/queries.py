@@ -88,12 +88,31 @@ def default_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "ext", "output", planning.default_target(F.col("ext")).alias("default_target"), planning.target_from_output(F.col("ext"), F.col("output"), F.lit(False), F.col("p_size") % 7 == 0).alias("target"))
 
 
-@query(f"SELECT doc_id, target_idx, target, regexp_replace(path, '\\.md$', '.' || target) AS output_path FROM (SELECT *, 0 AS target_idx, 'webp' AS target FROM {FILES_SQL} UNION ALL SELECT *, 1, 'avif' FROM {FILES_SQL})")
+WANTED = ["Both", "PNG", "jpeg", "webp", "gif", "BOTH", "Markdown"]
+
+
+@query(f"SELECT doc_id, (t.i - 1)::INT AS target_idx, targets[t.i] AS target, regexp_replace(path, '\\.md$', '.' || targets[t.i]) AS output_path FROM (SELECT *, CASE lower(wanted) WHEN 'both' THEN ['webp','avif'] WHEN 'png' THEN ['png'] WHEN 'jpeg' THEN ['jpg'] WHEN 'webp' THEN ['webp'] WHEN 'markdown' THEN ['md'] ELSE [] END AS targets FROM (SELECT *, {sql_pick(WANTED, 'doc_id')} AS wanted FROM {FILES_SQL})), LATERAL (SELECT unnest(range(1, len(targets) + 1)) AS i) t")
 def target_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = planning.expand_targets(document_files(spark, sf_dir), planning.target_list(F.lit("Both")))
+    rows = planning.expand_targets(document_files(spark, sf_dir), planning.target_list(pick(WANTED, F.col("doc_id"))))
     return rows.select("doc_id", "target_idx", "target", paths.with_extension(F.col("path"), F.col("target")).alias("output_path"))
 
 
+PLACES = ["out", "o/x.ico", "o/page.png", "o/d.x/y", None]
+
+
+@query(f"""SELECT p_partkey, output, target, is_dir, n, CASE WHEN output IS NULL THEN 'in/photo.' || ext WHEN is_dir THEN output || '/photo.' || ext WHEN n > 1 THEN CASE output WHEN 'o/x.ico' THEN 'o/x.' || ext WHEN 'o/page.png' THEN 'o/page.' || ext ELSE output || '.' || ext END ELSE output END AS single,
+CASE WHEN output IS NULL THEN NULL WHEN is_dir OR output IN ('out', 'o/d.x/y') THEN output ELSE 'o' END AS package_dir, CASE WHEN output IS NULL THEN NULL WHEN is_dir OR output IN ('out', 'o/d.x/y') THEN 'favicon.ico' ELSE string_split(output, '/')[-1] END AS ico
+FROM (SELECT *, CASE WHEN target = 'favicon' THEN 'ico' ELSE target END AS ext FROM (SELECT p_partkey, (['out','o/x.ico','o/page.png','o/d.x/y',NULL])[(p_partkey % 5 + 1)::INT] AS output, {sql_pick(['webp', 'favicon', 'jpg'], '(p_partkey // 5)')} AS target, p_size % 3 = 0 AS is_dir, (p_size % 2 + 1)::INT AS n FROM part))""")
+def single_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where one file's output goes, and an icon package's folder and icon."""
+    k = F.col("p_partkey")
+    output = F.element_at(F.array(*[F.lit(v).cast("string") for v in PLACES]), (k % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", output.alias("output"), pick(["webp", "favicon", "jpg"], F.floor(k / 5)).alias("target"), (F.col("p_size") % 3 == 0).alias("is_dir"), (F.col("p_size") % 2 + 1).cast("int").alias("n"))
+    single = paths.single_output(F.lit("in/photo.PNG"), F.col("target"), F.col("output"), F.col("is_dir"), F.col("n"))
+    packed = F.when(F.col("output").isNotNull(), paths.package_paths(F.col("output"), F.col("is_dir")))
+    return rows.select("*", single.alias("single"), packed["directory"].alias("package_dir"), packed["ico"].alias("ico"))
+
+
 FILTERS, EXTENSIONS = ["png", "JPG", "jpeg", "webp", "avif", "svg", "pdf", "auto", "md"], ["png", "jpg", "jpeg", "webp", "avif", "svg", "pdf", "md", "txt", ""]
 
 
@@ -122,10 +141,10 @@ def glob_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "pattern", paths.is_glob(p).alias("is_glob"), paths.glob_prefix(p).alias("prefix"), paths.glob_base(p).alias("base"))
 
 
-FIT_SQL = """SELECT p_partkey, CASE WHEN stays THEN ow WHEN rw IS NOT NULL AND rh IS NOT NULL THEN greatest(round(ow * s), 1) WHEN rw IS NOT NULL THEN greatest(rw, 1) ELSE greatest(round(ow * (rh / oh)), 1) END::BIGINT AS width,
+FIT_SQL = """SELECT *, width <> ow OR height <> oh AS resized FROM (SELECT p_partkey, ow::BIGINT AS ow, oh::BIGINT AS oh, CASE WHEN stays THEN ow WHEN rw IS NOT NULL AND rh IS NOT NULL THEN greatest(round(ow * s), 1) WHEN rw IS NOT NULL THEN greatest(rw, 1) ELSE greatest(round(ow * (rh / oh)), 1) END::BIGINT AS width,
 CASE WHEN stays THEN oh WHEN rw IS NOT NULL AND rh IS NOT NULL THEN greatest(round(oh * s), 1) WHEN rw IS NOT NULL THEN greatest(round(oh * (rw / ow)), 1) ELSE greatest(rh, 1) END::BIGINT AS height
 FROM (SELECT *, least(rw / ow, rh / oh) AS s, CASE WHEN rw IS NOT NULL AND rh IS NOT NULL THEN nu AND least(rw / ow, rh / oh) >= 1 WHEN rw IS NOT NULL THEN nu AND rw >= ow WHEN rh IS NOT NULL THEN nu AND rh >= oh ELSE true END AS stays
-FROM (SELECT p_partkey, (100 + p_size * 7)::DOUBLE AS ow, (50 + p_partkey % 900)::DOUBLE AS oh, CASE WHEN p_partkey % 4 IN (0, 1) THEN (p_partkey % 777 + 1)::DOUBLE END AS rw, CASE WHEN p_partkey % 4 IN (0, 2) THEN (p_partkey % 555 + 1)::DOUBLE END AS rh, p_partkey % 3 = 0 AS nu FROM part))"""
+FROM (SELECT p_partkey, (100 + p_size * 7)::DOUBLE AS ow, (50 + p_partkey % 900)::DOUBLE AS oh, CASE WHEN p_partkey % 4 IN (0, 1) THEN (p_partkey % 777 + 1)::DOUBLE END AS rw, CASE WHEN p_partkey % 4 IN (0, 2) THEN (p_partkey % 555 + 1)::DOUBLE END AS rh, p_partkey % 3 = 0 AS nu FROM part)))"""
 
 
 @query(FIT_SQL)
@@ -135,8 +154,8 @@ def fit_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", (F.lit(100) + F.col("p_size") * 7).alias("ow"), (F.lit(50) + k % 900).alias("oh"),
         F.when((k % 4).isin(0, 1), k % 777 + 1).alias("rw"), F.when((k % 4).isin(0, 2), k % 555 + 1).alias("rh"), (k % 3 == 0).alias("nu"),
     )
-    fitted = rows.select("p_partkey", geometry.fit_dimensions(F.col("ow"), F.col("oh"), F.col("rw"), F.col("rh"), F.col("nu")).alias("f"))
-    return fitted.select("p_partkey", "f.width", "f.height")
+    fitted = rows.select("p_partkey", F.col("ow").cast("long"), F.col("oh").cast("long"), geometry.fit_dimensions(F.col("ow"), F.col("oh"), F.col("rw"), F.col("rh"), F.col("nu")).alias("f"))
+    return fitted.select("p_partkey", "ow", "oh", "f.width", "f.height", geometry.needs_resize(F.col("ow"), F.col("oh"), F.col("f")).alias("resized"))
 
 
 @query("SELECT p_partkey, (greatest(p_size * 10 - 50, 1) / 72.0::DOUBLE)::DOUBLE AS scale, CASE WHEN p_partkey % 256 = 0 THEN 0 ELSE least((p_size * 5) * 255 // greatest(p_partkey % 256, 1), 255) END::INT AS channel FROM part")
@@ -211,29 +230,29 @@ TASKS_SQL = "(SELECT o_custkey AS customer, CASE o_orderstatus WHEN 'O' THEN 'su
 SUMS_SQL = "coalesce(sum(original_size) FILTER (status <> 'failed'), 0)::BIGINT AS orig_size, coalesce(sum(converted_size) FILTER (status <> 'failed'), 0)::BIGINT AS new_size"
 
 
+SAVINGS_SQL = f"CASE WHEN orig_size = 0 THEN '0 B (0% saved)' WHEN new_size > orig_size THEN '-' || {humanised('(new_size - orig_size)')} || ' (size increased)' ELSE {humanised('(orig_size - new_size)')} || ' (' || printf('%.1f', (orig_size - new_size) / orig_size::DOUBLE * 100) || '% saved)' END"
+
+
 @query(f"SELECT count(*)::BIGINT AS total_tasks, count(*) FILTER (status = 'success')::BIGINT AS successful, count(*) FILTER (status = 'skipped')::BIGINT AS skipped, count(*) FILTER (status = 'failed')::BIGINT AS failed, bool_or(status = 'failed') AS any_failed FROM {TASKS_SQL}")
 def task_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.counts(order_tasks(spark, sf_dir))
 
 
-@query(f"SELECT customer, orig_size, new_size, orig_size - new_size AS saved_bytes, CASE WHEN orig_size > 0 THEN (orig_size - new_size) / orig_size::DOUBLE * 100 END AS saved_percent, CASE WHEN orig_size = 0 THEN '0 B (0% saved)' WHEN new_size > orig_size THEN '-' || {humanised('(new_size - orig_size)')} || ' (size increased)' ELSE {humanised('(orig_size - new_size)')} END AS savings FROM (SELECT customer, {SUMS_SQL} FROM {TASKS_SQL} GROUP BY customer)")
+@query(f"SELECT customer, orig_size, new_size, orig_size - new_size AS saved_bytes, CASE WHEN orig_size > 0 THEN (orig_size - new_size) / orig_size::DOUBLE * 100 END AS saved_percent, {SAVINGS_SQL} AS savings FROM (SELECT customer, {SUMS_SQL} FROM {TASKS_SQL} GROUP BY customer)")
 def savings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = tasks.sizes(order_tasks(spark, sf_dir), "customer")
-    shown = F.regexp_replace(text.savings(F.col("orig_size"), F.col("new_size")), r" \([0-9.]+% saved\)$", "")
-    return by.withColumn("savings", F.when(F.col("orig_size") == 0, "0 B (0% saved)").otherwise(shown))
+    return by.withColumn("savings", text.savings(F.col("orig_size"), F.col("new_size")))
 
 
-@query("SELECT 'in/' || l_orderkey AS input_path, count(DISTINCT l_linenumber)::BIGINT AS ok_outputs, count(*) FILTER (l_returnflag = 'R') = 0 AS safe FROM (SELECT * FROM lineitem WHERE l_linenumber <= 3) GROUP BY l_orderkey HAVING count(DISTINCT CASE WHEN l_linestatus = 'O' OR l_returnflag <> 'A' THEN l_linenumber END) = 3 AND count(*) FILTER (NOT (l_linestatus = 'O' OR l_returnflag <> 'A')) = 0")
+@query("SELECT 'in/' || l_orderkey AS input_path, count(DISTINCT name)::BIGINT AS ok_outputs, count(*) FILTER (l_returnflag = 'R') = 0 AS safe FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_linenumber END AS name FROM lineitem) GROUP BY l_orderkey HAVING count(DISTINCT CASE WHEN l_linestatus = 'O' OR l_returnflag <> 'A' THEN name END) = 3 AND count(*) FILTER (NOT (l_linestatus = 'O' OR l_returnflag <> 'A')) = 0")
 def delete_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three targets a file; a line that was returned stands for an output that is the input itself."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    """Orders as files of three targets, lines as tasks; a line that was returned has the input itself as its output."""
+    lines = table(spark, sf_dir, "lineitem")
     source = F.concat(F.lit("in/"), F.col("l_orderkey").cast("string"))
     status = F.when(F.col("l_linestatus") == "O", "success").when(F.col("l_returnflag") != "A", "skipped").otherwise("failed")
     rows = lines.select(source.alias("input_path"), F.col("l_linenumber"), status.alias("status"), F.col("l_returnflag"))
-    named = rows.withColumn("output_path", F.concat("input_path", F.lit("."), F.col("l_linenumber").cast("string")))
-    found = tasks.delete_eligible(named, 3)
-    unsafe = named.filter("l_returnflag = 'R'").select("input_path").distinct().withColumn("_r", F.lit(True))
-    return found.join(unsafe, "input_path", "left").select("input_path", "ok_outputs", (F.col("safe") & F.col("_r").isNull()).alias("safe"))
+    output = F.when(F.col("l_returnflag") == "R", F.col("input_path")).otherwise(F.concat("input_path", F.lit("."), F.col("l_linenumber").cast("string")))
+    return tasks.delete_eligible(rows.withColumn("output_path", output), 3)
 
 
 @query(f"SELECT a.doc_id, a.output_path, b.length AS existing_size, b.length IS NOT NULL AS skipped FROM (SELECT doc_id, '/out/' || doc_id || '.docx' AS output_path FROM {FILES_SQL}) a LEFT JOIN (SELECT '/out/' || doc_id || '.docx' AS path, n_chars AS length FROM documents WHERE doc_id % 2 = 0) b ON a.output_path = b.path")
@@ -262,7 +281,7 @@ def component_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINDS = list(text.EXIT_CODES)
 
 
-@query(f"SELECT p_partkey, kind, CASE kind {' '.join(f"WHEN '{k}' THEN {c}" for k, c in text.EXIT_CODES.items())} END::INT AS code FROM (SELECT p_partkey, {sql_pick(KINDS, 'p_partkey')} AS kind FROM part)")
+@query(f"SELECT p_partkey, kind, CASE WHEN kind IN ('input_not_found','io_not_found') THEN 2 WHEN kind IN ('invalid_input','svg_parse') THEN 3 WHEN kind IN ('rendering','image','pdf_render','io_other') THEN 4 WHEN kind IN ('output_write','io_permission') THEN 5 WHEN kind = 'unsupported' THEN 6 END::INT AS code FROM (SELECT p_partkey, {sql_pick(KINDS, 'p_partkey')} AS kind FROM part)")
 def exit_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", pick(KINDS, F.col("p_partkey")).alias("kind"))
     return rows.withColumn("code", text.exit_code(F.col("kind")))
@@ -277,9 +296,22 @@ def converter_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("converter", formats.converter(F.col("source"), F.col("target")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}', '{}', {})".format(k, a, b, d.replace("'", "''"), len(p)) for k, (a, b, d, p) in enumerate(formats.CAPABILITIES)) + ') t(ord, "from", "to", description, n_parameters)')
+LISTED_SQL = """SELECT ord, "from", "to", description, n_parameters, label FROM (VALUES
+(0, 'svg, png, jpg, jpeg, webp, avif', 'favicon', 'Convert an SVG or raster image to a Chrome favicon (.ico or full favicon package)', 1, '- [any] -> favicon: Convert an SVG or raster image to a Chrome favicon (.ico or full favicon package). Options: --package'),
+(1, 'svg, png, jpg, jpeg, webp, avif', 'png', 'Convert images to PNG format', 4, '- [any] -> png: Convert images to PNG format'),
+(2, 'svg, png, jpg, jpeg, webp, avif', 'jpg', 'Convert images to JPEG format', 5, '- [any] -> jpg: Convert images to JPEG format. Options: --quality'),
+(3, 'svg, png, jpg, jpeg, webp, avif', 'webp', 'Convert images to WebP format', 6, '- [any] -> webp: Convert images to WebP format. Options: --quality, --lossless'),
+(4, 'svg, png, jpg, jpeg, webp, avif', 'avif', 'Convert images to AVIF format', 6, '- [any] -> avif: Convert images to AVIF format. Options: --quality, --lossless'),
+(5, 'svg, png, jpg, jpeg, webp, avif', 'both', 'Convert images to both WebP and AVIF formats', 6, '- [any] -> both: Convert images to both WebP and AVIF formats. Options: --quality, --lossless'),
+(6, 'pdf', 'png, jpg, jpeg, webp, avif', 'Convert PDF pages to images', 6, '- pdf -> [png/jpg/webp/avif]: Convert PDF pages to images. Options: --pages, --dpi, --quality, --lossless'),
+(7, 'md', 'docx', 'Convert Markdown documents to Microsoft Word (DOCX) files', 1, '- md -> docx: Convert Markdown documents to Microsoft Word (DOCX) files. Options: --overwrite')
+) t(ord, "from", "to", description, n_parameters, label)"""
+
+
+@query(LISTED_SQL)
 def capability_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.capabilities(spark).select("ord", "from", "to", "description", F.size("parameters").alias("n_parameters"))
+    label = formats.capability_label(F.col("from"), F.col("to"), F.col("description")).alias("label")
+    return formats.capabilities(spark).select("ord", "from", "to", "description", F.size("parameters").alias("n_parameters"), label)
 
 
 @query("SELECT p_partkey, CASE least(p_size, 6) WHEN 1 THEN 36 WHEN 2 THEN 32 WHEN 3 THEN 28 WHEN 4 THEN 24 WHEN 5 THEN 20 ELSE 18 END::INT AS heading_size, CASE WHEN p_size % 4 > 0 THEN p_size % 4 * 360 WHEN p_partkey % 2 = 0 THEN 720 ELSE 0 END::INT AS indent FROM part")
@@ -288,9 +320,11 @@ def paragraph_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", text.heading_size(F.col("p_size")).alias("heading_size"), text.indent(F.col("p_partkey") % 2 == 0, F.col("p_size") % 4).cast("int").alias("indent"))
 
 
-@query("SELECT p_partkey, 'Converted image from png to webp (quality: ' || p_size || ', lossless: ' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || ')' AS description FROM part")
+@query(f"SELECT p_partkey, 'Converted image from ' || {sql_pick(['png', 'svg', 'jpg', 'webp'], 'p_partkey')} || ' to ' || {sql_pick(['webp', 'avif', 'png'], '(p_partkey // 4)')} || ' (quality: ' || p_size || ', lossless: ' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || ')' AS description FROM part")
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", text.conversion_description(F.lit("png"), F.lit("webp"), F.col("p_size"), F.col("p_partkey") % 2 == 0).alias("description"))
+    k = F.col("p_partkey")
+    source, target = pick(["png", "svg", "jpg", "webp"], k), pick(["webp", "avif", "png"], F.floor(k / 4))
+    return table(spark, sf_dir, "part").select("p_partkey", text.conversion_description(source, target, F.col("p_size"), k % 2 == 0).alias("description"))
 
 
 @query("SELECT p_partkey, sum(s)::BIGINT AS converted_size, bool_and(d NOT LIKE '%failed%') AS none_failed FROM (SELECT p_partkey, p_size AS s, 'ok' AS d FROM part UNION ALL SELECT p_partkey, p_size * 2, CASE WHEN p_partkey % 5 = 0 THEN 'failed page' ELSE 'ok' END FROM part) GROUP BY p_partkey")
@@ -311,15 +345,15 @@ def conversion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.skip_existing(planned, existing, overwrite=False)
 
 
-@query("""SELECT count(*)::BIGINT AS total_tasks, count(*) FILTER (status = 'success')::BIGINT AS successful, count(*) FILTER (status = 'skipped')::BIGINT AS skipped, count(*) FILTER (status = 'failed')::BIGINT AS failed, bool_or(status = 'failed') AS any_failed,
-coalesce(sum(length) FILTER (status <> 'failed'), 0)::BIGINT AS orig_size, coalesce(sum(converted) FILTER (status <> 'failed'), 0)::BIGINT AS new_size, (coalesce(sum(length) FILTER (status <> 'failed'), 0) - coalesce(sum(converted) FILTER (status <> 'failed'), 0))::BIGINT AS saved_bytes
-FROM (SELECT length, CASE WHEN t = 'png' THEN 'failed' WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'success' END AS status, CASE WHEN t = 'png' THEN 0 WHEN doc_id % 3 = 0 THEN length // 2 ELSE length // 4 END AS converted FROM """ + FILES_SQL + """, (VALUES ('docx'), ('png')) v(t))""")
+@query(f"SELECT *, CASE WHEN orig_size > 0 THEN (orig_size - new_size) / orig_size::DOUBLE * 100 END AS saved_percent, {SAVINGS_SQL} AS savings FROM (" + """SELECT count(*)::BIGINT AS total_tasks, count(*) FILTER (status = 'success')::BIGINT AS successful, count(*) FILTER (status = 'skipped')::BIGINT AS skipped, count(*) FILTER (status = 'failed')::BIGINT AS failed, bool_or(status = 'failed') AS any_failed,
+coalesce(sum(length) FILTER (status <> 'failed'), 0)::BIGINT AS orig_size, coalesce(sum(converted) FILTER (status <> 'failed'), 0)::BIGINT AS new_size, (coalesce(sum(length) FILTER (status <> 'failed'), 0) - coalesce(sum(converted) FILTER (status <> 'failed'), 0))::BIGINT AS saved_bytes, CASE WHEN bool_or(status = 'failed') THEN 1 ELSE 0 END AS exit_code
+FROM (SELECT length, CASE WHEN t = 'png' THEN 'failed' WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'success' END AS status, CASE WHEN t = 'png' THEN 0 WHEN doc_id % 3 = 0 THEN length // 2 ELSE length // 4 END AS converted FROM """ + FILES_SQL + """, (VALUES ('docx'), ('png')) v(t)))""")
 def conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files to targets, outputs, what exists, what is unsupported, and the report's sums: one query end to end."""
     status = F.when(F.col("converter").isNull(), "failed").when(F.col("skipped"), "skipped").otherwise("success")
     size = F.when(F.col("converter").isNull(), 0).when(F.col("skipped"), F.col("existing_size")).otherwise(F.floor(F.col("length") / 4))
     done = conversion_plan(spark, sf_dir).select("input_path", "output_path", status.alias("status"), F.col("length").alias("original_size"), size.cast("long").alias("converted_size"))
-    return tasks.summary(done).drop("saved_percent", "savings", "exit_code")
+    return tasks.summary(done)
 
 
 @query()
@@ -339,9 +373,17 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("input_path", "output_path", tasks.converted_size(F.col("files")).alias("converted_size"), "error")
 
 
-@query("SELECT p_partkey, (6 + 3 * 16 + (40 + 4 * 16 * 16 + 16 * 4) + (40 + 4 * 32 * 32 + 32 * 4) + (40 + 4 * 48 * 48 + 48 * 8))::INT AS ico_bytes, true AS same FROM part")
-def icon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small image per part, written as PNG, read back, and made an icon: its size is given by the format."""
+IMAGE_SUM = "list_sum(list_transform(range(480), lambda j: (j * (p_partkey % 251 + 1)) % 256))::BIGINT"
+ICON_BYTES = "(6 + 3 * 16 + (40 + 4 * 16 * 16 + 16 * 4) + (40 + 4 * 32 * 32 + 32 * 4) + (40 + 4 * 48 * 48 + 48 * 8))"
+
+
+@query(f"SELECT p_partkey, {ICON_BYTES}::INT AS ico_bytes, {IMAGE_SUM} AS png_sum, {IMAGE_SUM} AS webp_sum, (p_partkey % 256)::INT AS jpg_grey, (p_partkey % 40 + 1) * (p_size % 30 + 1)::BIGINT AS svg_pixels FROM part")
+def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image per part, coded and decoded.
+
+    ico_bytes: size of its icon, which the format gives; png_sum and webp_sum: its samples' sum after a round trip; jpg_grey: a
+    grey of the part's after one through JPEG; svg_pixels: pixels that a rectangle of the part's covers.
+    """
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -349,18 +391,104 @@ def icon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        from fileloom.codecs import svg
         from fileloom.operators import raster
 
         for batch in batches:
-            sizes, same, known = [], [], {}
-            for key in batch.column(0).to_pylist():
-                k = key % 64  # the image depends on this only
-                if k not in known:
-                    pixels = ((np.arange(12 * 10 * 4) * (k + 1)) % 256).astype(np.uint8).reshape(12, 10, 4)
-                    back = raster.decode(raster.encode_png(pixels))
-                    known[k] = (len(raster.encode_ico(back)), bool((back == pixels).all()))
-                sizes.append(known[k][0])
-                same.append(known[k][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(same)], ["p_partkey", "ico_bytes", "same"])
-
-    return table(spark, sf_dir, "part").select("p_partkey").mapInArrow(run, "p_partkey long, ico_bytes int, same boolean")
+            rows = []
+            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pixels = ((np.arange(12 * 10 * 4) * (key % 251 + 1)) % 256).astype(np.uint8).reshape(12, 10, 4)
+                png, webp = (raster.decode(raster.encode(pixels, kind)) for kind in ("png", "webp"))
+                grey = raster.decode(raster.encode(np.full((9, 11, 3), key % 256, np.uint8), "jpg", 100))
+                drawing = svg.parse_svg(f'<svg xmlns="http://www.w3.org/2000/svg" width="60" height="50"><rect x="3" y="4" width="{key % 40 + 1}" height="{size % 30 + 1}"/></svg>'.encode())
+                covered = (drawing.render(60, 50)[:, :, 3] == 255).sum()
+                rows.append((key, len(raster.encode_ico(raster.squares(png))), int(png.sum()), int(webp.sum()), int(grey.min()) if grey.min() == grey.max() else -1, int(covered)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["p_partkey", "ico_bytes", "png_sum", "webp_sum", "jpg_grey", "svg_pixels"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, ico_bytes int, png_sum long, webp_sum long, jpg_grey int, svg_pixels long")
+
+
+@query("SELECT p_partkey, p::INT AS page, 'o/doc' || p_partkey || '_page_' || p || '.png' AS output_path, 'Page ' || p || ' of PDF' AS description, floor((20 + p_size + p) * 144 / 72.0 + 0.5)::INT AS width, floor((30 + p_partkey % 25) * 144 / 72.0 + 0.5)::INT AS height, (p_partkey % 200)::INT AS red FROM (SELECT *, unnest(range(1, p_partkey % 3 + 2)) AS p FROM part)")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF per part with pages of its own sizes, each filled with a colour, drawn at 144 dots per inch and read back."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def made(key: int, size: int) -> bytes:
+        n = key % 3 + 1
+        out = b"%%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[%s]>>endobj " % b" ".join(b"%d 0 R" % (10 + k) for k in range(n))
+        fill = b"%g 0 0 rg 0 0 999 999 re f" % (key % 200 / 255)
+        out += b"3 0 obj<</Length %d>>stream\n%s\nendstream endobj " % (len(fill), fill)
+        return out + b" ".join(b"%d 0 obj<</Type/Page/MediaBox[0 0 %d %d]/Contents 3 0 R>>endobj" % (10 + k, 21 + size + k, 30 + key % 25) for k in range(n)) + b" trailer<</Root 1 0 R>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from fileloom.operators import content, raster
+
+        for batch in batches:
+            rows = []
+            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files = content.convert_bytes(made(key, size), "pdf", "pdf", "png", f"o/doc{key}.png", content.Settings(dpi=144))
+                for k, (path, data, description) in enumerate(files):
+                    pixels = raster.decode(data)
+                    rows.append((key, k + 1, path, description, pixels.shape[1], pixels.shape[0], int(pixels[0, 0, 0])))
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            names = ["p_partkey", "page", "output_path", "description", "width", "height", "red"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, page int, output_path string, description string, width int, height int, red int")
+
+
+NOTES = "concat(repeat('#', least(p_size % 8 + 1, 6)), ' ', p_name, '\n\n> said **', p_brand, '**\n\n- one\n  - ', p_type, '\n\n| A | B |\n| - | - |\n| ', p_size, ' | x |\n\n```\ncode ', p_partkey, '\n```\n')"
+
+
+@query("""SELECT p_partkey, b.seq::INT AS seq, b.kind, b.level::INT AS level, b.depth::INT AS depth, b.quote, b.text FROM (SELECT p_partkey, unnest([
+{'seq': 0, 'kind': 'heading', 'level': least(p_size % 8 + 1, 6), 'depth': 0, 'quote': false, 'text': p_name},
+{'seq': 1, 'kind': 'paragraph', 'level': 0, 'depth': 0, 'quote': true, 'text': 'said ' || p_brand},
+{'seq': 2, 'kind': 'paragraph', 'level': 0, 'depth': 1, 'quote': false, 'text': '•  one'},
+{'seq': 3, 'kind': 'paragraph', 'level': 0, 'depth': 2, 'quote': false, 'text': '•  ' || p_type},
+{'seq': 4, 'kind': 'table', 'level': 0, 'depth': 0, 'quote': false, 'text': 'A' || chr(9) || 'B' || chr(10) || p_size || chr(9) || 'x'},
+{'seq': 5, 'kind': 'code', 'level': 0, 'depth': 0, 'quote': false, 'text': 'code ' || p_partkey}]) AS b FROM part)""")
+def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note of each part in Markdown, as blocks."""
+    from fileloom.sources import manifest
+
+    return manifest.markdown_blocks(table(spark, sf_dir, "part").select("p_partkey", F.expr(NOTES).alias("text")), "p_partkey")
+
+
+@query("""SELECT p_partkey, (CASE least(p_size % 8 + 1, 6) WHEN 1 THEN 36 WHEN 2 THEN 32 WHEN 3 THEN 28 WHEN 4 THEN 24 WHEN 5 THEN 20 ELSE 18 END)::INT AS heading_size, p_brand AS bold, 1 AS tables, [720, 360, 720]::INT[] AS indents,
+p_name || 'said ' || p_brand || '•  one' || '•  ' || p_type || 'AB' || p_size || 'x' || 'code ' || p_partkey AS text FROM part""")
+def docx_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same notes as DOCX files, read back: size of the heading, bold text, tables, indents, all text."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from fileloom.operators import content
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import re
+        import zipfile
+
+        for frame in frames:
+            rows = []
+            for path, files in zip(frame["input_path"], frame["files"], strict=True):
+                xml = zipfile.ZipFile(io.BytesIO(files[0]["bytes"])).read("word/document.xml").decode()
+                runs = re.findall(r"<w:r>(.*?)</w:r>", xml, re.DOTALL)
+                said = lambda x: "".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", x))
+                bold = "".join(said(r) for r in runs if "<w:b/>" in r and "<w:sz " not in r)
+                rows.append((int(path), int(re.search(r'<w:sz w:val="(\d+)"', xml)[1]), bold, xml.count("<w:tbl>"), [int(x) for x in re.findall(r'<w:ind w:left="(\d+)"', xml)], "".join(map(said, runs))))
+            yield pd.DataFrame(rows, columns=["p_partkey", "heading_size", "bold", "tables", "indents", "text"])
+
+    notes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("input_path"), F.lit("md").alias("from_format"), F.lit("docx").alias("to_format"), F.lit("markdown").alias("converter"), F.lit("x.docx").alias("output_path"), F.expr(NOTES).cast("binary").alias("content"))
+    return content.convert_tasks(notes).select("input_path", "files").mapInPandas(run, "p_partkey long, heading_size int, bold string, tables int, indents array<int>, text string")
+
+
+@query("""SELECT to_json({'input_path': 'in/' || o_orderkey || '.png', 'output_path': 'out/' || o_orderkey || '.webp', 'status': CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'P' THEN 'skipped' ELSE 'failed' END, 'original_size': floor(o_totalprice)::BIGINT, 'converted_size': floor(floor(o_totalprice)::BIGINT * (o_orderkey % 13) / 10)::BIGINT, 'error_message': CASE WHEN o_orderstatus = 'F' THEN 'broken' END})::VARCHAR AS json FROM orders""")
+def task_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks as the JSON report has them."""
+    from fileloom.operators import sinks
+
+    return sinks.results_json(order_tasks(spark, sf_dir).drop("customer"))
