@@ -13,7 +13,7 @@ from fileloom.codecs import CodecError, pdf
 from fileloom.functions import formats, pages, paths, text
 from fileloom.operators import content, planning, progress as watching, sinks, tasks
 from fileloom.operators.staging import new_path
-from fileloom.sources import manifest
+from fileloom.sources import manifest, store
 from fileloom.sources.manifest import InputError
 
 
@@ -80,7 +80,7 @@ def targets_of(spark: SparkSession, name: str) -> list[str]:
 
 def _goals(spark: SparkSession, path: str, targets: list[str], output: str | None, package: bool) -> list[str]:
     """Output of each target of one file."""
-    is_dir = F.lit(output is not None and os.path.isdir(output))
+    is_dir = F.lit(output is not None and store.kind(output) == "dir")
     where, given = F.lit(output).cast("string"), F.lit(output if output is not None else os.path.dirname(path) or ".")
     packed = paths.package_paths(given, is_dir | F.lit(output is None))
     goals = []
@@ -108,25 +108,24 @@ def convert(spark: SparkSession, path: str, to: str | None = None, output: str |
     """
     options = options or Options()
     ext = paths.extension(F.lit(path))
-    is_dir = F.lit(output is not None and os.path.isdir(output))
+    is_dir = F.lit(output is not None and store.kind(output) == "dir")
     named = planning.target_from_output(ext, F.lit(output).cast("string"), is_dir, F.lit(options.package)) if to is None else F.lit(to)
     plan = _evaluate(spark, name=named, ext=ext, kind=formats.parse_format(F.lit(source) if source != "auto" else ext))
     names, kind = targets_of(spark, plan["name"]), plan["kind"]
-    if not os.path.exists(path):
+    if store.kind(path) is None:
         raise InputError("input_not_found", f"Input file not found: {path}")
-    if os.path.getsize(path) == 0:
+    if store.size(path) == 0:
         raise InputError("invalid_input", "Invalid input data: Input file is empty")
     goals = _goals(spark, path, names, output, options.package)
     how = _evaluate(spark, how=F.array(*(formats.converter(F.lit(kind).cast("string"), F.lit(t)) for t in names)))["how"]
     made: list[dict] = []
-    with open(path, "rb") as f:
-        data = f.read()
+    data = store.read(path)
     for k, (target, goal, converter) in enumerate(zip(names, goals, how, strict=True)):
         progress(k, len(names))
         if converter is None:
             raise InputError("unsupported", f"Unsupported conversion from '{kind or plan['ext']}' to '{target}'")
-        if os.path.exists(goal) and not options.overwrite:
-            made.append({"path": goal, "size_bytes": os.path.getsize(goal), "description": "Skipped (already exists)"})
+        if store.kind(goal) and not options.overwrite:
+            made.append({"path": goal, "size_bytes": store.size(goal), "description": "Skipped (already exists)"})
             continue
         try:
             wanted = _page_indexes(spark, data, options.pages) if converter == "pdf" else None
@@ -138,26 +137,25 @@ def convert(spark: SparkSession, path: str, to: str | None = None, output: str |
         except ValueError as error:
             raise InputError("invalid_input", str(error)) from error
         for name, body, description in files:
-            if converter == "pdf" and os.path.exists(name) and not options.overwrite:  # pages are checked under their own names
-                made.append({"path": name, "size_bytes": os.path.getsize(name), "description": "Skipped (already exists)"})
+            if converter == "pdf" and store.kind(name) and not options.overwrite:  # pages are checked under their own names
+                made.append({"path": name, "size_bytes": store.size(name), "description": "Skipped (already exists)"})
                 continue
             try:
-                sinks.write_file(name, body)
+                store.write(name, body)
             except OSError as error:
                 raise InputError("output_write", f"Output writing error: {error.strerror}") from error
             made.append({"path": name, "size_bytes": len(body), "description": description})
     progress(len(names), len(names))
-    same = {os.path.realpath(f["path"]) for f in made}
-    if options.delete_original and os.path.realpath(path) not in same:  # an output that is the input is never deleted
-        os.unlink(path)
+    if options.delete_original and not any(store.same(f["path"], path) for f in made):  # an output that is the input is never deleted
+        store.delete(path)
     return made
 
 
-def batch_convert(spark: SparkSession, root: str | None = None, to: str | None = None, output_dir: str | None = None, from_filter: str = "auto", recursive: bool = False, files: list[str] | None = None, options: Options | None = None, store: str | None = None, progress: Progress | None = None) -> BatchResult:
+def batch_convert(spark: SparkSession, root: str | None = None, to: str | None = None, output_dir: str | None = None, from_filter: str = "auto", recursive: bool = False, files: list[str] | None = None, options: Options | None = None, folder: str | None = None, progress: Progress | None = None) -> BatchResult:
     """Convert the files of a directory, or those listed. Errors are rows, never exceptions.
 
     Outputs that exist are found by metadata alone, so the bytes of skipped files are never read. The table of tasks is written
-    in ``store`` (a folder that executors share) before anything is counted or deleted, so that outputs are written once.
+    in ``folder`` (one that executors share) before anything is counted or deleted, so that outputs are written once.
     ``progress`` is told of Spark's tasks while contents are converted.
     """
     options = options or Options()
@@ -171,12 +169,12 @@ def batch_convert(spark: SparkSession, root: str | None = None, to: str | None =
     goal = F.array(*map(F.lit, wanted)) if wanted else F.array(planning.default_target(F.col("extension")))
     n_targets = len(wanted) if wanted else 1
     planned = planning.plan_batch(found, goal, root.rstrip("/"), output_dir)
-    store = store or new_path(spark, "batch")
-    planned.write.mode("overwrite").parquet(f"{store}/plan")
-    planned = planning.mark_collisions(spark.read.parquet(f"{store}/plan"))
+    folder = folder or new_path(spark, "batch")
+    planned.write.mode("overwrite").parquet(f"{folder}/plan")
+    planned = planning.mark_collisions(spark.read.parquet(f"{folder}/plan"))
     existing = _existing(planned)
-    planning.skip_existing(planned, existing, options.overwrite).write.mode("overwrite").parquet(f"{store}/checked")
-    planned = spark.read.parquet(f"{store}/checked")  # what existed before anything was written
+    planning.skip_existing(planned, existing, options.overwrite).write.mode("overwrite").parquet(f"{folder}/checked")
+    planned = spark.read.parquet(f"{folder}/checked")  # what existed before anything was written
     base = ("file_idx", "target_idx", "input_path", "output_path", "original_size")
     why = F.when(F.col("collides"), "Output is that of an earlier file").when(~F.col("supported"), F.format_string("Unsupported conversion from '%s' to '%s'", "from_format", "to_format"))
     refused = planned.filter("collides or not supported").select(*base, F.lit("failed").alias("status"), F.lit(0).cast("long").alias("converted_size"), why.alias("error_message"))
@@ -185,16 +183,16 @@ def batch_convert(spark: SparkSession, root: str | None = None, to: str | None =
     refused_pages = None
     if not todo.filter("converter = 'pdf'").isEmpty():
         counted = content.page_counts(todo.filter("converter = 'pdf'").select("input_path").distinct())
-        counted.write.mode("overwrite").parquet(f"{store}/pages")
+        counted.write.mode("overwrite").parquet(f"{folder}/pages")
         spec, n = F.lit(options.pages).cast("string"), F.col("n_pages")
-        chosen = spark.read.parquet(f"{store}/pages").select("input_path", pages.select_pages(spec, n).alias("pages"), pages.page_error(spec, n).alias("page_error"))
+        chosen = spark.read.parquet(f"{folder}/pages").select("input_path", pages.select_pages(spec, n).alias("pages"), pages.page_error(spec, n).alias("page_error"))
         todo = todo.join(chosen, "input_path", "left")
         refused_pages = todo.filter("page_error is not null").select(*base, F.lit("failed").alias("status"), F.lit(0).cast("long").alias("converted_size"), F.concat(F.lit("Invalid input data: "), "page_error").alias("error_message"))
         todo = todo.filter("page_error is null")
     made = content.convert_files(todo, options.settings())
     with watching.watched(spark, progress):
-        made.drop("output_files").write.mode("overwrite").parquet(f"{store}/made")
-    made = spark.read.parquet(f"{store}/made")
+        made.drop("output_files").write.mode("overwrite").parquet(f"{folder}/made")
+    made = spark.read.parquet(f"{folder}/made")
     done = todo.select(*base).join(made, ["input_path", "output_path"]).select(*base, "status", "converted_size", "error_message")
     if refused_pages is not None:
         refused = refused.unionByName(refused_pages)
@@ -213,7 +211,7 @@ def _existing(planned: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(p, os.path.getsize(p)) for p in batch.column(0).to_pylist() if p is not None and os.path.isfile(p)]
+            found = [(p, store.size(p)) for p in batch.column(0).to_pylist() if p is not None and store.kind(p) == "file"]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["path", "length"])
 
     return planned.select("output_path").mapInArrow(run, "path string, length long")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileloom.codecs import CodecError, pdf, svg
-from fileloom.operators import markdown, raster, sinks
+from fileloom.operators import markdown, raster
+from fileloom.sources import store
 
 FILES = "array<struct<path:string,size_bytes:bigint,description:string,bytes:binary>>"
 ARROW_FILES = pa.list_(pa.struct([("path", pa.string()), ("size_bytes", pa.int64()), ("description", pa.string()), ("bytes", pa.binary())]))
@@ -135,10 +136,7 @@ def convert_tasks(tasks: DataFrame, settings: Settings = Settings()) -> DataFram
 
 
 def _file_bytes(path: str, content: bytes | None) -> bytes:
-    if content is not None:
-        return content
-    with open(path, "rb") as f:
-        return f.read()
+    return store.read(path) if content is None else content
 
 
 def convert_files(tasks: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -154,7 +152,7 @@ def convert_files(tasks: DataFrame, settings: Settings = Settings()) -> DataFram
             if made is not None:
                 try:
                     for path, data, _ in made:
-                        sinks.write_file(path, data)
+                        store.write(path, data)
                 except OSError as e:
                     made, error = None, f"Output writing error: {e.strerror or e}"
             listed = [{"path": p, "size_bytes": len(b), "description": d} for p, b, d in made or []]

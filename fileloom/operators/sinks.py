@@ -1,28 +1,11 @@
-"""Writing files and deleting originals, so that repeated tasks do no harm."""
+"""Deleting originals, and results as JSON."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def write_file(path: str, data: bytes) -> None:
-    """Write beside the target and rename: a file is whole or not there, and a second attempt replaces it by the same."""
-    folder = os.path.dirname(path)
-    if folder:
-        os.makedirs(folder, exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    try:
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, path)
-    except OSError:
-        if os.path.exists(part):
-            os.unlink(part)
-        raise
+from fileloom.sources import store
 
 
 def delete_originals(eligible: DataFrame) -> tuple[int, list[tuple[str, str]]]:
@@ -33,7 +16,7 @@ def delete_originals(eligible: DataFrame) -> tuple[int, list[tuple[str, str]]]:
     deleted, errors = 0, []
     for row in eligible.filter("safe").select("input_path").toLocalIterator():
         try:
-            os.unlink(row.input_path)
+            store.delete(row.input_path)
             deleted += 1
         except FileNotFoundError:
             continue

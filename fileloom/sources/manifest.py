@@ -1,7 +1,7 @@
 """Listing files.
 
 ``file_manifest`` is a Python data source: it keeps empty files and names that begin with ``_``, which Spark's own
-file sources drop, and skips hidden files and folders. Each folder below the root is listed by its own task.
+file sources drop, and skips hidden files and folders. Each folder below the root is listed by tasks of its own. Roots may be URIs.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import glob as globs
 import os
 from collections.abc import Iterator
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fileloom.functions import formats, paths
+from fileloom.sources import store
 
 SCHEMA = "path string, name string, extension string, kind string, length bigint, modified_ms bigint"
 
@@ -27,9 +29,15 @@ class InputError(ValueError):
         self.kind = kind
 
 
+#: Entries of a folder that a task looks at, at about.
+ENTRIES = 50_000
+
+
 class Folder(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A share of a folder's entries: those whose name's checksum leaves ``part`` by ``parts``."""
+
+    def __init__(self, path: str, part: int = 0, parts: int = 1):
+        self.path, self.part, self.parts = path, part, parts
 
 
 class ManifestReader(DataSourceReader):
@@ -37,31 +45,34 @@ class ManifestReader(DataSourceReader):
         self.root, self.recursive = root, recursive
 
     def partitions(self) -> list[Folder]:
+        """Folders, in shares where they are large. The driver sees names only; sizes and times are looked up by the tasks."""
         found, left = [], [self.root]
         while left:
-            folder = left.pop()
-            found.append(Folder(folder))
-            if self.recursive:
-                try:
-                    with os.scandir(folder) as entries:
-                        left += [e.path for e in entries if not e.name.startswith(".") and e.is_dir()]
-                except OSError:  # a folder that can't be read has no files to offer
-                    continue
+            folder, n = left.pop(), 0
+            try:
+                for path, _, kind in store.entries(folder):
+                    n += 1
+                    if self.recursive and kind == "dir":
+                        left.append(path)
+            except OSError:  # a folder that can't be read has no files to offer
+                continue
+            parts = max(1, -(-n // ENTRIES))
+            found += [Folder(folder, k, parts) for k in range(parts)]
         return found
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         try:
-            with os.scandir(partition.path) as entries:
-                listed = [e for e in entries if not e.name.startswith(".")]
+            for path, name, kind in store.entries(partition.path):
+                if partition.parts > 1 and crc32(name.encode("utf-8", "surrogateescape")) % partition.parts != partition.part:
+                    continue
+                try:
+                    size, changed = store.stat(path)
+                except OSError:
+                    continue
+                stem, dot, ext = name.rpartition(".")
+                yield path, name, ext.lower() if stem and dot else "", kind, size, changed
         except OSError:
             return
-        for e in listed:
-            try:
-                kind, stat = "dir" if e.is_dir() else "file" if e.is_file() else "other", e.stat()
-            except OSError:
-                continue
-            stem, dot, ext = e.name.rpartition(".")
-            yield e.path, e.name, ext.lower() if stem and dot else "", kind, stat.st_size, stat.st_mtime_ns // 1_000_000
 
 
 class FileManifest(DataSource):
@@ -84,9 +95,10 @@ def manifest(spark: SparkSession, root: str, recursive: bool = False) -> DataFra
 
 def batch_files(spark: SparkSession, root: str, recursive: bool = False, from_filter: str = "auto") -> DataFrame:
     """The files of a batch: regular, with an extension that the filter allows."""
-    if not os.path.exists(root):
+    found = store.kind(root)
+    if found is None:
         raise InputError("input_not_found", f"Input file not found: {root}")
-    if not os.path.isdir(root):
+    if found != "dir":
         raise InputError("invalid_input", "Invalid input data: a batch needs a directory")
     if from_filter != "auto" and from_filter.lower() not in formats.FILTER_EXTENSIONS:
         raise InputError("invalid_input", f"Invalid input data: unknown filter '{from_filter}'")
@@ -96,7 +108,7 @@ def batch_files(spark: SparkSession, root: str, recursive: bool = False, from_fi
 
 def is_pattern(path: str) -> bool:
     """Whether an input is a pattern; a file of that very name comes first."""
-    return not os.path.exists(path) and ("*" in path or "?" in path or ("[" in path and "]" in path))
+    return store.kind(path) is None and ("*" in path or "?" in path or ("[" in path and "]" in path))
 
 
 def glob_files(pattern: str) -> list[str]:
@@ -117,7 +129,7 @@ def glob_root(pattern: str) -> str:
 
 def listed_files(spark: SparkSession, names: list[str]) -> DataFrame:
     """Rows like the manifest's for an explicit list, in its order and whatever the extensions."""
-    rows = [(p, os.path.basename(p), os.path.getsize(p), k) for k, p in enumerate(names)]
+    rows = [(p, os.path.basename(p), store.size(p), k) for k, p in enumerate(names)]
     df = spark.createDataFrame(rows, "path string, name string, length bigint, file_idx bigint")
     return df.withColumn("extension", paths.extension(F.col("path")))
 

@@ -86,6 +86,29 @@ def test_pages_of_a_pdf(spark, tmp_path):
     assert none.status == "failed" and none.error_message == "Invalid input data: No pages selected"
 
 
+def test_uris(spark, tree, tmp_path):
+    """Paths that are URIs go through Arrow's file systems."""
+    root, out = f"file://{tree}", f"file://{tmp_path}/uri"
+    assert {r.name for r in manifest.batch_files(spark, root, True).collect()} == {"b.png", "x.PNG", "a-z.png", "_u.png", "empty.png"}
+    rows = api.batch_convert(spark, root, "webp", out, recursive=True).tasks.collect()
+    assert sorted(r.status for r in rows) == ["failed"] + ["success"] * 4 and os.path.exists(tmp_path / "uri/a/x.webp")
+    assert api.batch_convert(spark, root, "webp", out, recursive=True).summary()["skipped"] == 4
+    made = api.convert(spark, f"{root}/b.png", "jpg", options=api.Options(delete_original=True))
+    assert made[0]["path"] == f"{root}/b.jpg" and os.path.exists(f"{tree}/b.jpg") and not os.path.exists(f"{tree}/b.png")
+    with pytest.raises(InputError, match="not found"):
+        api.convert(spark, f"{root}/none.png")
+
+
+def test_large_folders_are_listed_in_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "ENTRIES", 10)
+    for k in range(95):
+        (tmp_path / f"f{k}.png").touch()
+    reader = manifest.ManifestReader(str(tmp_path), False)
+    shares = reader.partitions()
+    names = [row[1] for share in shares for row in reader.read(share)]
+    assert len(shares) == 10 and sorted(names) == sorted(f"f{k}.png" for k in range(95))
+
+
 def test_vectors_and_photos(spark, tmp_path):
     (tmp_path / "logo.svg").write_text('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 40 20"><rect width="40" height="20" fill="teal"/></svg>')
     made = api.convert(spark, str(tmp_path / "logo.svg"))  # the default target
