@@ -786,3 +786,63 @@ def test_pipeline(spark, tmp_path):
     assert sum(passage in r.text for r in seen["repeated_passages"]) == 1 and all(r.n_chars == len(r.text) for r in seen["repeated_passages"])
     assert {r.doc_id for r in seen["packed"]} == {r.doc_id for r in seen["mixed"]}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packed"])
+
+
+def test_pipeline_of_empty_tables_and_extra_columns(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    common = quality_rules.COMMON_WORDS["en"].split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(["wander", "hollow", "meadow", "carry", "river"]) + rng.choice(["", "s", "ed", "ing"]) + rng.choice("abc") for _ in range(n))
+    rows = [(i, prose(120), "en", "s1", 0) for i in range(12)] + [(None, prose(100), "en", None, 0), (5, prose(90), None, "s1", None)]
+    for name, docs in (("empty", own_names(empty)), ("extra", own_names(clashing(spark.createDataFrame(rows, SCHEMA))))):
+        (tmp_path / name).mkdir()
+        for stage, f in corpus_pipeline.STAGES:
+            before = docs.columns
+            f(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.parquet(str(tmp_path / name / stage))
+            assert stage == "packed" or docs.columns == before
+            assert (docs.count() == 0) == (name == "empty")
+
+
+# --- long texts, narrow ids --------------------------------------------------
+
+
+def test_long_texts_and_narrow_ids(spark):
+    """A text of more than a megabyte, its copy and its near copy, among short ones; ids are 32 bits wide."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    words = vocabulary(12, 5000)
+    long = " ".join(rng.choice(words) for _ in range(200_000))
+    near = cut = long.split()
+    distinct = len({tuple(cut[k : k + 5]) for k in range(199_996)})
+    near[100_000] = "changed"
+    near = " ".join(near)
+    rows = [(1, long, "aa", "s1", 0), (2, long, "aa", "s1", 0), (3, near, "aa", "s2", 0), (4, "short text", "aa", "s2", 0), (5, None, None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("int")).repartition(2)
+    assert len(long) > 1 << 20
+    by_id = lambda found: {r.doc_id: r for r in found.collect()}
+    links = by_id(ngram_join.link(df))
+    assert {i: links[i].component_id for i in links} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5} and links[1].n_shingles == distinct
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == [1, 4, 5]
+    spans = sorted((r.doc_id, r.start_word, r.n_words, r.copy) for r in suffix_dedup.repeated_passages(df).collect())
+    assert spans == [(1, 0, 200_000, False), (2, 0, 200_000, True), (3, 0, 100_000, True), (3, 100_001, 99_999, True)]
+    want = dict(reference_ids(rows, BYTE, 2))
+    records = by_id(record_files.encode_and_read(df, BYTE))
+    assert {i: (r.n_tokens, r.ids_crc32) for i, r in records.items()} == {i: (len(x), crc(x)) for i, x in want.items()}
+    packed = collections.Counter()
+    for r in packing.pack(df, WORDS).collect():
+        packed[r.doc_id] += r.length
+    assert packed == {i: len(x) for i, x in reference_ids(rows, WORDS, 1)}
+    marks = by_id(lz_fingerprint.fingerprints(df))
+    assert marks[1].fingerprint == marks[2].fingerprint and marks[1].n_chars == len(long) and marks[2].near_next > 0.9
+    placed = by_id(sharding.shard(df, 2))
+    assert placed[1]["size"] == len(long.encode()) + 1 and placed[1].shard == placed[2].shard
+    scored = by_id(quality_rules.score_quality(df))
+    assert scored[1].n_words == 200_000 and scored[1].word_chars == sum(map(len, long.split()))
+    mixed = by_id(mixing.mix(df))
+    assert mixed[1]["size"] == 200_000 and mixed[5].taken == 0
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 6)], "doc_id int, quality int, toxic int")
+    assert sorted(by_id(toxicity.score_toxicity(df, labels))) == sorted(by_id(language_crf.label_languages(df))) == [1, 2, 3, 4, 5]
+    assert by_id(language_crf.label_languages(df))[1].lang_pred == "aa"
