@@ -47,7 +47,7 @@ def project(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Grid coordinates (document, dimension) of documents given by their ids, one after the other; none is empty."""
     begin = np.cumsum(lengths) - lengths
     table = directions(1 << (8 * ids.dtype.itemsize) if ids.dtype.itemsize == 2 else int(ids.max()) + 1)
-    mean = np.stack([np.add.reduceat(own[ids], begin, dtype=np.float64) / lengths for own in table], axis=1)
+    mean = np.stack([np.add.reduceat(np.take(own, ids), begin) / lengths for own in table], axis=1)
     return np.clip((mean / REACH + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, n: int | None =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length."""
     spark = docs.sparkSession
     n = n or partitions(spark)
-    tokens = materialize(encoded(docs, tokenizer_path, end_id), "tokens", compression="zstd")
+    tokens = materialize(encoded(docs, tokenizer_path, end_id), "tokens")  # ids hardly shrink under a stronger codec
     by = (F.col("curve"), F.col("doc_id").asc_nulls_first(), F.col("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
