@@ -325,27 +325,20 @@ def _read_image(bits: _Reader, width: int, height: int, main: bool) -> np.ndarra
 
 
 def _undo_predictor(image: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
+    """Pixels from what was left of them: those on one knight's-move diagonal need only earlier diagonals, so they go together."""
     height, width = image.shape[:2]
-    out = image.astype(np.int32)
-    out[0, 0, 3] = (out[0, 0, 3] + 255) & 255
-    out[0] = np.cumsum(out[0], axis=0) & 255
-    for y in range(1, height):
-        above, row = out[y - 1], out[y]
-        row[0] = (row[0] + above[0]) & 255
-        rights = np.concatenate([above[1:], row[:1]])  # beyond the end of the row above: this row's first
-        own = modes[y >> tile]
-        x = 1
-        while x < width:
-            mode, stop = int(own[x >> tile]) & 15, min(width, ((x >> tile) + 1) << tile)
-            if mode in (0, 2, 3, 4, 8, 9):  # nothing from the left: all at once
-                row[x:stop] = (row[x:stop] + _predicted(mode, row[x:stop], above[x:stop], above[x - 1 : stop - 1], rights[x:stop])) & 255
-            elif mode == 1:
-                row[x:stop] = (np.cumsum(row[x:stop], axis=0) + row[x - 1]) & 255
-            else:
-                for k in range(x, stop):
-                    row[k] = (row[k] + _predicted(mode, row[k - 1], above[k], above[k - 1], rights[k])) & 255
-            x = stop
-    return out.astype(np.uint8)
+    mode = np.repeat(np.repeat(modes & 15, 1 << tile, axis=0), 1 << tile, axis=1)[:height, :width].copy()
+    mode[0], mode[:, 0], mode[0, 0] = 1, 2, 0  # the first row comes from the left, the first column from above
+    mode, out = mode.reshape(-1), image.astype(np.int32).reshape(-1, 4)
+    for t in range(width + 2 * height - 2):
+        y = np.arange(max(0, -(-(t - width + 1) // 2)), min(height - 1, t // 2) + 1)
+        at = y * width + t - 2 * y
+        own = mode[at]
+        for m in np.unique(own).tolist():
+            here = at[own == m]
+            around = (np.maximum(here - k, 0) for k in (1, width, width + 1, width - 1))  # beyond a row's end: the next row's first
+            out[here] = (out[here] + _predicted(m, *(out[x] for x in around))) & 255
+    return out.reshape(height, width, 4).astype(np.uint8)
 
 
 def decode_webp(data: bytes) -> np.ndarray:

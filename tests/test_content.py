@@ -280,6 +280,33 @@ def test_webp_is_small():
     assert (raster.decode(raster.encode(picture(200, 300), "webp")) == picture(200, 300)).all()
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 21), st.integers(1, 21), st.integers(0, 1 << 30))
+def test_webp_predictors(h, w, seed):
+    """All fourteen predictors, against a pixel after the other in plain numbers."""
+    from fileloom.codecs import webp
+
+    rng = np.random.default_rng(seed)
+    rest, modes = rng.integers(0, 256, (h, w, 4)).astype(np.uint8), rng.integers(0, 14, (-(-h // 4), -(-w // 4))).astype(np.uint8)
+    flat = []
+    for y in range(h):
+        for x in range(w):
+            left, top, corner, right = (flat[k] if k >= 0 else (0, 0, 0, 0) for k in (len(flat) - 1, len(flat) - w, len(flat) - w - 1, len(flat) - w + 1 if w > 1 else len(flat) - 1))
+            m = (1 if x else 0) if y == 0 else 2 if x == 0 else int(modes[y // 4, x // 4])
+            near = sum(abs(left[c] + top[c] - corner[c] - left[c]) for c in range(4)) < sum(abs(left[c] + top[c] - corner[c] - top[c]) for c in range(4))
+            pixel = []
+            for c in range(4):
+                a, b, d, r = left[c], top[c], corner[c], right[c]
+                mean = (a + b) // 2
+                guess = (
+                    255 if c == 3 else 0, a, b, r, d, ((a + r) // 2 + b) // 2, (a + d) // 2, mean, (d + b) // 2, (b + r) // 2,
+                    ((a + d) // 2 + (b + r) // 2) // 2, a if near else b, min(255, max(0, a + b - d)), min(255, max(0, mean + int((mean - d) / 2))),
+                )[m]
+                pixel.append((int(rest[y, x, c]) + guess) & 255)
+            flat.append(tuple(pixel))
+    assert webp._undo_predictor(rest, modes, 2).reshape(-1, 4).tolist() == [list(p) for p in flat]
+
+
 def test_webp_of_other_writers():
     """Two colours in a palette, four bits to a pixel ... written by hand: 3 x 2 pixels, a palette of two."""
     bits = []

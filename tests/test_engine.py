@@ -217,5 +217,33 @@ def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
     assert cli.main(["convert", "-i", tree, "-o", str(tmp_path / "h"), "--to", "png"]) == 1 and "Failed:" in capsys.readouterr().out
 
 
+def test_command_line_of_pages(spark, tmp_path, capsys, monkeypatch):
+    from tests.test_content import a_pdf
+
+    monkeypatch.setattr(cli, "session", lambda workers: spark)
+    (tmp_path / "d.pdf").write_bytes(a_pdf([(72, 36)] * 3))
+    assert cli.main(["--json", "convert", "-i", str(tmp_path / "d.pdf"), "-o", str(tmp_path / "x.jpg"), "--pages", "2-3", "--dpi", "100"]) == 0
+    made = json.loads(capsys.readouterr().out)["output_files"]
+    assert [os.path.basename(f["path"]) for f in made] == ["x_page_2.jpg", "x_page_3.jpg"] and raster.decode((tmp_path / "x_page_2.jpg").read_bytes()).shape == (50, 100, 3)
+    assert cli.main(["convert", "-i", str(tmp_path / "d.pdf"), "-o", str(tmp_path / "y.png"), "--pages", "3-1"]) == 3
+    assert cli.main(["convert", "-i", str(tmp_path), "--from", "pdf", "--to", "png", "-o", str(tmp_path / "o")]) == 0
+    shown = capsys.readouterr()
+    assert "tasks" in shown.err and "Successful:" in shown.out and len(os.listdir(tmp_path / "o")) == 3
+
+
+def test_master_of_the_cluster_is_kept(monkeypatch):
+    from pyspark import SparkContext
+
+    monkeypatch.setattr(SparkContext, "_active_spark_context", None)
+    for name in ("MASTER", "SPARK_REMOTE", "PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS"):
+        monkeypatch.delenv(name, raising=False)
+    assert not cli._configured_master()
+    monkeypatch.setenv("PYSPARK_GATEWAY_PORT", "1")  # set by spark-submit
+    assert cli._configured_master()
+    monkeypatch.delenv("PYSPARK_GATEWAY_PORT")
+    monkeypatch.setenv("PYSPARK_SUBMIT_ARGS", "--master yarn pyspark-shell")
+    assert cli._configured_master()
+
+
 def test_images_source(spark, tree):
     assert manifest.images(spark, tree).select(F.max("width")).first()[0] == 10
