@@ -133,6 +133,19 @@ def test_quality_base_counts(spark, docs):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_measured_references(spark, empty):
+    words, rows = tongues(5, 300)
+    rows = [(i, f"{t} {t.title()}, {' '.join(words[lang][(i * 7 + k) % 150] for k in range(60))}.", lang, s, 0) for i, t, lang, s, _ in rows]
+    df = clashing(spark.createDataFrame([*rows, (900, None, "aa", None, 0), (None, "x " * 90, "bb", None, 0), (901, "few", "cc", None, 0)], SCHEMA))
+    refs = quality_rules.measured(df, sample=60)
+    assert refs.languages == ["aa", "bb"] and all(abs(q.sum() - 1) < 1e-9 for q in (*refs.classes, *refs.words))
+    texts = [r[1] for r in rows]
+    kept = quality_rules.measure(pa.array(texts), refs)
+    assert kept["kept"].mean() > 0.95 and [refs.languages[k] for k in kept["closest"]] == [r[2] for r in rows]
+    assert not quality_rules.measure(pa.array([x.upper().replace(" ", " ## ") for x in texts]), refs)["kept"].any()
+    assert quality_rules.measured(empty).languages == quality_rules.References().languages
+
+
 def test_quality_of_other_scripts():
     refs = quality_rules.References()
     russian = "Съешь же ещё этих мягких французских булок, да выпей чаю; потом мы пошли домой и долго говорили о том, что было раньше " + " ".join(f"слово{chr(0x430 + i % 30)}{chr(0x430 + i // 7)}" for i in range(60))
