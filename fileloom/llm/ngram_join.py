@@ -541,8 +541,11 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDE
     late = _linked(pairs, classes, docs, frequent, "late", k, percent, orders)
     drop(stars, shared, pairs)
 
-    found = components(early.unionByName(late))
-    labelled = classes.select("hi", "lo", "rep.doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Later links join first components, so only these are looked at again.
+    ends = late.join(joined.toDF("a", "la"), "a", "left").join(joined.toDF("b", "lb"), "b", "left")
+    second = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).toDF("label", "whole")
+    labelled = classes.select("hi", "lo", "rep.doc_id", "node").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = labelled.join(second, "label", "left").withColumn("label", F.coalesce("whole", "label")).drop("whole")
     ids = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(ids, "label").select("hi", "lo", "component_id", "label")
     out = rows.select("doc_id", "n_shingles", "hi", "lo", "digest").join(named, ["hi", "lo"], "left")
