@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from fileloom.llm.common import arrow_batches, batch_slices, cells, drop, materialize, partitions, release_memory, small_side, text_column, unused
 from fileloom.llm.components import components
-from fileloom.llm.wordblocks import Block, mix, spread, windows
+from fileloom.llm.wordblocks import Block, mix, order_by, spread, windows
 
 U = np.uint64
 K, PERCENT, ORDERS = 5, 80, 3
@@ -65,7 +65,7 @@ def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         values.append(mix(whole + U(n)))
         owners.append(texts)
     value, owner = np.concatenate(values), np.concatenate(owners)
-    order = np.lexsort((value, owner))
+    order = order_by(owner, value)
     value, owner = value[order], owner[order]
     fresh = np.ones(len(value), dtype=bool)
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
@@ -92,7 +92,7 @@ class Frequent:
     def __init__(self, tokens: np.ndarray):
         """``tokens``: from rare to frequent."""
         order = np.argsort(tokens)
-        self.tokens, self.rank = tokens[order], order.astype(np.uint64)
+        self.tokens, self.rank = tokens[order], order.astype(np.uint64) << U(62 - len(tokens).bit_length())  # in the first bits
 
     def keys(self, values: np.ndarray, order: int) -> np.ndarray:
         """Place of each token in the numbered order."""
@@ -107,7 +107,7 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, frequent: Frequent, order:
     """Prefix tokens of each set under an order, and whose they are."""
     n = np.diff(bounds)
     owner = spread(n)
-    by = np.lexsort((frequent.keys(values, order), owner))
+    by = order_by(owner, frequent.keys(values, order))
     place = np.arange(len(values)) - bounds[owner]
     keep = place < prefix_length(n, percent)[owner]
     return values[by][keep], owner[keep]
@@ -443,7 +443,7 @@ def prefix_marks(values: np.ndarray, bounds: np.ndarray, frequent: Frequent, ord
         owners.append(owner * orders + order)
         tokens.append((mix(token) >> U(32)).astype(np.uint32))
     owner, token = np.concatenate(owners), np.concatenate(tokens)
-    raw = token[np.lexsort((token, owner))].tobytes()
+    raw = token[order_by(owner, token.astype(np.uint64) << U(32))].tobytes()
     end = np.concatenate([[0], np.cumsum(n) * orders * 4]).tolist()
     return [raw[a:b] for a, b in zip(end, end[1:])]
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileloom.llm.common import batch_slices, text_column
-from fileloom.llm.wordblocks import Block, spread, windows
+from fileloom.llm.wordblocks import Block, order_by, spread, windows
 
 # Shares of character classes in edited prose, by language: lower-case a-z, letters beyond ASCII,
 # upper-case A-Z, digits, white space, sentence punctuation, everything else.
@@ -156,7 +156,7 @@ def _distinct(owner: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     """Distinct values of each owner."""
     if not len(owner):
         return np.zeros(rows, dtype=np.int64)
-    order = np.lexsort((value, owner))
+    order = order_by(owner, value)
     o, v = owner[order], value[order]
     fresh = np.ones(len(o), dtype=bool)
     fresh[1:] = (o[1:] != o[:-1]) | (v[1:] != v[:-1])
@@ -179,7 +179,7 @@ def measure(column: pa.Array, refs: References) -> dict[str, np.ndarray]:
     hashes = block.hashes(starts, ends)
     tri, at, begin = windows(hashes, first, 3)
     owner = spread(np.diff(begin))
-    order = np.lexsort((tri, owner))
+    order = order_by(owner, tri)
     o, v = owner[order], tri[order]
     same = np.zeros(len(o) + 1, dtype=bool)
     same[1:-1] = (o[1:] == o[:-1]) & (v[1:] == v[:-1])

@@ -114,3 +114,18 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 def spread(counts: np.ndarray) -> np.ndarray:
     """The row's number, repeated ``counts`` times."""
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def order_by(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Indexes that sort by ``owner``, then by ``value`` (64 bits, unsigned); equal pairs stand in any order.
+
+    One sort of numbers that hold the owner and the value's first 44 bits, which is several times as fast as a sort by two keys; where values
+    that differ only further on come out in the wrong order, that sort is made after all.
+    """
+    if len(owner) and int(owner.max()) >> 20 == 0:
+        code = owner.astype(np.uint64) << U(44) | value >> U(20)
+        order = np.argsort(code)
+        c, v = code[order], value[order]
+        if not ((c[1:] == c[:-1]) & (v[1:] < v[:-1])).any():
+            return order
+    return np.lexsort((value, owner))

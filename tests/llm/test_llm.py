@@ -95,6 +95,16 @@ def test_slices_cover_all():
     assert list(slices(pa.array([], pa.string()))) == []
 
 
+def test_order_by_equals_a_sort_by_two_keys():
+    from fileloom.llm.wordblocks import order_by
+
+    rng = np.random.default_rng(6)
+    near = np.uint64(1 << 60) + rng.integers(0, 1 << 10, 500).astype(np.uint64)  # values that differ in the last bits only
+    for owner, value in ((rng.integers(0, 9, 500), rng.integers(0, 1 << 63, 500).astype(np.uint64)), (rng.integers(0, 3, 500), near), (rng.integers(0, 1 << 30, 500), near), (np.zeros(0, np.int64), near[:0])):
+        order, want = order_by(owner, value), np.lexsort((value, owner))
+        assert (owner[order] == owner[want]).all() and (value[order] == value[want]).all() and sorted(order.tolist()) == list(range(len(owner)))
+
+
 def test_words_and_hashes():
     texts = ["a b\x0ba", None, "", " x y ", "A"]
     block = Block.of(pa.array(texts))
