@@ -88,9 +88,8 @@ def compressor(dictionary: bytes) -> Compressor:
     return _compressors[dictionary]
 
 
-def gains(texts: list[str], ordinary: bytes, toxic: bytes) -> list[np.ndarray]:
+def gains(cut: list[list[bytes]], ordinary: bytes, toxic: bytes) -> list[np.ndarray]:
     """Bytes that the toxic dictionary saves over the ordinary one, for each window of each text."""
-    cut = [windows(x) for x in texts]
     flat = [w for x in cut for w in x]
     gain = compressor(ordinary).lengths(flat) - compressor(toxic).lengths(flat)
     return np.split(gain, np.cumsum([len(x) for x in cut])[:-1]) if cut else []
@@ -113,7 +112,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x = np.array([features(g) for g in gains(texts, self.ordinary, self.toxic)])
+        x = np.array([features(g) for g in gains([windows(x) for x in texts], self.ordinary, self.toxic)])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -40, 40)))
 
 
@@ -148,6 +147,14 @@ def dmers(data: bytes) -> np.ndarray:
     return out
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; one sort is faster here than numpy's hashing."""
+    values = np.sort(values)
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
 def _plain(text: str) -> bytes:
     return f" {' '.join(SPLIT.findall(text.lower()))} ".encode("utf-8", "replace")
 
@@ -160,10 +167,10 @@ def spread_of(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
     buckets = np.zeros(1 << 22, dtype=np.int32)
     place = lambda x: (mix(x) & np.uint64(len(buckets) - 1)).astype(np.int64)
     for x in texts:
-        buckets[np.unique(place(dmers(_plain(x))))] += 1
+        buckets[_distinct(place(dmers(_plain(x))))] += 1
     held = [np.zeros(0, dtype=np.uint64)]
     for x in texts:
-        own = np.unique(dmers(_plain(x)))
+        own = _distinct(dmers(_plain(x)))
         held.append(own[buckets[place(own)] >= least])
     keys, counts = np.unique(np.concatenate(held), return_counts=True)
     return keys[counts >= least], counts[counts >= least]
@@ -173,7 +180,7 @@ def counted(keys: np.ndarray, texts: list[str]) -> np.ndarray:
     """How many of the texts have each of the sequences."""
     out = np.zeros(len(keys), dtype=np.int64)
     for x in texts if len(keys) else ():
-        own = np.unique(dmers(_plain(x)))
+        own = _distinct(dmers(_plain(x)))
         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         out[at[keys[at] == own]] += 1
     return out
@@ -186,13 +193,17 @@ def segments(texts: list[str], others: list[str], size: int) -> list[bytes]:
     rarer = np.log((counts + 0.5) / (n + 1)) - np.log((counted(keys, others) + 0.5) / (len(others) + 1))
     worth = counts / n * np.maximum(0, rarer - RARER)
     value = dict(zip(keys[worth > 0].tolist(), worth[worth > 0].tolist(), strict=True))
-    held, heap = {}, []
-    for word in {w for x in texts for w in SPLIT.findall(x.lower())}:
-        data = f" {word} ".encode("utf-8", "replace")
-        inside = [d for d in set(dmers(data).tolist()) if d in value]
-        if inside:
-            held[data] = inside
-            heap.append((-sum(sorted(value[d] for d in inside)) / len(data), data))
+    listed = sorted({f" {w} ".encode("utf-8", "replace") for x in texts for w in SPLIT.findall(x.lower())})
+    codes, start = dmers(b"".join(listed)), np.concatenate([[0], np.cumsum([len(x) for x in listed])])
+    place = np.flatnonzero(np.isin(codes, keys[worth > 0]))
+    word = np.searchsorted(start, place, "right") - 1
+    whole = place + DMER <= start[word + 1]  # not across two words
+    held: dict[bytes, list[int]] = {}
+    for k, code in zip(word[whole].tolist(), codes[place[whole]].tolist(), strict=True):
+        inside = held.setdefault(listed[k], [])
+        if code not in inside:
+            inside.append(code)
+    heap = [(-sum(sorted(value[d] for d in inside)) / len(data), data) for data, inside in held.items()]
     heapq.heapify(heap)
     out, total = [], 0
     while heap and total < size:
@@ -228,11 +239,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     common = "".join(f" {w} " for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS][::-1]).encode("utf-8", "replace")[-49_152:]
     bad_segments = segments(toxic_fit, ordinary_fit, max(SEGMENT_BYTES))
     good_segments = segments(ordinary_fit, toxic_fit, max(SEGMENT_BYTES))
-    texts, label = toxic_cal + ordinary_cal, np.array([1] * len(toxic_cal) + [0] * len(ordinary_cal))
+    cut, label = [windows(x) for x in toxic_cal + ordinary_cal], np.array([1] * len(toxic_cal) + [0] * len(ordinary_cal))
     best = None
     for size in SEGMENT_BYTES:
         own = dictionary(good_segments, size, common), dictionary(bad_segments, size, common)
-        x = np.array([features(g) for g in gains(texts, *own)])
+        x = np.array([features(g) for g in gains(cut, *own)])
         found = logistic(x, label)
         quality = auc(x @ found[1:], label) - np.mean((x @ found[1:] + found[0] >= 0) != label)
         if best is None or quality > best[0] + 1e-6:
