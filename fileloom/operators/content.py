@@ -94,24 +94,44 @@ def convert_bytes(data: bytes, converter: str | None, source: str | None, target
     return [(output, settings.encoded(pixels, target), text)]
 
 
-def _each(batches: Iterator[pa.RecordBatch], settings: Settings, read: Callable[[str, bytes | None], bytes]) -> Iterator[tuple[pa.RecordBatch, Made | None, str | None]]:
-    """Each task's row with its files or an error. Tasks of one file that stand together read and decode it once."""
+Row = tuple[str, str, str, str, str]
+
+
+def _each(batches: Iterator[pa.RecordBatch], settings: Settings, read: Callable[[str, bytes | None], bytes]) -> Iterator[tuple[Row, Made | None, str | None]]:
+    """Each task with its files or an error. Tasks of one file that stand together read and decode it once."""
     last, data, decoded = None, b"", None
     for batch in batches:
-        for k in range(len(batch)):  # a row at a time: contents may be large
-            row = batch.slice(k, 1)
-            path, source, target, converter, output, pages, content = (row.column(c)[0].as_py() for c in range(7))
+        rows = zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)
+        for k, (*task, pages) in enumerate(rows):
+            path, source, target, converter, output = task
             try:
                 if path is None or path != last:
-                    last, data, decoded = None, read(path, content), None
+                    last, data, decoded = None, read(path, batch.column(6)[k].as_py()), None  # contents may be large: one at a time
                     last = path
                 if converter == "image" and decoded is None:
                     decoded = _decoded(data, source)
-                yield row, convert_bytes(data, converter, source, target, output, settings, pages, decoded if converter == "image" else None), None
+                yield tuple(task), convert_bytes(data, converter, source, target, output, settings, pages, decoded if converter == "image" else None), None
             except OSError as error:
-                yield row, None, f"Failed to read source file: {error.strerror or error}"
+                yield tuple(task), None, f"Failed to read source file: {error.strerror or error}"
             except Exception as error:
-                yield row, None, str(error) or type(error).__name__
+                yield tuple(task), None, str(error) or type(error).__name__
+
+
+#: Rows, and bytes of their files, that are returned together.
+ROWS, BYTES = 500, 4 << 20
+
+
+def _gathered(rows: Iterator[tuple[int, tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of (size, row)."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if len(held) >= ROWS or size >= BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def _selected(tasks: DataFrame) -> DataFrame:
@@ -126,13 +146,15 @@ def _given(path: str, content: bytes | None) -> bytes:
 
 def convert_tasks(tasks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``tasks`` (input_path, from_format, to_format, converter, output_path, content, and pages) with files and error."""
+    schema = pa.schema([*((x, pa.string()) for x in TASK), ("files", ARROW_FILES), ("error", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, made, error in _each(batches, settings, _given):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        for task, made, error in _each(batches, settings, _given):
             files = None if made is None else [{"path": p, "size_bytes": len(b), "description": d, "bytes": b} for p, b, d in made]
-            yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([files], ARROW_FILES), pa.array([error], pa.string())], [*TASK, "files", "error"])
+            yield sum(len(b) for _, b, _ in made or ()), (*task, files, error)
 
-    return _selected(tasks).mapInArrow(run, ", ".join(f"{x} string" for x in TASK) + f", files {FILES}, error string")
+    spark_schema = ", ".join(f"{x} string" for x in TASK) + f", files {FILES}, error string"
+    return _selected(tasks).mapInArrow(lambda batches: _gathered(rows(batches), schema), spark_schema)
 
 
 def _file_bytes(path: str, content: bytes | None) -> bytes:
@@ -146,9 +168,11 @@ def convert_files(tasks: DataFrame, settings: Settings = Settings()) -> DataFram
     content. Collect or store the result once: each evaluation writes again.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["input_path", "output_path", "status", "converted_size", "error_message", "output_files"]
-        for row, made, error in _each(batches, settings, _file_bytes):
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), ARROW_LISTED)
+    schema = pa.schema(list(zip(("input_path", "output_path", "status", "converted_size", "error_message", "output_files"), kinds, strict=True)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        for task, made, error in _each(batches, settings, _file_bytes):
             if made is not None:
                 try:
                     for path, data, _ in made:
@@ -156,12 +180,10 @@ def convert_files(tasks: DataFrame, settings: Settings = Settings()) -> DataFram
                 except OSError as e:
                     made, error = None, f"Output writing error: {e.strerror or e}"
             listed = [{"path": p, "size_bytes": len(b), "description": d} for p, b, d in made or []]
-            size = sum(f["size_bytes"] for f in listed)
-            values = [pa.array(["failed" if made is None else "success"]), pa.array([size], pa.int64()), pa.array([error], pa.string()), pa.array([listed], ARROW_LISTED)]
-            yield pa.RecordBatch.from_arrays([row.column(0), row.column(4), *values], names)
+            yield 0, (task[0], task[4], "failed" if made is None else "success", sum(f["size_bytes"] for f in listed), error, listed)
 
-    schema = f"input_path string, output_path string, status string, converted_size bigint, error_message string, output_files {LISTED}"
-    return _selected(tasks).mapInArrow(run, schema)
+    spark_schema = f"input_path string, output_path string, status string, converted_size bigint, error_message string, output_files {LISTED}"
+    return _selected(tasks).mapInArrow(lambda batches: _gathered(rows(batches), schema), spark_schema)
 
 
 def page_counts(files: DataFrame) -> DataFrame:
