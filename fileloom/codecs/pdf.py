@@ -12,6 +12,7 @@ import numpy as np
 
 from fileloom.codecs import CodecError
 from fileloom.codecs.jpeg import decode_jpeg
+from fileloom.codecs.png import unfilter
 from fileloom.codecs.svg import MOST_PIXELS, Matrix, _curve, _over, _steps, coverage, dashed, inverse, moved, stroked, times
 
 
@@ -134,8 +135,6 @@ class Parser:
 def _unpredicted(data: bytes, parameters: dict[str, Any]) -> bytes:
     if parameters.get("Predictor", 1) < 10:
         return data
-    from fileloom.operators.raster import unfilter  # the filters of PNG
-
     bits = parameters.get("Colors", 1) * parameters.get("BitsPerComponent", 8)
     line = (bits * parameters.get("Columns", 1) + 7) // 8 + 1
     rows = np.frombuffer(data[: len(data) // line * line], np.uint8).reshape(-1, line)

@@ -393,6 +393,13 @@ def coverage(polygons: list[np.ndarray], width: int, height: int, even_odd: bool
     return np.clip(np.cumsum(out, axis=1)[:, :width] / LINES, 0, 1)
 
 
+def unpremultiply(pixels: np.ndarray) -> np.ndarray:
+    """RGBA freed of its alpha, by whole numbers; transparent pixels become 0."""
+    alpha = pixels[:, :, 3:].astype(np.int32)
+    colour = np.minimum(pixels[:, :, :3].astype(np.int32) * 255 // np.maximum(alpha, 1), 255)
+    return np.concatenate([np.where(alpha == 0, 0, colour), alpha], axis=2).astype(np.uint8)
+
+
 # --- documents --------------------------------------------------------------
 
 
@@ -479,9 +486,7 @@ class Drawing:
         canvas = np.zeros((height, width, 4))
         found = self.declared(self.root)
         self.children(canvas, self.root, times(place, fit), self.style(found, Style()), 0)
-        alpha = canvas[:, :, 3:]
-        plain = np.where(alpha > 0, canvas[:, :, :3] / np.where(alpha > 0, alpha, 1), 0)
-        return np.clip(np.rint(np.concatenate([plain, alpha], axis=2) * 255), 0, 255).astype(np.uint8)
+        return unpremultiply(np.clip(np.rint(canvas * 255), 0, 255).astype(np.uint8))
 
     def children(self, canvas: np.ndarray, node: ET.Element, m: Matrix, style: Style, depth: int) -> None:
         for child in node:

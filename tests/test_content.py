@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fileloom.codecs import CodecError, pdf, svg
+from fileloom.codecs import CodecError, pdf, png, svg
 from fileloom.operators import content, markdown, raster
 
 SAMPLE = """# One
@@ -87,12 +87,12 @@ def test_any_text_gives_wellformed_xml(text):
 @given(st.integers(1, 20), st.integers(1, 20), st.sampled_from([3, 4]), st.integers(0, 1 << 30))
 def test_png_round_trip(h, w, c, seed):
     pixels = np.random.default_rng(seed).integers(0, 256, (h, w, c), dtype=np.uint8)
-    assert (raster.decode(raster.encode_png(pixels)) == pixels).all()
+    assert (raster.decode(png.encode_png(pixels)) == pixels).all()
 
 
 def test_png_reads_in_spark(spark, tmp_path):
     pixels = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
-    (tmp_path / "liar.jpg").write_bytes(raster.encode_png(pixels))
+    (tmp_path / "liar.jpg").write_bytes(png.encode_png(pixels))
     row = spark.read.format("image").load(str(tmp_path)).select("image.*").first()
     assert (row.height, row.width) == (2, 3) and (np.frombuffer(row.data, np.uint8).reshape(2, 3, 3)[:, :, ::-1] == pixels).all()
 
@@ -111,18 +111,18 @@ def test_package_has_eight_files():
 def test_resize_and_colours():
     flat = np.full((9, 7, 3), 100, np.uint8)
     assert (raster.resize(flat, 20, 4) == 100).all()
-    assert raster.normalise(np.zeros((1, 1, 2), np.uint8)).shape == (1, 1, 4)
-    assert raster.unpremultiply(np.array([[[10, 20, 30, 0], [10, 200, 30, 100]]], np.uint8)).tolist() == [[[0, 0, 0, 0], [25, 255, 76, 100]]]
+    assert png.normalise(np.zeros((1, 1, 2), np.uint8)).shape == (1, 1, 4)
+    assert svg.unpremultiply(np.array([[[10, 20, 30, 0], [10, 200, 30, 100]]], np.uint8)).tolist() == [[[0, 0, 0, 0], [25, 255, 76, 100]]]
 
 
 def test_missing_codecs_say_so():
-    png = raster.encode_png(np.zeros((2, 2, 3), np.uint8))
+    data = png.encode_png(np.zeros((2, 2, 3), np.uint8))
     with pytest.raises(ValueError, match="codec unavailable: avif encoder"):
-        content.convert_bytes(png, "image", "png", "avif", "o")
+        content.convert_bytes(data, "image", "png", "avif", "o")
     with pytest.raises(ValueError, match="codec unavailable: avif decoder"):
         content.convert_bytes(b"\0\0\0\x1cftypavif", "image", "avif", "png", "o")
     with pytest.raises(ValueError, match="Unsupported"):
-        content.convert_bytes(png, None, "png", "docx", "o")
+        content.convert_bytes(data, None, "png", "docx", "o")
     for data, source in ((b"<svg", "svg"), (b"<html/>", "svg"), (b"", "png"), (b"\xff\xd8\xff", "jpg"), (b"RIFF____WEBPVP8L", "webp")):
         with pytest.raises(CodecError):
             content.convert_bytes(data, "image", source, "png", "o")
@@ -130,7 +130,7 @@ def test_missing_codecs_say_so():
 
 def test_encoders_of_the_registry(monkeypatch):
     monkeypatch.setitem(raster.ENCODERS, "avif", lambda pixels, quality, lossless: b"av%d" % quality)
-    assert content.convert_bytes(raster.encode_png(np.zeros((2, 2, 3), np.uint8)), "image", "png", "avif", "a.avif")[0][1] == b"av80"
+    assert content.convert_bytes(png.encode_png(np.zeros((2, 2, 3), np.uint8)), "image", "png", "avif", "a.avif")[0][1] == b"av80"
 
 
 # --- PNG ------------------------------------------------------------------
@@ -162,11 +162,11 @@ def filtered_png(samples, depth, colour, kinds, extra=b"", interlace=False):
         return out
 
     if interlace:
-        data = b"".join(coded(samples[y::dy, x::dx]) for y, x, dy, dx in raster.PASSES if samples[y::dy, x::dx].size)
+        data = b"".join(coded(samples[y::dy, x::dx]) for y, x, dy, dx in png.PASSES if samples[y::dy, x::dx].size)
     else:
         data = coded(samples)
     head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, int(interlace))
-    return raster.PNG_MAGIC + raster._chunk(b"IHDR", head) + extra + raster._chunk(b"IDAT", zlib.compress(data)) + raster._chunk(b"IEND", b"")
+    return png.PNG_MAGIC + png._chunk(b"IHDR", head) + extra + png._chunk(b"IDAT", zlib.compress(data)) + png._chunk(b"IEND", b"")
 
 
 @settings(max_examples=60, deadline=None)
@@ -175,7 +175,7 @@ def test_png_of_all_kinds(h, w, kind, kinds, interlace, seed):
     colour, depth = kind
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
     samples = np.random.default_rng(seed).integers(0, 1 << depth, (h, w, channels))
-    got = raster.decode_png(filtered_png(samples, depth, colour, kinds, interlace=interlace))
+    got = png.decode_png(filtered_png(samples, depth, colour, kinds, interlace=interlace))
     want = (samples + 128) // 257 if depth == 16 else samples * 255 // ((1 << depth) - 1)
     want = want[:, :, [0, 0, 0, 1]] if colour == 4 else np.repeat(want, 3, axis=2) if colour == 0 else want
     assert (got == want).all()
@@ -183,16 +183,16 @@ def test_png_of_all_kinds(h, w, kind, kinds, interlace, seed):
 
 def test_png_transparent_colour_and_palette():
     grey = np.array([[[5], [6]]])
-    assert raster.decode_png(filtered_png(grey, 8, 0, [0], raster._chunk(b"tRNS", b"\0\5"))).tolist() == [[[5, 5, 5, 0], [6, 6, 6, 255]]]
+    assert png.decode_png(filtered_png(grey, 8, 0, [0], png._chunk(b"tRNS", b"\0\5"))).tolist() == [[[5, 5, 5, 0], [6, 6, 6, 255]]]
     rgb = np.array([[[1, 2, 3], [1, 2, 4]]])
-    assert raster.decode_png(filtered_png(rgb, 8, 2, [0], raster._chunk(b"tRNS", b"\0\1\0\2\0\3")))[:, :, 3].tolist() == [[0, 255]]
-    indexed = raster._chunk(b"PLTE", bytes(range(12))) + raster._chunk(b"tRNS", b"\x09")
-    assert raster.decode_png(filtered_png(np.array([[[0], [3]]]), 2, 3, [0], indexed)).tolist() == [[[0, 1, 2, 9], [9, 10, 11, 255]]]
+    assert png.decode_png(filtered_png(rgb, 8, 2, [0], png._chunk(b"tRNS", b"\0\1\0\2\0\3")))[:, :, 3].tolist() == [[0, 255]]
+    indexed = png._chunk(b"PLTE", bytes(range(12))) + png._chunk(b"tRNS", b"\x09")
+    assert png.decode_png(filtered_png(np.array([[[0], [3]]]), 2, 3, [0], indexed)).tolist() == [[[0, 1, 2, 9], [9, 10, 11, 255]]]
 
 
 def test_png_of_many_rows():
     samples = np.random.default_rng(1).integers(0, 256, (700, 5, 3))
-    assert (raster.decode_png(filtered_png(samples, 8, 2, [4, 3, 1, 0, 2])) == samples).all()
+    assert (png.decode_png(filtered_png(samples, 8, 2, [4, 3, 1, 0, 2])) == samples).all()
 
 
 # --- JPEG -----------------------------------------------------------------
