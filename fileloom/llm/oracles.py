@@ -21,6 +21,17 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
 
+#: Every window of 50 words, those that several documents have, and islands of them.
+REPEATS = rf"""
+WITH d AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, (i - 1)::INT AS start, array_to_string(w[i:i + 49], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+several AS (SELECT key, min(doc_id) AS lo FROM windows GROUP BY key HAVING min(doc_id) < max(doc_id)),
+found AS (SELECT doc_id, start, doc_id > lo AS copy FROM windows JOIN several USING (key)),
+marked AS (SELECT *, coalesce(start > lag(start) OVER (PARTITION BY doc_id, copy ORDER BY start) + 50, true)::INT AS fresh FROM found),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, copy ORDER BY start) AS island FROM marked)
+SELECT doc_id, min(start) AS start_word, (max(start) + 50 - min(start))::BIGINT AS n_words, copy FROM islands GROUP BY doc_id, copy, island"""
+
+
 def _quality() -> str:
     refs = q.References()
     patterns = ["a-z", r"\x{C0}-\x{1FFF}\x{3000}-\x{FFFF}", "A-Z", "0-9", r"\x20\x09-\x0D", ".,;:!?''\"()\\-"]

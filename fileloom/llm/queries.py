@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op5_ngram_join": oracles.LINKS, "op8_quality": oracles.QUALITY}
+ORACLES: dict[str, str] = {"op3_suffix_dedup": oracles.REPEATS, "op5_ngram_join": oracles.LINKS, "op8_quality": oracles.QUALITY}

@@ -784,6 +784,25 @@ def test_code_switching_follows_neighbours():
     assert (p.argmax(1) == [0] * 15 + [1] * 15).mean() > 0.9
 
 
+# --- SQL ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op5_ngram_join", "op8_quality"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from fileloom.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    got = queries.QUERIES[name](spark, data)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(found.fetchall())
+
+
 # --- pipeline -------------------------------------------------------------
 
 
