@@ -22,12 +22,17 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _L = "A-Za-zÀ-ÖØ-öø-ɏªµº"  # letters of the plain range
 _N = "0-9²³¹¼-¾"  # its digits and numbers
 PLAIN = re.compile("[\n\x20-\x7e¡-įı-ɏ]*")
-#: Where a piece's ids could depend on what stands beside it.
-ODD = re.compile("  | \n|\n |\n\n\n|\n\n\\Z| '|'[A-ZÀ-ɏ]")
+#: Quotes beside which a piece's ids could depend on what stands there.
+QUOTED = re.compile(" '|'[A-ZÀ-ɏ]")
 PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_L}{_N}\\s]+|[ \n]")
 FORMATS = {code: [f"<{n}{code}" for n in range(64)] for code in "HI"}
 
 
+def odd(x: str) -> bool:
+    """Whether a piece's ids could depend on what stands beside it. Plain searches are twice as fast as one pattern."""
+    return "  " in x or " \n" in x or "\n " in x or "\n\n\n" in x or x.endswith("\n\n") or ("'" in x and QUOTED.search(x) is not None)
+
+
 def byte_letters() -> dict[int, str]:
     """How byte-level models write the bytes that aren't printable ASCII: the others in order, from U+0100."""
     kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -89,7 +94,7 @@ class CachedEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for x in texts:
-            if PLAIN.fullmatch(x) and not ODD.search(x) and not self.special.search(x):
+            if PLAIN.fullmatch(x) and not odd(x) and not self.special.search(x):
                 out.append(b"".join(map(self.known.__getitem__, PIECES.findall(x))))
             else:
                 out.append(self._by_library(x))
