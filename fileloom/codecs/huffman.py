@@ -5,8 +5,29 @@ from __future__ import annotations
 import numpy as np
 
 
+def _depths(weights: list[int]) -> list[int]:
+    """Depths of a Huffman tree's leaves, given by weights in rising order; the first is among the deepest."""
+    n = len(weights)
+    total, parent = weights + [0] * max(0, n - 1), [0] * (2 * n)
+    leaf, node = 0, n
+    for made in range(n, 2 * n - 1):
+        for _ in range(2):  # the lesser of the next leaf and the next inner node; both stand in rising order
+            if node >= made or (leaf < n and weights[leaf] <= total[node]):
+                least, leaf = leaf, leaf + 1
+            else:
+                least, node = node, node + 1
+            parent[least] = made
+            total[made] += total[least]
+    depth = [0] * (2 * n)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    return depth[:n]
+
+
 def code_lengths(counts: np.ndarray, limit: int, extra: bool = False) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits (package-merge); 0 for symbols that don't occur.
+    """Optimal code lengths of at most ``limit`` bits; 0 for symbols that don't occur.
+
+    A plain Huffman tree, and package-merge where that is too deep.
 
     With ``extra`` room is left for one more code of the greatest length, so none of the codes is all ones.
     """
@@ -17,6 +38,10 @@ def code_lengths(counts: np.ndarray, limit: int, extra: bool = False) -> np.ndar
     out = np.zeros(len(counts) + 1, dtype=np.int64)
     if len(items) == 1:
         out[items[0][1][0]] = 1
+    depths = _depths([n for n, _ in items])
+    if len(items) > 1 and max(depths) <= limit:
+        out[[s[0] for _, s in items]] = depths
+        return out[:-1]
     packages: list[tuple[int, tuple[int, ...]]] = []
     for _ in range(limit if len(items) > 1 else 0):
         level = sorted(items + packages, key=lambda x: x[0])

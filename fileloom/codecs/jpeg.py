@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -156,6 +157,7 @@ class _Bits:
         return v if v >> (n - 1) else v - (1 << n) + 1
 
 
+@lru_cache(maxsize=16)
 def _lookup(counts: bytes, symbols: bytes) -> list[int]:
     """By the next sixteen bits: length of the code << 8 | symbol; 0 where there is none."""
     out, code, k = np.zeros(1 << 16, dtype=np.int64), 0, 0

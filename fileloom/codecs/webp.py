@@ -15,6 +15,8 @@ ALPHABETS = (256 + 24, 256, 256, 256, 40)
 TILE = 4  # tiles of 16 x 16 pixels
 MODES = (1, 2, 11, 12)
 LONGEST = 4096
+#: A code that is read: symbols and lengths by the next bits, and the mask of these; or the only symbol.
+Code = tuple[list[tuple[int, int]], int] | int
 
 
 def _near() -> list[tuple[int, int]]:
@@ -215,32 +217,34 @@ class _Reader:
         self.n -= n
         return out
 
-    def symbol(self, code: list[tuple[int, int]] | int) -> int:
-        """The next symbol of a code: a table by 15 bits, or the only symbol."""
+    def symbol(self, code: Code) -> int:
+        """The next symbol of a code."""
         if isinstance(code, int):
             return code
         if self.n < 15:
             self.fill()
-        found, n = code[self.value & 0x7FFF]
+        table, mask = code
+        found, n = table[self.value & mask]
         self.value >>= n
         self.n -= n
         return found
 
 
-def _table(lengths: np.ndarray) -> list[tuple[int, int]] | int:
+def _table(lengths: np.ndarray) -> Code:
     used = np.flatnonzero(lengths)
     if len(used) == 1:
         return int(used[0])
     if not len(used) or (2.0 ** -lengths[used].astype(float)).sum() != 1:
         raise CodecError("broken WebP: incomplete code")
-    out = [(0, 0)] * (1 << 15)
+    size = 1 << int(lengths.max())
+    out = [(0, 0)] * size
     for s, code in zip(used.tolist(), _reversed(canonical(lengths), lengths)[used].tolist(), strict=True):
         step = 1 << int(lengths[s])
-        out[code::step] = [(s, int(lengths[s]))] * len(range(code, 1 << 15, step))
-    return out
+        out[code::step] = [(s, int(lengths[s]))] * len(range(code, size, step))
+    return out, size - 1
 
 
-def _read_code(bits: _Reader, size: int) -> list[tuple[int, int]] | int:
+def _read_code(bits: _Reader, size: int) -> Code:
     lengths = np.zeros(max(size, 256), dtype=np.int64)
     if bits.take(1):
         several = bits.take(1)

@@ -373,6 +373,11 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("input_path", "output_path", tasks.converted_size(F.col("files")).alias("converted_size"), "error")
 
 
+def spread_parts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``part`` dealt to all cores: it is a small file, and coding an image takes far longer than moving a row."""
+    return table(spark, sf_dir, "part").select(*columns or "*").repartition(spark.sparkContext.defaultParallelism)
+
+
 IMAGE_SUM = "list_sum(list_transform(range(480), lambda j: (j * (p_partkey % 251 + 1)) % 256))::BIGINT"
 ICON_BYTES = "(6 + 3 * 16 + (40 + 4 * 16 * 16 + 16 * 4) + (40 + 4 * 32 * 32 + 32 * 4) + (40 + 4 * 48 * 48 + 48 * 8))"
 
@@ -406,7 +411,7 @@ def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["p_partkey", "ico_bytes", "png_sum", "webp_sum", "jpg_grey", "svg_pixels"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, ico_bytes int, png_sum long, webp_sum long, jpg_grey int, svg_pixels long")
+    return spread_parts(spark, sf_dir, "p_partkey", "p_size").mapInArrow(run, "p_partkey long, ico_bytes int, png_sum long, webp_sum long, jpg_grey int, svg_pixels long")
 
 
 @query("SELECT p_partkey, p::INT AS page, 'o/doc' || p_partkey || '_page_' || p || '.png' AS output_path, 'Page ' || p || ' of PDF' AS description, floor((20 + p_size + p) * 144 / 72.0 + 0.5)::INT AS width, floor((30 + p_partkey % 25) * 144 / 72.0 + 0.5)::INT AS height, (p_partkey % 200)::INT AS red FROM (SELECT *, unnest(range(1, p_partkey % 3 + 2)) AS p FROM part)")
@@ -437,7 +442,7 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             names = ["p_partkey", "page", "output_path", "description", "width", "height", "red"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, page int, output_path string, description string, width int, height int, red int")
+    return spread_parts(spark, sf_dir, "p_partkey", "p_size").mapInArrow(run, "p_partkey long, page int, output_path string, description string, width int, height int, red int")
 
 
 NOTES = "concat(repeat('#', least(p_size % 8 + 1, 6)), ' ', p_name, '\n\n> said **', p_brand, '**\n\n- one\n  - ', p_type, '\n\n| A | B |\n| - | - |\n| ', p_size, ' | x |\n\n```\ncode ', p_partkey, '\n```\n')"
@@ -482,7 +487,7 @@ def docx_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((int(path), int(re.search(r'<w:sz w:val="(\d+)"', xml)[1]), bold, xml.count("<w:tbl>"), [int(x) for x in re.findall(r'<w:ind w:left="(\d+)"', xml)], "".join(map(said, runs))))
             yield pd.DataFrame(rows, columns=["p_partkey", "heading_size", "bold", "tables", "indents", "text"])
 
-    notes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("input_path"), F.lit("md").alias("from_format"), F.lit("docx").alias("to_format"), F.lit("markdown").alias("converter"), F.lit("x.docx").alias("output_path"), F.expr(NOTES).cast("binary").alias("content"))
+    notes = spread_parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("input_path"), F.lit("md").alias("from_format"), F.lit("docx").alias("to_format"), F.lit("markdown").alias("converter"), F.lit("x.docx").alias("output_path"), F.expr(NOTES).cast("binary").alias("content"))
     return content.convert_tasks(notes).select("input_path", "files").mapInPandas(run, "p_partkey long, heading_size int, bold string, tables int, indents array<int>, text string")
 
 
